@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licenses, token_counts
+from tessera.llm import bpe, languages, licenses, quality, token_counts
 from tessera.llm.common import table
 
 
@@ -26,6 +27,21 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "tokens.n_tokens", "tokens.score")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    langs, model = languages.learn(docs.filter(languages.training_rows(F.col("doc_id"))), "text", "lang", "doc_id")
+    found = languages.identify(docs.drop("lang"), langs, model)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", F.array_join("language.langs", ",").alias("langs"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality.classify(docs, model, F.col("source"), F.col("lang"))
+    return found.select("doc_id", "p_low", "p_toxic", "host_low", "path_low", "host_toxic", "path_toxic", "kept")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe.encode_bpe(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
@@ -35,7 +51,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
+    "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op8_quality": op8_quality,
 }
 
 ORACLE: dict[str, str] = {}
