@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, languages, licenses, quality, sharding, token_counts
+from tessera.llm import bpe, imatch, languages, licenses, quality, sharding, token_counts
 from tessera.llm.common import table
 
 
@@ -43,6 +43,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "language.lang_pred", "language.score", F.array_join("language.langs", ",").alias("langs"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = imatch.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = (F.array_join(c, "").alias(c) for c in ("fingerprint", "edited_fingerprint"))
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *columns, "near_edited", "near_next")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     model = quality.learn(docs, table(spark, sf_dir, "labels"))
@@ -62,6 +68,7 @@ QUERIES = {
     "op3_token_counts": op3_token_counts,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
+    "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
 }
 
