@@ -42,7 +42,11 @@ def durable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
-    return df.checkpoint(eager=True)
+    done = df.checkpoint(eager=True)
+    # The checkpoint keeps its plan's size estimate, a product over all joins so far. In loops
+    # that grows beyond all bounds, so the rows are taken as a table of unknown size.
+    session = df.sparkSession._jsparkSession
+    return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
 
 
 def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, imatch, languages, licenses, quality, sharding, token_counts
+from tessera.llm import bpe, imatch, languages, licenses, minhash, quality, sharding, token_counts
 from tessera.llm.common import table
 
 
@@ -62,6 +62,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "bpe.n_tokens", "bpe.ids_sha256", "bpe.decoded_sha256")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
@@ -70,6 +74,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE: dict[str, str] = {}
