@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, imatch, languages, licenses, minhash, quality, sharding, token_counts
+from tessera.llm import bpe, chats, decontamination, imatch, languages, licenses, minhash, quality, sharding, token_counts
 from tessera.llm.common import table
 
 
@@ -35,6 +35,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "tokens.n_tokens", "tokens.score")
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chats.collapse(table(spark, sf_dir, "conversations"))
+    return made.select("conv_id", "segment", "n_turns", "copies", F.md5("text").alias("text_md5"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     langs, model = languages.learn(docs.filter(languages.training_rows(F.col("doc_id"))), "text", "lang", "doc_id")
@@ -66,15 +71,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
     "op3_token_counts": op3_token_counts,
+    "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op6_bpe": op6_bpe,
     "op7_fingerprints": op7_fingerprints,
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_chat_formatting": chats.COLLAPSE_SQL}
