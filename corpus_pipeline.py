@@ -1,4 +1,86 @@
-"""Corpus pipeline (under construction)."""
+"""Corpus pipeline: quality, language, near-duplicates, decontamination, tokens.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
+Parquet and read again as the next one's docs. All stages but the last return the
+columns of the documents they got; a stage works on all its predecessor kept.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, decontamination, languages, minhash, quality
+from tessera.llm.common import table
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes to be of low quality or toxic go; null and empty texts too."""
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    return quality.classify(docs, model, F.col("source"), F.col("lang")).filter("kept").select(*docs.columns)
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any language (no letter in the text) go."""
+    langs, model = languages.learn(docs.filter(languages.training_rows(F.col("doc_id"))), "text", "lang", "doc_id")
+    found = languages.identify(docs, langs, model, out="_language")
+    return found.filter(F.col("_language.lang_pred") != "und").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: five words, similarity 0.8 or more."""
+    return minhash.drop_duplicates(docs, width=5, percent=80)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    return decontamination.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, with digests of the ids and of the decoded text."""
+    coded = bpe.encode_bpe(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
+    return coded.select("doc_id", "bpe.n_tokens", "bpe.ids", "bpe.ids_sha256", "bpe.decoded_sha256")
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("language identification", language_stage),
+    ("near-duplicate removal", near_duplicate_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("BPE encoding", encoding_stage),
+]
+
+#: The classifiers and the near-duplicate groups are not for SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is a table in the shared checkpoint folder.
+
+    The tables of earlier stages are deleted as soon as the next one is written.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
+    base = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{base}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            _delete(spark, before)
+        before = path
+    return docs
+
+
+QUERIES = {"pipeline": run}
+ORACLE: dict[str, str] = {}
