@@ -1,4 +1,9 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from tessera.plans import consensus_queries
+
+MODULES = (consensus_queries,)
+QUERIES: dict = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+ORACLE: dict = {name: q for m in MODULES for name, q in m.ORACLE.items()}
