@@ -31,6 +31,8 @@ Q = 6
 #: Edits allowed, as a share of a passage's characters.
 EDIT_SHARE = 0.12
 LEAST_CHARS = 30
+#: Share of the bound by which frequent q-grams are left out of the count.
+LEFT_OUT = 0.5
 #: Characters of passages in one block's index.
 BLOCK_CHARS = 4_000_000
 #: Positions of a document in a piece; pieces overlap by more than the longest passage.
@@ -79,7 +81,7 @@ def grams(codes: np.ndarray) -> np.ndarray:
 class Index:
     """Q-grams of a block of passages: hash -> passages and places."""
 
-    BITS = 21
+    BITS, NONE, MANY = 21, -1, -2
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids, self.codes = [], []
@@ -96,11 +98,24 @@ class Index:
         h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=np.uint64)
         item = np.repeat(np.arange(len(m)), [len(x) for x in hashes])
         place = np.concatenate([np.arange(len(x)) for x in hashes]) if hashes else np.zeros(0, dtype=np.int64)
+        # Of each passage, the q-grams most frequent among passages are left out; a match may lose
+        # each of them once, so that the bound falls by as many and no match is missed.
+        times = np.unique(h, return_inverse=True, return_counts=True)
+        common = times[2][times[1]] if len(h) else np.zeros(0, dtype=np.int64)
+        out = (self.least * LEFT_OUT).astype(np.int64)
+        by = np.lexsort((place, -common, item))
+        nth = np.arange(len(by)) - np.repeat(np.concatenate(([0], np.cumsum([len(x) for x in hashes])))[:-1], [len(x) for x in hashes]) if len(by) else by
+        by = by[nth >= out[item[by]]]
+        h, item, place = h[by], item[by], place[by]
+        self.least = self.least - out
         order = np.argsort(h, kind="stable")
         self.item, self.place = item[order], place[order]
         self.keys, self.first, self.count = np.unique(h[order], return_index=True, return_counts=True)
-        self.seen = np.zeros(1 << self.BITS, dtype=bool)
-        self.seen[(self.keys >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
+        # slot of a hash's upper bits -> its key; MANY where several keys share a slot
+        slot, at, times = np.unique((self.keys >> np.uint64(64 - self.BITS)).astype(np.int64), return_index=True, return_counts=True)
+        self.slots = np.full(1 << self.BITS, self.NONE, dtype=np.int32)
+        self.slots[slot] = np.where(times == 1, at, self.MANY)
+        self.item, self.place, self.count, self.first = (x.astype(np.int32) for x in (self.item, self.place, self.count, self.first))
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of each passage found, in the text's code points."""
@@ -118,14 +133,17 @@ class Index:
 
     def _piece(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         h = grams(codes)
-        where = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.BITS)).astype(np.int64)])
-        key = np.searchsorted(self.keys, h[where])
-        hit = (key < len(self.keys)) & (self.keys[np.minimum(key, len(self.keys) - 1)] == h[where])
+        key = self.slots[(h >> np.uint64(64 - self.BITS)).astype(np.int64)]
+        where = np.flatnonzero(key != self.NONE).astype(np.int32)
+        key, own = key[where], h[where]
+        many = np.flatnonzero(key == self.MANY)
+        key[many] = np.minimum(np.searchsorted(self.keys, own[many]), len(self.keys) - 1)
+        hit = self.keys[key] == own
         where, key = where[hit], key[hit]
         if not len(where):
             return
         n = self.count[key]
-        at = np.repeat(self.first[key] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        at = np.repeat(self.first[key] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         item, diagonal = self.item[at], np.repeat(where, n) - self.place[at]
         # passages that share enough q-grams with the piece at all
         enough = np.bincount(item, minlength=len(self.ids)) >= self.least
@@ -133,6 +151,7 @@ class Index:
         item, diagonal = item[own], diagonal[own]
         if not len(item):
             return
+        item, diagonal = item.astype(np.int64), diagonal.astype(np.int64)
         width = self.edits[item] + 1
         cell = (diagonal + self.size[item]) // width
         cells = int(cell.max()) + 3
@@ -162,14 +181,22 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     Rows are the passage's characters, columns the diagonals; beginnings and ends in the
     text are free. The start is found by aligning backwards from the best end.
     """
-    end, edits = _ends(passage, text, low, high)
+    begin = max(0, low)
+    raw, own = text[begin : high + len(passage)].tobytes(), passage.tobytes()
+    at = raw.find(own)
+    while at > 0 and at % 4:
+        at = raw.find(own, at + 1)
+    if at >= 0:  # unchanged
+        return begin + at // 4, begin + at // 4 + len(passage), 0
+    end, edits = _ends(passage, text, low, high, budget)
     if edits > budget:
         return None
-    back, _ = _ends(passage[::-1], text[:end][::-1], end - len(passage) - high, end - len(passage) - low, fixed=True)
+    back, _ = _ends(passage[::-1], text[:end][::-1], end - len(passage) - high, end - len(passage) - low, budget, fixed=True)
     return end - back, end, edits
 
 
-def _ends(passage: np.ndarray, text: np.ndarray, low: int, high: int, fixed: bool = False) -> tuple[int, int]:
+def _ends(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: int, fixed: bool = False) -> tuple[int, int]:
+    """The diagonal's end of the best alignment and its edits; more than the budget as soon as no row can meet it."""
     m, n, far = len(passage), len(text), 1 << 20
     diagonals = np.arange(low, high + 1)
     steps = np.arange(len(diagonals))
@@ -185,6 +212,8 @@ def _ends(passage: np.ndarray, text: np.ndarray, low: int, high: int, fixed: boo
         new[:-1] = np.minimum(new[:-1], row[1:] + 1)  # a character of the passage left out
         new = np.where((at + 1 >= 0) & (at + 1 <= n), new, far)
         row = np.minimum(new, np.minimum.accumulate(new - steps) + steps)  # characters of the text put in
+        if i % 8 == 0 and row.min() > budget:
+            return 0, budget + 1
     k = int(row.argmin())
     return int(diagonals[k]) + m, int(row[k])
 
@@ -215,12 +244,23 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> I
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, start, end, edits) of each passage found in a document."""
-    made = None
+    """(key, item_id, start, end, edits) of each passage found in a document; keys are integers."""
+    schema = f"{key} long, item_id long, start long, end long, edits int"
+    bounded_batches(df.sparkSession)
+    rows, made = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), None
     for block in blocks(benchmark):
-        found = find_passages(df.select(key, text), block, text).select(key, F.explode("passages").alias("p")).select(key, "p.*")
+        shared = df.sparkSession.sparkContext.broadcast(block)
+
+        # rows are made here, since a filter inferred from explode would search twice
+        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            index = Index(shared.value)
+            for batch in batches:
+                found = [(k, *x) for k, t in zip(batch["key"].astype("Int64"), batch["text"]) for x in index.search(t)]
+                yield pd.DataFrame(found, columns=[key, "item_id", "start", "end", "edits"]).astype({key: "Int64"})
+
+        found = rows.mapInPandas(run, schema)
         made = found if made is None else made.unionByName(found)
-    return made if made is not None else df.sparkSession.createDataFrame([], f"{key} long, item_id long, start long, end long, edits int")
+    return made if made is not None else df.sparkSession.createDataFrame([], schema)
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
