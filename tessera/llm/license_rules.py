@@ -155,7 +155,7 @@ def rules() -> tuple[Rule, ...]:
         for label, word, name, spdx in NAMES:
             key = "spdx" if "{s}" in sentence else word
             made.append(Rule(label, tier, conf, key, sentence.format(n=name, s=spdx)))
-    return tuple(made)
+    return tuple(dict.fromkeys(made))  # a license with two names has its SPDX rule once
 
 
 RULES = rules()

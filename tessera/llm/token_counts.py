@@ -33,35 +33,42 @@ CACHE_WORDS, CACHE_CHARS = 500_000, 64
 class Counter(dict):
     """Word -> (pieces, score); computes and remembers missing words."""
 
-    def __init__(self, pieces: list[tuple[str, float]]):
+    def __init__(self, pieces: list[tuple[str, float]], unknown_id: int = 0):
         super().__init__()
         import ahocorasick
 
         self.entries = ahocorasick.Automaton()
-        for piece, score in pieces:
+        for i, (piece, score) in enumerate(pieces):
             if piece:
-                self.entries.add_word(piece, (len(piece), score))
+                self.entries.add_word(piece, (len(piece), score, i == unknown_id))
         self.entries.make_automaton()
         self.unknown = min(s for _, s in pieces) - UNKNOWN_PENALTY
-        known = {p for p, _ in pieces}
-        self.bytes = all(f"<0x{b:02X}>" in known for b in range(256))
+        self.known = {p for p, _ in pieces}
+        self.bytes = all(f"<0x{b:02X}>" in self.known for b in range(256))
+
+    def _run(self, text: str) -> int:
+        """Tokens of consecutive unknown pieces, which the tokenizer takes as one text."""
+        return len(text.encode("utf-8", "surrogatepass")) if self.bytes and text not in self.known else 1
 
     def count(self, word: str) -> tuple[int, float]:
         n = len(word)
         best: list[float | None] = [0.0] + [None] * n
-        pieces, unknown = [0] * (n + 1), [False] * (n + 1)
+        pieces, run = [0] * (n + 1), [-1] * (n + 1)  # pieces before the last run of unknowns; its start
         single, end = -1, 0  # single: the last position with an entry of one character
 
+        def total(e: int) -> int:
+            return pieces[e] if run[e] < 0 else pieces[e] + self._run(word[run[e] : e])
+
+        def unknown(s: int, e: int, score: float) -> None:
+            best[e], pieces[e], run[e] = score, pieces[s], run[s] if run[s] >= 0 else s
+
         def close(e: int) -> None:
             """The unknown candidate of the character before e, which comes last."""
-            if single == e:
-                return
             score = best[e - 1] + self.unknown
-            if best[e] is None or score > best[e]:
-                size = len(word[e - 1].encode("utf-8", "surrogatepass")) if self.bytes else int(not unknown[e - 1])
-                best[e], pieces[e], unknown[e] = score, pieces[e - 1] + size, True
+            if single != e and (best[e] is None or score > best[e]):
+                unknown(e - 1, e, score)
 
-        for at, (size, add) in self.entries.iter(word):
+        for at, (size, add, is_unknown) in self.entries.iter(word):
             while end < at:
                 end += 1
                 close(end)
@@ -70,11 +77,14 @@ class Counter(dict):
                 single = e
             score = best[s] + add
             if best[e] is None or score > best[e]:
-                best[e], pieces[e], unknown[e] = score, pieces[s] + 1, False
+                if is_unknown:
+                    unknown(s, e, score)
+                else:
+                    best[e], pieces[e], run[e] = score, total(s) + 1, -1
         while end < n:
             end += 1
             close(end)
-        return pieces[n], best[n]
+        return total(n), best[n]
 
     def __missing__(self, word: str) -> tuple[int, float]:
         made = self.count(word)
