@@ -51,7 +51,7 @@ def _chance(key: list[Column], seed: int) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) + 1).cast("double") / float((1 << 52) + 2)
 
 
-def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed: int = 7) -> Splitters:
+def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed: int = 7, group: int = 0, unit: float = 0.0) -> Splitters:
     """Boundaries that divide the total ``weight`` of ``df`` into about ``n_ranges`` even ranges of ``key``.
 
     Keys are sampled with a chance that grows with their weight (the smallest of
@@ -59,8 +59,11 @@ def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed
     is a boundary. The exact weight of each range is then counted; ranges above
     OVERFULL times the even share are sampled again and subdivided, until none is
     overfull but for a single key. The driver holds the sample, of at most
-    n_ranges * SAMPLES_A_RANGE keys. Keys are never null.
+    n_ranges * SAMPLES_A_RANGE keys. Keys are never null. With ``group``, rows whose first
+    so many key parts are equal fall into one range, unless they overfill it; the other
+    parts are then longs. Ranges up to ``unit`` are never overfull.
     """
+    least = (-(1 << 63),) * (len(key) - group) if group else ()
     rows = df.select(*key, weight.cast("double").alias("_w"))
     types = [t for c in key for n, t in rows.dtypes if n == c]
     draw = -F.log(_chance([F.col(c) for c in key], seed)) / F.greatest(F.col("_w"), F.lit(1e-9))
@@ -69,13 +72,14 @@ def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed
     if not sample:
         return Splitters([], types)
     every = max(1, len(sample) // n_ranges)
-    made = Splitters(sorted(set(sample[every::every])), types)
+    made = Splitters(sorted({k[:group] + least if group else k for k in sample[every::every]}), types)
     for turn in range(ROUNDS):
         ranged = rows.withColumn("_r", made.index([F.col(c) for c in key]))
-        own = F.struct(*key)
-        sums = ranged.groupBy("_r").agg(F.sum("_w").alias("w"), (F.min(own) == F.max(own)).alias("one")).collect()
+        own, lead = F.struct(*key), F.struct(*key[: group or None])
+        sums = ranged.groupBy("_r").agg(F.sum("_w").alias("w"), (F.min(own) == F.max(own)).alias("one"), (F.min(lead) == F.max(lead)).alias("alone")).collect()
         even = sum(r["w"] for r in sums) / n_ranges
-        over = {r["_r"]: r["w"] for r in sums if r["w"] > OVERFULL * even and not r["one"]}
+        whole = {r["_r"] for r in sums if group and not r["alone"]}
+        over = {r["_r"]: r["w"] for r in sums if r["w"] > max(OVERFULL * even, unit) and not r["one"]}
         if not over:
             break
         again = -F.log(_chance([F.col(c) for c in key], seed + 1 + turn)) / F.greatest(F.col("_w"), F.lit(1e-9))
@@ -89,7 +93,15 @@ def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed
         for r, keys in by_range.items():
             keys.sort()
             step = max(1, int(len(keys) * even / over[r]))
-            new |= set(keys[::step])
+            new |= {k[:group] + least if r in whole else k for k in keys[::step]}
+        # keys (or groups) that alone outweigh an even share get a range of their own: a boundary
+        # at them and one at the next; there are fewer than n_ranges of them
+        parts = key[: group or None]
+        mixed = ranged.filter(F.col("_r").isin([r for r in over if not group or r in whole]))
+        heavy = mixed.groupBy("_r", *parts).agg(F.sum("_w").alias("w")).filter(F.col("w") > max(even, unit)).select("_r", F.struct(*parts).alias("_heavy"))
+        after = mixed.select("_r", F.struct(*parts).alias("_key")).join(F.broadcast(heavy), "_r").filter(F.col("_key") > F.col("_heavy"))
+        for r in heavy.select("_heavy").union(after.groupBy("_r", "_heavy").agg(F.min("_key")).select("min(_key)")).collect():
+            new.add(tuple(r[0]) + least)
         if new <= set(made.bounds):
             break
         made = Splitters(sorted({*made.bounds, *new}), types)

@@ -4,8 +4,10 @@ Records are ordered by the MD5 of their text and then by key, so that equal text
 stand together. Size-weighted samples of these keys give splitters; the range
 partition by them is exact about sizes, since each range's total is counted and
 overfull ranges are subdivided. A record's shard follows from the bytes before it in
-the whole order, so that shards differ by less than the largest record; a group of
-equal texts is only divided where a shard ends. No task holds more than a range.
+the whole order. A group of equal texts that is no larger than the largest record goes
+to one shard as a whole, by the bytes before the group; larger groups are divided where
+a shard ends. Either way a shard's size is off by less than the largest record at each
+end. No task holds more than a range.
 
 Defined results: a null text has no bytes (its size is the overhead) and the MD5 of
 nothing; null keys come last; repeated rows are records of their own, in an order
@@ -41,7 +43,8 @@ def shard(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text")
         "_id": F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)),
         "_row": F.monotonically_increasing_id(),
     })
-    split = splitters(rows, parts, F.col("size"), n_shards * RANGES_A_SHARD)
+    largest = rows.agg(F.max("size")).first()[0] or 0
+    split = splitters(rows, parts, F.col("size"), n_shards * RANGES_A_SHARD, group=1, unit=largest)
     rows = rows.withColumn("_range", split.index([F.col(c) for c in parts]))
     totals = {r["_range"]: (r["bytes"], r["n"]) for r in rows.groupBy("_range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
     before, total, count = {}, 0, 0
@@ -54,13 +57,33 @@ def shard(df: DataFrame, n_shards: int, key: str = "doc_id", text: str = "text")
     def of_range(i: int) -> Column:
         return F.element_at(longs([before.get(r, (0, 0))[i] for r in range(len(split.bounds) + 1)]), F.col("_range") + 1)
 
-    order = Window.partitionBy("_range").orderBy(*parts)
+    order, group = Window.partitionBy("_range").orderBy(*parts), Window.partitionBy("_range", "_md5")
     rows = rows.withColumns({
         "_before": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"),
         "_nth": F.row_number().over(order) - 1,
     })
     rows = rows.withColumns({"_before": F.col("_before") + of_range(0), "_nth": F.col("_nth") + of_range(1)})
-    rows = rows.withColumn("shard", F.least(F.floor(F.col("_before").cast("double") * n_shards / total), F.lit(n_shards - 1)).cast("int"))
+    whole = F.sum("size").over(group) <= largest
+    rows = rows.withColumn("_begin", F.when(whole, F.min("_before").over(group)).otherwise(F.col("_before")))
+    rows = rows.withColumn("shard", F.least(F.floor(F.col("_begin").cast("double") * n_shards / total), F.lit(n_shards - 1)).cast("int"))
     first = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.min("_nth").alias("n")).collect()}  # as many as shards
     start = F.element_at(longs([first.get(s, 0) for s in range(n_shards)]), F.col("shard") + 1)
     return rows.select(*df.columns, "size", "shard", (F.col("_nth") - start).alias("slot"))
+
+
+#: DuckDB SQL of the query: the same shards from one ordered pass; CRC-32 by its table, made by the rule.
+SHARDING_SQL = """
+WITH RECURSIVE k(n, i, c) AS (
+  SELECT n, 0, n::bigint FROM range(256) r(n)
+  UNION ALL SELECT n, i + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::bigint, c >> 1) ELSE c >> 1 END FROM k WHERE i < 8
+), t AS (SELECT list(c ORDER BY n) AS t FROM k WHERE i = 8),
+d AS (SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS h, hex(encode(coalesce(text, ''))) AS x FROM documents),
+b AS (SELECT doc_id, h, (len(x) // 2 + 16)::bigint AS size, list_reduce(list_concat([4294967295::bigint], list_transform(range(0, len(x) // 2), lambda i: ('0x' || x[2 * i + 1 : 2 * i + 2])::bigint)), lambda a, v: xor(t[(xor(a, v) & 255) + 1], a >> 8)) AS c FROM d, t),
+o AS (SELECT *, sum(size) OVER (PARTITION BY h) AS in_group, max(size) OVER () AS largest, sum(size) OVER () AS total,
+             sum(size) OVER (ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS before FROM b),
+g AS (SELECT *, CASE WHEN in_group <= largest THEN min(before) OVER (PARTITION BY h) ELSE before END AS begin FROM o),
+s AS (SELECT *, least(39, floor(begin::double * 40 / total))::integer AS shard FROM g)
+SELECT doc_id, size, xor(c, 4294967295::bigint) AS text_crc32, 'bytes' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY h, doc_id) - 1 AS slot, NULL::integer AS grown_shard
+FROM s
+"""
