@@ -29,6 +29,18 @@ def normal_tail(z: Column) -> Column:
     return t * F.exp(-x * x + total)
 
 
+def chi_square_tail(x: Column, df: Column) -> Column:
+    """Upper tail of a chi-square value, by the finite sums for even and odd degrees of freedom."""
+    half, odd = x / 2, df % 2 == 1
+    terms = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(df / 2).cast("int")))
+    # term i over term i - 1 is half / (i - 1) if even, half / (i - 1/2) if odd
+    first = F.when(odd, F.sqrt(half) / (3.141592653589793**0.5 / 2)).otherwise(F.lit(1.0))
+    step = lambda acc, i: F.struct((acc["t"] * F.when(i == 1, 1.0).otherwise(half / F.when(odd, i - 0.5).otherwise(i - 1))).alias("t"), (acc["s"] + acc["t"] * F.when(i == 1, 1.0).otherwise(half / F.when(odd, i - 0.5).otherwise(i - 1))).alias("s"))
+    total = F.aggregate(terms, F.struct(first.cast("double").alias("t"), F.lit(0.0).alias("s")), step, lambda acc: acc["s"])
+    head = F.when(odd, normal_tail(F.sqrt(x))).otherwise(0.0)
+    return head + F.when(df == 1, 0.0).otherwise(F.exp(-half) * total)
+
+
 def mann_whitney(df: DataFrame, value: str, group: str, one: object) -> DataFrame:
     """One row: sizes, U of group ``one``, rank-biserial r, z with tie correction, two-sided normal p."""
     ranks = average_ranks(df, value)
@@ -46,7 +58,7 @@ def mann_whitney(df: DataFrame, value: str, group: str, one: object) -> DataFram
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: groups, n and H with tie correction. A row may be in several groups (given as several rows)."""
+    """One row: groups, n, H with tie correction and its chi-square p. A row may be in several groups (given as several rows)."""
     ranks = average_ranks(df, value)
     cells = df.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count("*").alias("k")).join(ranks, value)
     sums = cells.groupBy(group).agg(F.sum("k").alias("n"), F.sum(F.col("rank") * F.col("k")).alias("r"))
@@ -54,13 +66,16 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     ties = ranks.agg(F.sum(F.pow("ties", F.lit(3)) - F.col("ties")).alias("t"))
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("s") - 3 * (n + 1)
-    return h.crossJoin(ties).select("groups", "n", (raw / (1 - F.col("t") / (n * n * n - n))).alias("h"))  # one row each
+    made = h.crossJoin(ties).select("groups", "n", (raw / (1 - F.col("t") / (n * n * n - n))).alias("h"))  # one row each
+    return made.withColumn("p", chi_square_tail(F.col("h"), F.col("groups") - 1))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: n, the correlation of average ranks, and its p by the normal approximation."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.join(average_ranks(rows, x).select(x, F.col("rank").alias("rx")), x).join(average_ranks(rows, y).select(y, F.col("rank").alias("ry")), y)
-    return rows.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    made = rows.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
+    return made.withColumn("p", normal_tail(F.col("rho") * F.sqrt((F.col("n") - 1).cast("double"))))
 
 
 def log_factorial(n: Column) -> Column:

@@ -270,11 +270,11 @@ def mann_whitney(spark, d):
 
 
 def kruskal(spark, d):
-    return rounded(T.kruskal(table(spark, d, "documents"), "n_chars", "lang"), "h", digits=5)
+    return rounded(T.kruskal(table(spark, d, "documents"), "n_chars", "lang").drop("p"), "h", digits=5)
 
 
 def spearman(spark, d):
-    return rounded(T.spearman(table(spark, d, "part"), "p_size", "p_retailprice"), "rho")
+    return rounded(T.spearman(table(spark, d, "part"), "p_size", "p_retailprice").drop("p"), "rho")
 
 
 def bh_fdr(spark, d):

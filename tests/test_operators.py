@@ -94,6 +94,11 @@ def test_fisher_and_tail(spark):
     assert one(spark, statistics.normal_tail(F.lit(1.959964))) == pytest.approx(0.05, abs=1e-6)
 
 
+@pytest.mark.parametrize("x,df,p", [(3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (9.487729, 4, 0.05), (18.307038, 10, 0.05), (24.724970, 11, 0.01)])
+def test_chi_square_tail(spark, x, df, p):
+    assert one(spark, statistics.chi_square_tail(F.lit(x), F.lit(df))) == pytest.approx(p, abs=2e-6)
+
+
 def test_lookups(spark):
     df = spark.createDataFrame([("k", 1, None), ("k", 2, "b"), ("k", 3, "c")], "k string, o int, v string")
     assert lookup.first_wins(df, ["k"], "v", ["o"]).first()["v"] == "b"
