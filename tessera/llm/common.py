@@ -49,6 +49,12 @@ def durable(df: DataFrame) -> DataFrame:
     return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
 
 
+def compact(df: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
+    """``durable(df)`` in as many partitions as its rows need, so that small tables shuffle few files."""
+    done = durable(df)
+    return done.coalesce(max(1, -(-done.count() // rows_a_task)))
+
+
 def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join where ``right`` is unique by ``keys``: broadcast if counted to be small.
 

@@ -4,15 +4,18 @@ A document's set is its distinct word shingles. Documents with equal sets are on
 class. Each class gets many universal hash minima; bands of them put classes that may
 be alike into common buckets. Within a bucket the members are ordered, the lightest
 first (fewest shingles that no other member of a large bucket has), and are compared
-with pivots: first the lightest member, then the following ones. Only members that
-are not yet connected to the pivot, whose sizes and own shingles allow a link, and
-whose signatures agree enough are compared, on their full sets. Rounds go on until no
-pair of a bucket is left that could connect two components, so that no bucket is
-capped, and a bucket of near copies costs about one comparison for each member.
+with pivots: first the lightest member, then the following ones. Only members that are not
+yet connected to the pivot and whose sizes and own shingles allow a link are compared:
+by signature and then on their full sets; in large buckets, after the first round, by
+their exact differences from one set of their group, which says the same. Rounds go on
+until no pair of a bucket is left that could connect two components, so that no bucket
+is capped, and a bucket of near copies yields about one pair for each member.
 Components come by alternating large-star and small-star.
 
-A pair at the threshold misses all bands with a chance below 1e-8 (0.85) or 4e-6
-(0.8), and the signature test with one below 1e-6.
+A pair at the threshold misses all bands with a chance below 1e-6 (0.85) or 1e-4
+(0.8), and the signature test with one below 1e-6. Classes are named by 64 bits of a
+digest of their set; other 64 bits show whether two sets share a name, and then all
+are named anew with another salt.
 
 Defined results: null, empty and blank texts have an empty set and are linked with
 nothing; a text of fewer words than a shingle has the whole sequence as one; repeated
@@ -34,17 +37,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, durable, small_join
+from tessera.llm.common import BROADCAST_ROWS, bounded_batches, compact, durable, small_join
 
-BANDS, ROWS = 32, 5
-#: Pivots of the second and of each later round.
-PIVOTS = 48
-#: A bucket is large if the second round does not compare all its pairs.
-LARGE = PIVOTS + 1
+BANDS, ROWS = 24, 5
+#: Pivots of the second round; each later round has MORE times as many.
+PIVOTS, MORE = 8, 4
+#: Of larger buckets it is counted which shingles only one member has.
+LARGE = 32
 #: Stands for a null key.
 NO_KEY = -(1 << 63)
 #: A worker remembers the hashes of so many words.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
 
 
@@ -100,25 +103,26 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _digest(values: np.ndarray) -> bytes:
-    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+def _names(values: np.ndarray, salt: int) -> tuple[int, int]:
+    return tuple(np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16, salt=bytes([salt])).digest(), dtype=np.int64).tolist())
 
 
-def sketches(text: Column, width: int) -> Column:
-    """Struct: n (set size), node (digest of the set; null if empty), bands, minima."""
+def sketches(text: Column, width: int, salt: int) -> Column:
+    """Struct: n (set size), node and other (digests of the set; null if empty), bands, minima."""
 
-    @F.pandas_udf("n long, node binary, bands array<long>, minima array<int>")
+    @F.pandas_udf("n long, node long, other long, bands array<long>, minima array<int>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             made = []
             for t in texts:
                 values = shingles(t, width)
                 if not len(values):
-                    made.append((0, None, None, None))
+                    made.append((0, None, None, None, None))
                     continue
                 signature = minima(values)
-                made.append((len(values), _digest(values), band_keys(signature), signature.view(np.int32)))
-            yield pd.DataFrame(made, columns=["n", "node", "bands", "minima"])
+                made.append((len(values), *_names(values, salt), band_keys(signature), signature.view(np.int32)))
+            made = pd.DataFrame(made, columns=["n", "node", "other", "bands", "minima"], dtype=object)
+            yield made.astype({"n": "int64", "node": "Int64", "other": "Int64"})
 
     return run(text)
 
@@ -129,20 +133,24 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until the edges no longer change; each turn
     is written to the shared checkpoint folder.
     """
-    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = compact(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select("b", "b")).distinct()
+            return _both(edges, ("a", "b"), ("b", "b")).toDF("node", "label").distinct()
         state = now
-        both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
+        both = _both(edges, ("a", "b"), ("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
         large = large.filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
-        edges = durable(small.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", "m")).distinct())
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        edges = compact(_both(small, ("b", "m"), ("a", "m")).toDF("a", "b").filter("a <> b").distinct())
+
+
+def _both(df: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
+    """Two pairs of columns as rows; unlike a union it keeps a small table in its one partition, without shuffles."""
+    return df.select(F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (one, two)))).alias("p")).select("p.x", "p.y")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -156,6 +164,26 @@ def _shared(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
+def _differences(sets: DataFrame, groups: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, base, lacks, adds): a node's set against that of its group's lightest node, whose size is base.
+
+    For x and y of a group the intersection has base - |lacks x or y| + |adds x and y|
+    members, exactly; among near copies these arrays are short.
+    """
+    first = groups.join(own, "node", "left").groupBy("label").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).alias("f"))
+    first = first.select("label", F.col("f.node").alias("node"))
+    lead = first.join(sets, "node").select("label", F.col("values").alias("lead"))
+
+    @F.pandas_udf("base long, lacks array<long>, adds array<long>")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        load = lambda v: np.frombuffer(v, dtype=np.int64)
+        rows = [(len(v) // 8, np.setdiff1d(load(v), load(u), True), np.setdiff1d(load(u), load(v), True)) for u, v in zip(x, y)]
+        return pd.DataFrame(rows, columns=["base", "lacks", "adds"])
+
+    made = sets.select("node", "values").join(groups, "node").join(lead, "label")
+    return compact(made.select("node", run("values", "lead").alias("d")).select("node", "d.*"), 5000)
+
+
 def _own_shingles(sets: DataFrame) -> DataFrame:
     """(node, own): how many shingles of a node no other node of ``sets`` has; nodes without are left out."""
 
@@ -164,11 +192,47 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
             for node, values in zip(batch["node"], batch["values"]):
                 yield pd.DataFrame({"node": node, "s": np.frombuffer(values, dtype=np.int64)})
 
-    each = sets.select("node", "values").mapInPandas(explode, "node binary, s long")
+    each = sets.select("node", "values").mapInPandas(explode, "node long, s long")
     alone = each.groupBy("s").agg(F.count("*").alias("k"), F.min("node").alias("node")).filter("k = 1")
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
+def _meet(side: DataFrame, first: int, until: int, percent: int, exact: bool = False) -> DataFrame:
+    """Pairs of a bucket's pivots (ranks from ``first`` to before ``until``) with members that follow them.
+
+    Only those that could connect two components and could link by their sizes and own
+    shingles; with ``exact`` (differences given) those that do link.
+    """
+    low = side.filter(F.col("rank").between(first, until - 1))
+    low = low.select(*(F.col(c).alias(f"{c}_a") for c in low.columns if c not in ("bucket", "members")), "bucket")
+    two = lambda c: (F.col(c), F.col(f"{c}_a"))
+    (n, m), (own, own_m) = two("n"), two("own")
+    could = (F.col("rank") > F.col("rank_a")) & (F.col("label") != F.col("label_a")) & (F.least(n - own, m - own_m) * 100 >= percent * F.greatest(n + own_m, m + own))
+    if exact:
+        reaches = lambda i: i * 100 >= (n + m - i) * percent
+        (lacks, lacks_m), (adds, adds_m) = two("lacks"), two("adds")
+        least = F.col("base") - F.size(lacks) - F.size(lacks_m)
+        could = could & reaches(least + F.least(F.size(lacks), F.size(lacks_m)) + F.least(F.size(adds), F.size(adds_m)))
+        could = could & reaches(least + F.size(F.array_intersect(lacks, lacks_m)) + F.size(F.array_intersect(adds, adds_m)))
+    if first:
+        met = F.filter(F.zip_with("keys", "keys_a", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+        could = could & (met[0] == F.col("bucket"))
+    return low.join(side, "bucket").filter(could).select("node_a", "node", "n_a", "n", "label_a", "label")
+
+
+def _links_by_sets(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
+    """(a, b): labels of the pairs whose signatures agree in ``agree`` places and whose full sets reach the threshold."""
+    pairs = pairs.distinct().join(signatures.toDF("node_a", "minima_a"), "node_a").join(signatures, "node")
+    same = F.aggregate(F.zip_with("minima", "minima_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
+    pairs = compact(pairs.filter(same >= agree).drop("minima", "minima_a"), 5000)
+    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    one = sets.select(F.col("node").alias("node_a"), F.col("values").alias("x")).join(few, "node_a")
+    two = sets.select("node", F.col("values").alias("y")).join(few.select("node_a", "node"), "node")
+    both = one.join(two, ["node_a", "node"]).select("label_a", "label", "n_a", "n", _shared(F.col("x"), F.col("y")).alias("i"))
+    links = both.filter(F.col("i") * 100 >= (F.col("n_a") + F.col("n") - F.col("i")) * percent)
+    return links.select(F.col("label_a").alias("a"), F.col("label").alias("b"))
+
+
 def _result(df: DataFrame) -> DataFrame:
     """n_shingles, component_id and kept of rows with their key as _id."""
     own = F.when(F.col("_id") != NO_KEY, F.col("_id"))
@@ -205,17 +269,22 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
     bounded_batches(spark)
     ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     hashed = F.xxhash64(F.col(text))
-    rows = df.select(ids.alias("_id"), hashed.alias("_th"), sketches(F.col(text), width).alias("s")).select("_id", "_th", "s.*")
-    rows = durable(rows)
-    classes = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(F.min(F.struct("_id", "_th")).alias("r")).select("node", "r.*")
-    reps = rows.filter(F.col("node").isNotNull()).join(classes, ["node", "_id", "_th"], "left_semi").dropDuplicates(["node"])
-
-    # buckets of two members or more
-    banded = reps.select("node", F.explode("bands").alias("bucket"))
-    counts = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members = durable(banded.join(counts, "bucket"))
-    nodes = members.groupBy("node").agg(F.max("members").alias("most"))
-    wanted = durable(reps.join(nodes, "node").select("node", "_id", "_th", "n", "minima", "most"))
+    for salt in range(8):
+        rows = df.select(ids.alias("_id"), hashed.alias("_th"), sketches(F.col(text), width, salt).alias("s")).select("_id", "_th", "s.*")
+        rows = durable(rows)
+        classes = rows.filter(F.col("node").isNotNull()).groupBy("node")
+        classes = durable(classes.agg(F.min("_id").alias("_id"), F.min("other").alias("o"), F.max("other").alias("p")))
+        if classes.filter(F.col("o") != F.col("p")).isEmpty():
+            break
+
+    # buckets of two classes or more
+    banded = rows.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.min("node").alias("l"), F.max("node").alias("h")).filter("l < h").select("bucket")
+    members = compact(banded.join(shared, "bucket").distinct())
+    members = members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
+    nodes = compact(members.groupBy("node").agg(F.max("members").alias("most")))
+    wanted = small_join(rows.drop("other"), nodes, ["node"], "inner")
+    wanted = compact(wanted.join(classes.select("node", "_id"), ["node", "_id"], "left_semi").dropDuplicates(["node"]), 5000)
 
     # full sets of the classes in buckets, from their texts
     @F.pandas_udf("binary")
@@ -223,49 +292,45 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
         return texts.map(lambda t: shingles(t, width).tobytes())
 
     texts = df.select(ids.alias("_id"), hashed.alias("_th"), F.col(text).alias("_text"))
-    asked = wanted.select("_id", "_th").distinct()
-    sets = small_join(texts, asked, ["_id", "_th"], "inner").dropDuplicates(["_id", "_th"])
-    sets = sets.select("_id", "_th", set_bytes("_text").alias("values"))
-    sets = durable(wanted.join(sets, ["_id", "_th"]).select("node", "values", "most"))
-    own = _own_shingles(sets.filter(F.col("most") > LARGE))
-    facts = wanted.join(own, "node", "left").select("node", "n", "minima", F.coalesce("own", F.lit(0)).alias("own"))
+    texts = small_join(texts, wanted.select("_id", "_th", "node", "most"), ["_id", "_th"], "inner").dropDuplicates(["node"])
+    sets = compact(texts.select("node", "most", set_bytes("_text").alias("values")), 2000)
+    own = compact(_own_shingles(sets.filter(F.col("most") > LARGE)))
+    facts = wanted.join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
     order = Window.partitionBy("bucket").orderBy("own", "node")
     members = members.join(facts, "node").withColumn("own", F.when(F.col("members") > LARGE, F.col("own")).otherwise(0))
-    members = durable(members.withColumn("rank", F.row_number().over(order) - 1))
+    members = compact(members.withColumn("rank", F.row_number().over(order) - 1))
+
+    # groups of large buckets that share members; each member by its difference from one of the group
+    large = members.filter(F.col("members") > LARGE)
+    star = large.filter("rank = 0").select("bucket", F.col("node").alias("a")).join(large.select("bucket", F.col("node").alias("b")), "bucket").select("a", "b")
+    differences = _differences(sets, components(star), own)
 
     share = percent / 100
     agree = math.floor(BANDS * ROWS * (share - 5 * math.sqrt(share * (1 - share) / (BANDS * ROWS))))
-    labels = wanted.select("node", F.col("node").alias("label"))  # each its own, to begin with
-    found = None
-    first, until = 0, 1
-    while True:
+    signatures = wanted.select("node", "minima")
+    keys = wanted.select("node", F.col("bands").alias("keys"))
+    labels = compact(wanted.select("node", F.col("node").alias("label")))  # each its own, to begin with
+    first, until, step = 0, 1, PIVOTS
+    while not members.isEmpty():
         side = members.join(labels, "node")
-        low = side.filter(F.col("rank").between(first, until - 1)).select(*(F.col(c).alias(f"{c}_a") for c in ("node", "n", "own", "rank", "label", "minima")), "bucket")
-        high = side
-        could = F.least(F.col("n") - F.col("own"), F.col("n_a") - F.col("own_a")) * 100 >= percent * F.greatest(F.col("n") + F.col("own_a"), F.col("n_a") + F.col("own"))
-        same = F.aggregate(F.zip_with("minima", "minima_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-        pairs = low.join(high, "bucket").filter((F.col("rank") > F.col("rank_a")) & (F.col("label") != F.col("label_a")) & could)
-        pairs = pairs.filter(same >= agree).select("node_a", "node", "n_a", "n").distinct()
+        if first:  # few are left: with all their keys, a pair is made in its first common bucket only
+            side = side.join(keys, "node")
+        links = _links_by_sets(_meet(side if not first else side.filter(F.col("members") <= LARGE), first, until, percent), signatures, sets, percent, agree)
         if first:
-            pairs = pairs.join(tested, ["node_a", "node"], "left_anti")
-        pairs = durable(pairs)
-        tested = pairs.select("node_a", "node") if not first else durable(tested.union(pairs.select("node_a", "node")))
-        both = pairs.join(sets.select(F.col("node").alias("node_a"), F.col("values").alias("x")), "node_a").join(sets.select("node", F.col("values").alias("y")), "node")
-        both = both.select("node_a", "node", "n_a", "n", _shared(F.col("x"), F.col("y")).alias("i"))
-        links = both.filter(F.col("i") * 100 >= (F.col("n_a") + F.col("n") - F.col("i")) * percent).select(F.col("node_a").alias("a"), F.col("node").alias("b"))
-        found = durable(links if found is None else found.union(links))
-        labels = wanted.select("node").join(components(found), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-        labels = durable(labels)
-        first, until = until, until + PIVOTS
+            exact = side.filter(F.col("members") > LARGE).join(differences, "node")
+            links = links.unionByName(_meet(exact, first, until, percent, True).select(F.col("label_a").alias("a"), F.col("label").alias("b")))
+        links = compact(links.distinct())
+        if not links.isEmpty():
+            joined = components(links).toDF("label", "new")
+            labels = compact(labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
+        first, until, step = until, until + step, step * MORE
         # a bucket goes on while later pivots are left and two components whose members could still link
         members = members.filter(F.col("rank") >= first)
         state = members.join(labels, "node").groupBy("bucket").agg(F.min("own").alias("lightest"), F.min("label").alias("l"), F.max("label").alias("h"))
         state = state.filter(F.col("l") != F.col("h")).select("bucket", "lightest")
         room = (F.col("n") - F.col("own")) * 100 >= percent * (F.col("n") + F.col("lightest"))
         going = members.join(state, "bucket").filter(room).groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
-        members = durable(members.join(going, "bucket", "left_semi"))
-        if members.isEmpty():
-            break
+        members = compact(members.join(going.select("bucket"), "bucket", "left_semi"))
 
     # the smallest key of each component, and each row's
     linked = labels.filter(F.col("node") != F.col("label")).select("node", "label")
