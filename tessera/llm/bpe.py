@@ -33,7 +33,7 @@ WINDOW = 16
 #: A chunk has so many bytes in the mean, as a power of two.
 CHUNK_BITS = 9
 #: Bytes of chunk text a worker remembers.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 24 << 20
 
 
 def gear_table(seed: int = 1) -> np.ndarray:
