@@ -51,8 +51,14 @@ def durable(df: DataFrame) -> DataFrame:
 
 def compact(df: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
     """``durable(df)`` in as many partitions as its rows need, so that small tables shuffle few files."""
+    return counted(df, rows_a_task)[0]
+
+
+def counted(df: DataFrame, rows_a_task: int = 50_000) -> tuple[DataFrame, int]:
+    """``compact(df)`` and its number of rows."""
     done = durable(df)
-    return done.coalesce(max(1, -(-done.count() // rows_a_task)))
+    n = done.count()
+    return done.coalesce(max(1, -(-n // rows_a_task))), n
 
 
 def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, bounded_batches, compact, durable, small_join
+from tessera.llm.common import BROADCAST_ROWS, bounded_batches, compact, counted, durable, small_join
 
 BANDS, ROWS = 24, 5
 #: Pivots of the second round; each later round has MORE times as many.
-PIVOTS, MORE = 8, 4
+PIVOTS, MORE = 32, 16
 #: Of larger buckets it is counted which shingles only one member has.
 LARGE = 32
 #: Stands for a null key.
@@ -133,19 +133,19 @@ def components(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star until the edges no longer change; each turn
     is written to the shared checkpoint folder.
     """
-    edges = compact(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
     state = None
     while True:
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
             return _both(edges, ("a", "b"), ("b", "b")).toDF("node", "label").distinct()
-        state = now
+        state, edges = now, edges.coalesce(max(1, -(-now["n"] // 50_000)))
         both = _both(edges, ("a", "b"), ("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"))
         large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
         large = large.filter("a <> b").distinct()
         small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        edges = compact(_both(small, ("b", "m"), ("a", "m")).toDF("a", "b").filter("a <> b").distinct())
+        edges = durable(_both(small, ("b", "m"), ("a", "m")).toDF("a", "b").filter("a <> b").distinct())
 
 
 def _both(df: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
@@ -224,8 +224,8 @@ def _links_by_sets(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, per
     """(a, b): labels of the pairs whose signatures agree in ``agree`` places and whose full sets reach the threshold."""
     pairs = pairs.distinct().join(signatures.toDF("node_a", "minima_a"), "node_a").join(signatures, "node")
     same = F.aggregate(F.zip_with("minima", "minima_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    pairs = compact(pairs.filter(same >= agree).drop("minima", "minima_a"), 5000)
-    few = F.broadcast(pairs) if pairs.count() <= BROADCAST_ROWS else pairs
+    pairs, n = counted(pairs.filter(same >= agree).drop("minima", "minima_a"), 5000)
+    few = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
     one = sets.select(F.col("node").alias("node_a"), F.col("values").alias("x")).join(few, "node_a")
     two = sets.select("node", F.col("values").alias("y")).join(few.select("node_a", "node"), "node")
     both = one.join(two, ["node_a", "node"]).select("label_a", "label", "n_a", "n", _shared(F.col("x"), F.col("y")).alias("i"))
@@ -298,7 +298,7 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
     facts = wanted.join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
     order = Window.partitionBy("bucket").orderBy("own", "node")
     members = members.join(facts, "node").withColumn("own", F.when(F.col("members") > LARGE, F.col("own")).otherwise(0))
-    members = compact(members.withColumn("rank", F.row_number().over(order) - 1))
+    members, left = counted(members.withColumn("rank", F.row_number().over(order) - 1))
 
     # groups of large buckets that share members; each member by its difference from one of the group
     large = members.filter(F.col("members") > LARGE)
@@ -311,7 +311,7 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
     keys = wanted.select("node", F.col("bands").alias("keys"))
     labels = compact(wanted.select("node", F.col("node").alias("label")))  # each its own, to begin with
     first, until, step = 0, 1, PIVOTS
-    while not members.isEmpty():
+    while left:
         side = members.join(labels, "node")
         if first:  # few are left: with all their keys, a pair is made in its first common bucket only
             side = side.join(keys, "node")
@@ -319,8 +319,8 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
         if first:
             exact = side.filter(F.col("members") > LARGE).join(differences, "node")
             links = links.unionByName(_meet(exact, first, until, percent, True).select(F.col("label_a").alias("a"), F.col("label").alias("b")))
-        links = compact(links.distinct())
-        if not links.isEmpty():
+        links, n = counted(links.distinct())
+        if n:
             joined = components(links).toDF("label", "new")
             labels = compact(labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
         first, until, step = until, until + step, step * MORE
@@ -330,7 +330,7 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
         state = state.filter(F.col("l") != F.col("h")).select("bucket", "lightest")
         room = (F.col("n") - F.col("own")) * 100 >= percent * (F.col("n") + F.col("lightest"))
         going = members.join(state, "bucket").filter(room).groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
-        members = compact(members.join(going.select("bucket"), "bucket", "left_semi"))
+        members, left = counted(members.join(going.select("bucket"), "bucket", "left_semi"))
 
     # the smallest key of each component, and each row's
     linked = labels.filter(F.col("node") != F.col("label")).select("node", "label")
