@@ -6,7 +6,8 @@ m + 1 - q - q * e of its q-grams with the place, on diagonals (place in the docu
 less place in the passage) within a stretch of e + 1. For each passage, shared
 q-grams are counted in cells of e + 1 diagonals; two neighbouring cells form a band,
 so that bands overlap and one of them holds the whole stretch. Bands that meet the
-bound are aligned, within the band, and reported if the edits are within the budget.
+bound are aligned, those of a run of neighbours (repetitive passages) as one, and
+reported if the edits are within the budget.
 
 Defined results: null and empty texts and passages match nothing; passages of fewer
 than LEAST_CHARS characters are not searched for; of several places of a passage in a
@@ -161,16 +162,14 @@ class Index:
         before = np.searchsorted(keys, keys - 1)
         prior = np.where((before < len(keys)) & (keys[np.minimum(before, len(keys) - 1)] == keys - 1), counts[np.minimum(before, len(keys) - 1)], 0)
         meets = np.maximum(counts + beside, counts + prior) >= self.least[keys // cells]
-        last = (-1, -1)
-        for k in keys[meets].tolist():
-            i, c = divmod(k, cells)
-            if last == (i, c - 1):  # its band was aligned with the cell before
-                last = (i, c)
-                continue
-            last = (i, c)
+        met = keys[meets]
+        # runs of neighbouring cells are aligned as one band, with the cell beside each end
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(met) != 1))) if len(met) else met
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(met)).tolist()):
+            i, first = divmod(int(met[a]), cells)
             w, m = int(self.edits[i]) + 1, int(self.size[i])
-            low = (c - 1) * w - m
-            found = align(self.codes[i], codes, low, low + 4 * w, int(self.edits[i]))
+            low = (first - 1) * w - m
+            found = align(self.codes[i], codes, low, low + (b - a + 2) * w - 1, int(self.edits[i]))
             if found:
                 yield (i, *found)
 
@@ -191,7 +190,7 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     end, edits = _ends(passage, text, low, high, budget)
     if edits > budget:
         return None
-    back, _ = _ends(passage[::-1], text[:end][::-1], end - len(passage) - high, end - len(passage) - low, budget, fixed=True)
+    back, edits = _ends(passage[::-1], text[:end][::-1], -edits, edits, edits, fixed=True)  # so many edits leave no other diagonals
     return end - back, end, edits
 
 

@@ -207,6 +207,34 @@ def test_decontamination_finds_all_within_the_budget():
         assert not index.search(clean)
 
 
+def test_decontamination_of_repetitive_passages():
+    """A run of neighbouring cells meets the bound; the match may lie anywhere along it."""
+    rnd = random.Random(12)
+    words = ["ther", "tion", "ing", "and", "the", "her", "re", "on", "wh", "ble", "of", "st"]
+    make = lambda n: " ".join("".join(rnd.choice(words) for _ in range(rnd.randint(1, 4))) for _ in range(n))
+    units = ["the cat sat on the mat", "1 2 3 4 5 6 7 8 9 0", "return none if x is none else", "abc", "row 12 of 340"]
+    for turn in range(80):
+        unit = units[turn % len(units)]
+        passage = f"{make(rnd.randint(0, 3))} {' '.join([unit] * rnd.randint(3, 14))} {make(rnd.randint(0, 3))}".strip()
+        index = D.Index([(1, passage)])
+        if not index.ids:
+            continue
+        norm = "".join(map(chr, index.codes[0].tolist()))
+        chars = list(norm)
+        for _ in range(rnd.choice([0, 0, int(len(chars) * 0.1), int(len(chars) * 0.14)])):
+            at, kind = rnd.randrange(len(chars)), rnd.random()
+            chars[at : at + 1] = [rnd.choice("xyz")] if kind < 0.4 else [] if kind < 0.7 else [chars[at], "q"]
+        beside = " ".join([unit] * rnd.randint(0, 12))
+        doc = f"{make(rnd.randint(0, 30))} {beside} {''.join(chars)} {make(rnd.randint(0, 2))} {beside} {make(rnd.randint(0, 30))}"
+        doc = "".join(map(chr, D.normalise(doc)[0].tolist()))  # so that places are those of the compared characters
+        fewest = edits(norm, doc)
+        found = index.search(doc)
+        assert bool(found) == (fewest <= int(index.edits[0])), (turn, fewest, int(index.edits[0]))
+        if found:
+            _, start, end, d = min(found, key=lambda x: x[3])
+            assert d == fewest == edits(norm, doc[start:end])
+
+
 def test_decontamination_cases(spark):
     passage = "The quick brown fox, jumped over the lazy dogs & ran 42 miles home."
     long = "filler words here " * 40_000
