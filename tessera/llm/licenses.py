@@ -1,8 +1,8 @@
 """License scan (operator 2).
 
 Each whole text is reduced to its words, joined by single spaces. An Aho-Corasick
-pass finds which rule keywords occur; only rules whose keyword is there run their
-regex. Detections are then resolved by priority: one that lies inside a kept
+pass finds which rule keywords occur; only rules of which a keyword is there run
+their regex, and each text a regex can match holds one. Detections are then resolved by priority: one that lies inside a kept
 detection of the same or a higher priority is suppressed. Base phrases are
 reported at all their places, whatever is suppressed.
 
@@ -42,7 +42,8 @@ def _matcher(rules: tuple[Rule, ...]):
 
     by_word: dict[str, list[int]] = {}
     for i, rule in enumerate(rules):
-        by_word.setdefault(f" {rule.keyword} ", []).append(i)
+        for keyword in rule.keywords:
+            by_word.setdefault(f" {keyword} ", []).append(i)
     found = ahocorasick.Automaton()
     for word, which in by_word.items():
         found.add_word(word, which)

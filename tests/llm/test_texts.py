@@ -60,6 +60,49 @@ def test_license_containment_suppression():
     assert licenses.resolve([(0, 10, inner), (2, 5, outer)], rules) == [(0, 10, inner), (2, 5, outer)]
 
 
+def written(parsed):
+    """All texts that a parsed regex matches; a repeat of any character is one character."""
+    made = [""]
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            each = [chr(arg)]
+        elif name == "IN":
+            each = [chr(c) for kind, c in arg if str(kind) == "LITERAL"]
+            assert len(each) == len(arg)
+        elif name == "ANY":
+            each = ["x"]
+        elif name == "SUBPATTERN":
+            each = written(arg[3])
+        elif name == "BRANCH":
+            each = [x for branch in arg[1] for x in written(branch)]
+        else:
+            least, most, inner = arg
+            assert name == "MAX_REPEAT" and least in (0, 1) and (most == 1 or str(inner[0][0]) == "ANY")
+            each = [""] * (least == 0) + written(inner)
+        made = [a + b for a in made for b in each]
+    return made
+
+
+def test_license_keywords_are_in_all_a_rule_matches():
+    for rule in license_rules.RULES:
+        texts = written(re._parser.parse(rule.pattern))
+        assert license_rules.compiled(rule).search(f" {texts[-1]} ")
+        for text in texts:
+            assert any(f" {k} " in f" {text} " for k in rule.keywords), (rule.label, text)
+
+
+@pytest.mark.parametrize("text,label", [
+    ("licensed under the GPLv3", "gpl-3"), ("Licensed under the GPLv2.", "gpl-2"), ("distributed under the LGPLv3", "lgpl-3"),
+    ("released under the AGPLv3 license", "agpl-3"), ("available under the European Union Public Licence 1.2", "eupl-1.2"),
+    ("licensed under the Common Development and Distribution License", "cddl-1"), ("Licensed under ASL 2.0", "apache-2"),
+    ("under the Open Software License", "osl-3"), ("under the FreeBSD license", "bsd-2-clause"),
+])
+def test_license_names_without_the_first_keyword(text, label):
+    found = licenses.scan(text)
+    assert label in found[5].split(",") and found[6] > 0
+
+
 def test_token_counts_equal_the_library():
     path = P.path("piece_bpe_32k.model")
     vocabulary = token_counts.vocabulary(path)
