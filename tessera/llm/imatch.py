@@ -7,8 +7,9 @@ the hash of the document's sorted distinct terms in that subset. Likeness is the
 share of equal parts among those to which either document has a term.
 
 Defined results: null texts count as empty; documents with fewer than FEW terms in
-the lexicon use all their terms; without any term all parts are empty, and two such
-documents are alike (1.0). Repeated rows are fingerprinted each; an empty table gives
+the lexicon use all their terms; if none of its terms is in a subset, each part of a
+document is the hash of all of them; without any term all parts are empty, and two
+such documents are alike (1.0). Repeated rows are fingerprinted each; an empty table gives
 no rows; columns of the result's names are replaced.
 """
 
@@ -63,14 +64,18 @@ def _member(at: int, bits: int):
     return lambda t: F.shiftrightunsigned(t, at).bitwiseAND((1 << bits) - 1) == 0
 
 
+def digits(words: Column) -> Column:
+    """Eight hexadecimal digits of the terms' hash."""
+    return F.lower(F.substring(F.lpad(F.hex(F.xxhash64(words)), 16, "0"), 1, 8))
+
+
 def parts(words: Column) -> Column:
     """The fingerprint's parts: eight hexadecimal digits for each subset, EMPTY if no term is in it."""
     made = []
     for i, bits in enumerate(SUBSET_BITS):
         at = (i * 7) % (64 - bits)
         own = F.filter(words, _member(at, bits))
-        digits = F.lower(F.substring(F.lpad(F.hex(F.xxhash64(own)), 16, "0"), 1, 8))
-        made.append(F.when(F.size(own) > 0, digits).otherwise(EMPTY))
+        made.append(F.when(F.size(own) > 0, digits(own)).otherwise(EMPTY))
     return F.array(*made)
 
 
@@ -87,7 +92,10 @@ def fingerprint(df: DataFrame, words: DataFrame, text: str = "text", out: str =
     rows = df.withColumn("_all", terms(text_or_empty(F.col(text)))).withColumn("_in", F.col("_all"))
     rows = in_lexicon(rows, words, "_in")
     rows = rows.withColumn("_in", F.when(F.size("_in") >= FEW, F.col("_in")).otherwise(F.col("_all")))
-    return rows.withColumn(out, parts(F.col("_in"))).drop("_all", "_in")
+    rows = rows.withColumn(out, parts(F.col("_in")))
+    # the terms may be in no subset; without this, all such documents would look alike
+    none = F.forall(F.col(out), lambda p: p == EMPTY) & (F.size("_in") > 0)
+    return rows.withColumn(out, F.when(none, F.array_repeat(digits(F.col("_in")), len(SUBSET_BITS))).otherwise(F.col(out))).drop("_all", "_in")
 
 
 def with_next(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Window]:

@@ -158,6 +158,22 @@ def test_fingerprint_edges(spark, rows):
         assert all(r["near_next"] == 1.0 for r in made)
 
 
+def test_fingerprints_of_terms_in_no_subset(spark):
+    rows = [(i, f"word{i}") for i in range(200)] + [(200 + i, f"WORD{i}!") for i in range(200)] + [(400, None), (401, "--")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    words = durable(imatch.lexicon(df, "text", 0.5, 0.6))
+    made = imatch.fingerprint(df, words).withColumn("_parts", imatch.parts(imatch.terms(imatch.text_or_empty(F.col("text")))))
+    made = {r["doc_id"]: r for r in made.collect()}
+    empty = [imatch.EMPTY] * len(imatch.SUBSET_BITS)
+    missed = [i for i in range(200) if made[i]["_parts"] == empty]
+    assert len(missed) > 20 and [i for i in made if made[i]["fingerprint"] == empty] == [400, 401]
+    assert len({tuple(made[i]["fingerprint"]) for i in missed}) == len(missed)
+    assert all(made[i]["fingerprint"] == made[200 + i]["fingerprint"] for i in range(200))
+    pairs = [(made[a]["fingerprint"], made[b]["fingerprint"]) for a, b in ((missed[0], missed[1]), (missed[0], 200 + missed[0]), (missed[0], 400), (400, 401))]
+    alike = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a array<string>, b array<string>")
+    assert [r[0] for r in alike.sort("k").select(imatch.likeness(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 0.0, 1.0]
+
+
 def test_fingerprint_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     expected = {k: hashlib.sha256(t.encode()).hexdigest() for k, t in edited(docs).items()}
