@@ -2,7 +2,7 @@
 
 A rolling (gear) hash over the UTF-8 bytes cuts each text where its top bits are
 zero, so equal passages give equal chunks wherever they stand. A worker encodes and
-decodes each distinct chunk once, within a bounded memory. At a joint of two chunks
+decodes a distinct chunk once until its bounded memory is full and all is forgotten. At a joint of two chunks
 the text is encoded again: the stretch is widened to both sides until it reaches
 sync points, places where both sides' tokens must agree (a visible ASCII character
 followed by a space: the byte-level pattern always splits there, and no token or
@@ -32,7 +32,7 @@ from tessera.llm.common import bounded_batches
 WINDOW = 16
 #: A chunk has so many bytes in the mean, as a power of two.
 CHUNK_BITS = 9
-#: Bytes of chunk text a worker remembers.
+#: Bytes a worker remembers, with 8 for each byte of chunk text and 200 a chunk; beyond, all is forgotten.
 CACHE_BYTES = 24 << 20
 
 
