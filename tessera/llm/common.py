@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows and bytes an Arrow batch may hold, so that long texts do not fill a worker.
@@ -32,16 +33,28 @@ def bounded_batches(spark: SparkSession) -> None:
                 raise
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a session on one machine (tests) may go without; it gets a temporary one.
+    """
+    at = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if at is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="tessera-checkpoint-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(at)
+    return at
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and cut from its lineage.
 
-    The folder is the one in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary one is made.
+    Spark deletes the files when the result is no longer used, if the session has
+    ``spark.cleaner.referenceTracking.cleanCheckpoints``.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tessera-checkpoint-"))
+    shared_folder(df.sparkSession)
     done = df.checkpoint(eager=True)
     # The checkpoint keeps its plan's size estimate, a product over all joins so far. In loops
     # that grows beyond all bounds, so the rows are taken as a table of unknown size.
@@ -49,30 +62,26 @@ def durable(df: DataFrame) -> DataFrame:
     return DataFrame(session.internalCreateDataFrame(done._jdf.queryExecution().toRdd(), done._jdf.schema(), False), df.sparkSession)
 
 
-def compact(df: DataFrame, rows_a_task: int = 50_000) -> DataFrame:
-    """``durable(df)`` in as many partitions as its rows need, so that small tables shuffle few files."""
-    return counted(df, rows_a_task)[0]
+def counted(df: DataFrame, rows_a_task: int = 50_000, *others: Column) -> tuple:
+    """``durable(df)`` in as many partitions as its rows need, its number of rows and ``others`` (aggregates).
 
+    The figures are observed as the rows are written, without a pass of their own.
+    """
+    seen = Observation()
+    done = durable(df.observe(seen, F.count("*").alias("n"), *(c.alias(f"c{i}") for i, c in enumerate(others))))
+    n = seen.get["n"]
+    return done.coalesce(max(1, -(-n // rows_a_task))), n, *(seen.get[f"c{i}"] for i in range(len(others)))
 
-def counted(df: DataFrame, rows_a_task: int = 50_000) -> tuple[DataFrame, int]:
-    """``compact(df)`` and its number of rows."""
-    done = durable(df)
-    n = done.count()
-    return done.coalesce(max(1, -(-n // rows_a_task))), n
 
+def if_small(df: DataFrame, n: int) -> DataFrame:
+    """``df`` of ``n`` counted rows (of a few numbers each) to be broadcast if they are at most BROADCAST_ROWS; else it is shuffled."""
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
-def small_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join where ``right`` is unique by ``keys``: broadcast if counted to be small.
 
-    Beyond BROADCAST_ROWS the join is shuffled with the left side salted, so that
-    a hot key spreads over 32 tasks; the right side is repeated for each salt.
-    """
-    if right.count() <= BROADCAST_ROWS:
-        return left.join(F.broadcast(right), keys, how)
-    salts = 32
-    salted = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    spread = left.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
-    return spread.join(salted, [*keys, "_salt"], how).drop("_salt")
+def free_names(df: DataFrame, k: int) -> list[str]:
+    """``k`` column names that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return list(itertools.islice((x for i in itertools.count() if (x := f"__{i}") not in taken), k))
 
 
 def text_or_empty(col: Column) -> Column:

@@ -2,26 +2,26 @@
 
 A document's set is its distinct word shingles. Documents with equal sets are one
 class. Each class gets many universal hash minima; bands of them put classes that may
-be alike into common buckets. Within a bucket the members are ordered, the lightest
-first (fewest shingles that no other member of a large bucket has), and are compared
-with pivots: first the lightest member, then the following ones. Only members that are not
-yet connected to the pivot and whose sizes and own shingles allow a link are compared:
-by signature and then on their full sets; in large buckets, after the first round, by
-their exact differences from one set of their group, which says the same. Rounds go on
-until no pair of a bucket is left that could connect two components, so that no bucket
-is capped, and a bucket of near copies yields about one pair for each member.
-Components come by alternating large-star and small-star.
+be alike into common buckets, and one bit of each is its signature. In each bucket the
+lightest member (fewest shingles that no other member of a large bucket has) is the
+pivot, and every other one is compared with it: by signature and sizes, then on the full
+sets. What these links leave in different components is compared in a second round:
+in small buckets each pair, in the same way; in large ones each member outside the
+largest component with the others, by their exact differences from the pivot, which say
+the same as the full sets without being moved again. So no bucket is capped, and a large
+bucket of near copies yields about one pair for each member. Components come by
+alternating large-star and small-star.
 
 A pair at the threshold misses all bands with a chance below 1e-6 (0.85) or 1e-4
-(0.8), and the signature test with one below 1e-6. Classes are named by 64 bits of a
-digest of their set; other 64 bits show whether two sets share a name, and then all
-are named anew with another salt.
-
-Defined results: null, empty and blank texts have an empty set and are linked with
-nothing; a text of fewer words than a shingle has the whole sequence as one; repeated
-rows are copies; the component id is the smallest non-null key reachable, null where
-there is none, and a row with a null key is not kept; columns of the result's names
-are replaced.
+(0.8), and the signature test with one below SIGNATURE_MISS. Classes are named by 64
+bits of a digest of their set; other 64 bits show whether two sets share a name, and
+then all are named anew with another salt.
+
+Defined results: keys are of any type with an order; null, empty and blank texts have an
+empty set and are linked with nothing; a text of fewer words than a shingle has the whole
+sequence as one; repeated rows are copies; the component id is the smallest non-null key
+reachable, null where there is none, and a row with a null key is not kept; other columns
+are neither read nor, by ``drop_duplicates``, changed, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,18 +34,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, bounded_batches, compact, counted, durable, small_join
+from tessera.llm.common import bounded_batches, counted, durable, free_names, if_small
 
 BANDS, ROWS = 24, 5
-#: Pivots of the second round; each later round has MORE times as many.
-PIVOTS, MORE = 32, 16
-#: Of larger buckets it is counted which shingles only one member has.
+#: Chance of a pair at the threshold to fail the signature test.
+SIGNATURE_MISS = 1e-6
+#: Larger buckets are compared by differences from their pivot.
 LARGE = 32
-#: Stands for a null key.
-NO_KEY = -(1 << 63)
+#: Edges that one task contracts or joins.
+EDGES_A_TASK = 100_000
 #: A worker remembers the hashes of so many words.
 CACHE_WORDS = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], dtype=np.uint64)
@@ -108,44 +108,84 @@ def _names(values: np.ndarray, salt: int) -> tuple[int, int]:
 
 
 def sketches(text: Column, width: int, salt: int) -> Column:
-    """Struct: n (set size), node and other (digests of the set; null if empty), bands, minima."""
+    """Struct: n (set size), node and other (digests of the set; null if empty), bands, and a bit of each minimum in two longs."""
 
-    @F.pandas_udf("n long, node long, other long, bands array<long>, minima array<int>")
+    @F.pandas_udf("n long, node long, other long, bands array<long>, bits_1 long, bits_2 long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        half = BANDS * ROWS // 2
+        place = np.left_shift(np.uint64(1), np.arange(half, dtype=np.uint64))
         for texts in batches:
             made = []
             for t in texts:
                 values = shingles(t, width)
                 if not len(values):
-                    made.append((0, None, None, None, None))
+                    made.append((0, None, None, None, None, None))
                     continue
                 signature = minima(values)
-                made.append((len(values), *_names(values, salt), band_keys(signature), signature.view(np.int32)))
-            made = pd.DataFrame(made, columns=["n", "node", "other", "bands", "minima"], dtype=object)
-            yield made.astype({"n": "int64", "node": "Int64", "other": "Int64"})
+                bits = (signature & np.uint32(1)).astype(np.uint64)
+                made.append((len(values), *_names(values, salt), band_keys(signature), int(bits[:half] @ place), int(bits[half:] @ place)))
+            made = pd.DataFrame(made, columns=["n", "node", "other", "bands", "bits_1", "bits_2"], dtype=object)
+            yield made.astype({"n": "int64", "node": "Int64", "other": "Int64", "bits_1": "Int64", "bits_2": "Int64"})
 
     return run(text)
 
 
+def least_agreement(share: float) -> int:
+    """Bits of the signature that two sets of similarity ``share`` agree in, but for a chance of SIGNATURE_MISS.
+
+    A bit agrees if the minima are equal, and else by half of all chances.
+    """
+    k, p = BANDS * ROWS, (1 + share) / 2
+    below, at = 0.0, 0
+    while at < k and below + math.comb(k, at) * p**at * (1 - p) ** (k - at) < SIGNATURE_MISS:
+        below += math.comb(k, at) * p**at * (1 - p) ** (k - at)
+        at += 1
+    return at
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) with each partition's replaced by edges from its nodes to the smallest of their local component."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while (p := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[p]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch["a"].tolist(), batch["b"].tolist()):
+                a, b = find(a), find(b)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+        made = [(x, find(x)) for x in list(parent)]
+        yield pd.DataFrame([m for m in made if m[0] != m[1]], columns=["a", "b"], dtype="int64")
+
+    return edges.mapInPandas(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of each node of ``edges`` (a, b): label is its component's smallest node.
 
-    Alternates large-star and small-star until the edges no longer change; each turn
-    is written to the shared checkpoint folder.
+    Each partition's edges are contracted first; then large-star and small-star alternate
+    until a turn changes no edge. Each turn is written to the shared checkpoint folder.
     """
-    edges = durable(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if now == state or not now["n"]:
-            return _both(edges, ("a", "b"), ("b", "b")).toDF("node", "label").distinct()
-        state, edges = now, edges.coalesce(max(1, -(-now["n"] // 50_000)))
+    edges, n = counted(edges.select("a", "b").filter("a <> b"), EDGES_A_TASK)
+    edges, n = counted(_contracted(edges), EDGES_A_TASK)
+    while n:
         both = _both(edges, ("a", "b"), ("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("m", "u").alias("b"))
-        large = large.filter("a <> b").distinct()
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        edges = durable(_both(small, ("b", "m"), ("a", "m")).toDF("a", "b").filter("a <> b").distinct())
+        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.least("m", "u").alias("b"), (F.col("m") < F.col("u")).alias("moved"))
+        large = large.groupBy("a", "b").agg(F.max("moved").alias("moved"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").withColumn("moved", F.col("moved") | (F.col("m") < F.col("b")))
+        made = small.select(F.explode(F.array(F.struct(F.col("b").alias("x"), F.col("m").alias("y"), "moved"), F.struct(F.col("a").alias("x"), F.col("m").alias("y"), "moved"))).alias("p"))
+        made = made.select(F.col("p.x").alias("a"), F.col("p.y").alias("b"), "p.moved").filter("a <> b").groupBy("a", "b").agg(F.max("moved").alias("moved"))
+        made, n, moved = counted(made, EDGES_A_TASK, F.max("moved"))
+        edges = made.select("a", "b")
+        if not moved:
+            break
+    return _both(edges, ("a", "b"), ("b", "b")).toDF("node", "label").distinct()
 
 
 def _both(df: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFrame:
@@ -153,35 +193,31 @@ def _both(df: DataFrame, one: tuple[str, str], two: tuple[str, str]) -> DataFram
     return df.select(F.explode(F.array(*(F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x, y in (one, two)))).alias("p")).select("p.x", "p.y")
 
 
-def _shared(a: Column, b: Column) -> Column:
-    """Size of the intersection of two sets, each the bytes of sorted 64-bit values."""
-
-    @F.pandas_udf("long")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        load = lambda v: np.frombuffer(v, dtype=np.uint64)
-        return pd.Series([len(np.intersect1d(load(p), load(q), assume_unique=True)) for p, q in zip(x, y)], dtype="int64")
-
-    return run(a, b)
+def _compared(a: Column, b: Column, differences: Column) -> Column:
+    """Struct: size of the intersection of two sets (bytes of sorted 64-bit values); if asked for, what b lacks of a and adds to it."""
 
+    @F.pandas_udf("both long, lacks array<long>, adds array<long>")
+    def run(x: pd.Series, y: pd.Series, asked: pd.Series) -> pd.DataFrame:
+        made = []
+        for p, q, wanted in zip(x, y, asked):
+            p, q = np.frombuffer(p, dtype=np.int64), np.frombuffer(q, dtype=np.int64)
+            if wanted:
+                lacks = np.setdiff1d(p, q, True)
+                made.append((len(p) - len(lacks), lacks, np.setdiff1d(q, p, True)))
+            else:
+                made.append((len(np.intersect1d(p, q, True)), None, None))
+        return pd.DataFrame(made, columns=["both", "lacks", "adds"])
 
-def _differences(sets: DataFrame, groups: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, base, lacks, adds): a node's set against that of its group's lightest node, whose size is base.
+    return run(a, b, differences)
 
-    For x and y of a group the intersection has base - |lacks x or y| + |adds x and y|
-    members, exactly; among near copies these arrays are short.
-    """
-    first = groups.join(own, "node", "left").groupBy("label").agg(F.min(F.struct(F.coalesce("own", F.lit(0)).alias("own"), "node")).alias("f"))
-    first = first.select("label", F.col("f.node").alias("node"))
-    lead = first.join(sets, "node").select("label", F.col("values").alias("lead"))
-
-    @F.pandas_udf("base long, lacks array<long>, adds array<long>")
-    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        load = lambda v: np.frombuffer(v, dtype=np.int64)
-        rows = [(len(v) // 8, np.setdiff1d(load(v), load(u), True), np.setdiff1d(load(u), load(v), True)) for u, v in zip(x, y)]
-        return pd.DataFrame(rows, columns=["base", "lacks", "adds"])
 
-    made = sets.select("node", "values").join(groups, "node").join(lead, "label")
-    return compact(made.select("node", run("values", "lead").alias("d")).select("node", "d.*"), 5000)
+def _met(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, large, ...) with n_a, n_b, both, lacks and adds from the full sets."""
+    pairs, n = counted(pairs)
+    one = sets.select(F.col("node").alias("b"), F.col("values").alias("y")).join(if_small(pairs, n), "b")
+    two = one.join(sets.select(F.col("node").alias("a"), F.col("values").alias("x")), "a")
+    made = two.select(*pairs.columns, (F.length("x") / 8).cast("long").alias("n_a"), (F.length("y") / 8).cast("long").alias("n_b"), _compared(F.col("x"), F.col("y"), F.col("large")).alias("_m"))
+    return made.select(*pairs.columns, "n_a", "n_b", "_m.both", "_m.lacks", "_m.adds")
 
 
 def _own_shingles(sets: DataFrame) -> DataFrame:
@@ -197,146 +233,155 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
     return alone.groupBy("node").agg(F.count("*").alias("own"))
 
 
-def _meet(side: DataFrame, first: int, until: int, percent: int, exact: bool = False) -> DataFrame:
-    """Pairs of a bucket's pivots (ranks from ``first`` to before ``until``) with members that follow them.
+def _reaches(both: Column, n: Column, m: Column, percent: int) -> Column:
+    return both * 100 >= (n + m - both) * percent
 
-    Only those that could connect two components and could link by their sizes and own
-    shingles; with ``exact`` (differences given) those that do link.
-    """
-    low = side.filter(F.col("rank").between(first, until - 1))
-    low = low.select(*(F.col(c).alias(f"{c}_a") for c in low.columns if c not in ("bucket", "members")), "bucket")
-    two = lambda c: (F.col(c), F.col(f"{c}_a"))
-    (n, m), (own, own_m) = two("n"), two("own")
-    could = (F.col("rank") > F.col("rank_a")) & (F.col("label") != F.col("label_a")) & (F.least(n - own, m - own_m) * 100 >= percent * F.greatest(n + own_m, m + own))
-    if exact:
-        reaches = lambda i: i * 100 >= (n + m - i) * percent
-        (lacks, lacks_m), (adds, adds_m) = two("lacks"), two("adds")
-        least = F.col("base") - F.size(lacks) - F.size(lacks_m)
-        could = could & reaches(least + F.least(F.size(lacks), F.size(lacks_m)) + F.least(F.size(adds), F.size(adds_m)))
-        could = could & reaches(least + F.size(F.array_intersect(lacks, lacks_m)) + F.size(F.array_intersect(adds, adds_m)))
-    if first:
-        met = F.filter(F.zip_with("keys", "keys_a", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-        could = could & (met[0] == F.col("bucket"))
-    return low.join(side, "bucket").filter(could).select("node_a", "node", "n_a", "n", "label_a", "label")
-
-
-def _links_by_sets(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int, agree: int) -> DataFrame:
-    """(a, b): labels of the pairs whose signatures agree in ``agree`` places and whose full sets reach the threshold."""
-    pairs = pairs.distinct().join(signatures.toDF("node_a", "minima_a"), "node_a").join(signatures, "node")
-    same = F.aggregate(F.zip_with("minima", "minima_a", lambda x, y: (x == y).cast("int")), F.lit(0), lambda x, y: x + y)
-    pairs, n = counted(pairs.filter(same >= agree).drop("minima", "minima_a"), 5000)
-    few = F.broadcast(pairs) if n <= BROADCAST_ROWS else pairs
-    one = sets.select(F.col("node").alias("node_a"), F.col("values").alias("x")).join(few, "node_a")
-    two = sets.select("node", F.col("values").alias("y")).join(few.select("node_a", "node"), "node")
-    both = one.join(two, ["node_a", "node"]).select("label_a", "label", "n_a", "n", _shared(F.col("x"), F.col("y")).alias("i"))
-    links = both.filter(F.col("i") * 100 >= (F.col("n_a") + F.col("n") - F.col("i")) * percent)
-    return links.select(F.col("label_a").alias("a"), F.col("label").alias("b"))
-
-
-def _result(df: DataFrame) -> DataFrame:
-    """n_shingles, component_id and kept of rows with their key as _id."""
-    own = F.when(F.col("_id") != NO_KEY, F.col("_id"))
-    component = F.when(F.col("node").isNull(), own).otherwise(F.col("component_id"))
-    return df.withColumn("component_id", component).withColumn("kept", F.coalesce(own == component, F.lit(False))).withColumnRenamed("n", "n_shingles")
 
+def _near(n: Column, m: Column, bits: list[tuple[Column, Column]], percent: int) -> Column:
+    """Whether sizes and signatures allow a link."""
+    differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in bits), F.lit(0))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= BANDS * ROWS - least_agreement(percent / 100))
 
-def duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
-    """A row for each row of ``df``: key, n_shingles, component_id, kept; linked: 100 * intersection >= percent * union."""
-    made = _result(_components_of_rows(df, key, text, width, percent))
-    return made.select(F.when(F.col("_id") != NO_KEY, F.col("_id")).alias(key), "n_shingles", "component_id", "kept")
 
+def _first_round(members: DataFrame, own: DataFrame, n_own: int, percent: int) -> DataFrame:
+    """Members of buckets with their bucket's pivot, and whether the two may be linked; members without room for any link are left out."""
+    facts = members.join(if_small(own, n_own), "node", "left").withColumn("own", F.when(F.col("members") > LARGE, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)))
+    pivots = facts.groupBy("bucket").agg(F.min(F.struct("own", "node", "n", "bits_1", "bits_2")).alias("p"))
+    both = facts.join(pivots, "bucket")
+    room = (F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("p.own")) * percent
+    near = _near(F.col("n"), F.col("p.n"), [(F.col("bits_1"), F.col("p.bits_1")), (F.col("bits_2"), F.col("p.bits_2"))], percent)
+    both = both.filter(room & (F.col("node") != F.col("p.node")))
+    return both.select("bucket", (F.col("members") > LARGE).alias("large"), "node", "n", "bits_1", "bits_2", F.col("p.node").alias("pivot"), near.alias("near"))
 
-def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """``df`` with one row of each component; a row with an empty set or the only one of its component stays.
 
-    Rows with a null key stay if no row with a key is in their component, as far as
-    their texts differ.
-    """
-    made = _result(_components_of_rows(df, key, text, width, percent))
-    keep = made.filter(F.col("kept") | F.col("component_id").isNull()).select("_id", "_th", F.xxhash64("node").alias("_class"))
-    keep = keep.groupBy("_id", "_th").agg(F.count("*").alias("_copies"), F.first("_class").alias("_class"))
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    rows = df.withColumns({"_id": ids, "_th": F.xxhash64(F.col(text))}).join(keep, ["_id", "_th"])
-    once = rows.filter(F.col("_copies") == 1)
-    again = rows.filter(F.col("_copies") > 1)  # repeated rows: one of each, but all with an empty set
-    shingled = F.length(F.trim(F.coalesce(F.col(text), F.lit("")))) > 0
-    kept = once.unionByName(again.filter(~shingled)).unionByName(again.filter(shingled).dropDuplicates(["_id", "_th"]))
-    return kept.select(*df.columns)
+def _small_pairs(side: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a small bucket in two components that sizes and signatures allow."""
+    side = side.select("bucket", "node", "n", "bits_1", "bits_2", "label")
+    other = side.select("bucket", *(F.col(c).alias(f"{c}_a") for c in side.columns if c != "bucket"))
+    near = _near(F.col("n"), F.col("n_a"), [(F.col("bits_1"), F.col("bits_1_a")), (F.col("bits_2"), F.col("bits_2_a"))], percent)
+    met = other.join(side, "bucket").filter((F.col("node_a") < F.col("node")) & (F.col("label_a") != F.col("label")) & near)
+    return met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.lit(False).alias("large"), "label_a", "label").distinct()
 
 
-def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
-    spark = df.sparkSession
-    bounded_batches(spark)
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    hashed = F.xxhash64(F.col(text))
+def _large_links(side: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
+    """Links (label_a, label) between members of a large bucket in two components, by their differences from its pivot.
+
+    For x and y with the same pivot the intersection has
+    n(pivot) - |lacks of x or y| + |adds of x and y| members, exactly.
+    """
+    largest = side.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("l"))
+    side = side.join(largest.select("bucket", F.col("l.label").alias("main")), "bucket")
+    side = side.join(differences, ["pivot", "node"]).select("bucket", "node", "n", "label", "main", "base", "lacks", "adds")
+    few = side.filter(F.col("label") != F.col("main")).select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "lacks", "adds")))
+    (n, m), (lacks, lacks_a), (adds, adds_a) = ((F.col(c), F.col(f"{c}_a")) for c in ("n", "lacks", "adds"))
+    either = F.size(lacks) + F.size(lacks_a)
+    most = F.col("base") - either + F.least(F.size(lacks), F.size(lacks_a)) + F.least(F.size(adds), F.size(adds_a))
+    both = F.col("base") - either + F.size(F.array_intersect(lacks, lacks_a)) + F.size(F.array_intersect(adds, adds_a))
+    once = (F.col("label") == F.col("main")) | (F.col("node_a") < F.col("node"))
+    met = few.join(side, "bucket").filter((F.col("label_a") != F.col("label")) & once & _reaches(most, n, m, percent) & _reaches(both, n, m, percent))
+    return met.select("label_a", "label").distinct()
+
+
+def _identity(key: Column, text: Column) -> list[Column]:
+    """128 bits of a row's key and text."""
+    return [F.xxhash64(F.lit(i), key.isNull(), key, text.isNull(), text).alias(f"t{i}") for i in (1, 2)]
+
+
+def _classes(df: DataFrame, key: Column, text: Column, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """Rows (key, t1, t2, n, node) and classes (node, least key, identity of one row, n, bands, bits) with their number."""
     for salt in range(8):
-        rows = df.select(ids.alias("_id"), hashed.alias("_th"), sketches(F.col(text), width, salt).alias("s")).select("_id", "_th", "s.*")
+        rows = df.select(key.alias("key"), *_identity(key, text), sketches(text, width, salt).alias("s")).select("key", "t1", "t2", "s.*")
         rows = durable(rows)
-        classes = rows.filter(F.col("node").isNotNull()).groupBy("node")
-        classes = durable(classes.agg(F.min("_id").alias("_id"), F.min("other").alias("o"), F.max("other").alias("p")))
-        if classes.filter(F.col("o") != F.col("p")).isEmpty():
-            break
+        same = {c: F.first(c).alias(c) for c in ("n", "bands", "bits_1", "bits_2")}
+        made = rows.filter(F.col("node").isNotNull()).groupBy("node").agg(
+            F.min("key").alias("least"), F.min(F.struct("t1", "t2")).alias("at"), *same.values(), (F.min("other") != F.max("other")).alias("clash"))
+        classes, n, clash = counted(made, 50_000, F.max("clash"))
+        if not clash:
+            return rows, classes, n
+    raise RuntimeError("classes could not be named")
 
+
+def _labels(df: DataFrame, text: Column, key: Column, classes: DataFrame, width: int, percent: int) -> tuple[DataFrame, int]:
+    """(node, label) of the classes that are linked, and their number."""
     # buckets of two classes or more
-    banded = rows.filter(F.col("node").isNotNull()).select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.min("node").alias("l"), F.max("node").alias("h")).filter("l < h").select("bucket")
-    members = compact(banded.join(shared, "bucket").distinct())
-    members = members.join(members.groupBy("bucket").agg(F.count("*").alias("members")), "bucket")
-    nodes = compact(members.groupBy("node").agg(F.max("members").alias("most")))
-    wanted = small_join(rows.drop("other"), nodes, ["node"], "inner")
-    wanted = compact(wanted.join(classes.select("node", "_id"), ["node", "_id"], "left_semi").dropDuplicates(["node"]), 5000)
+    banded = classes.select("node", "n", "bits_1", "bits_2", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    members, left = counted(banded.join(shared, "bucket"))
+    if not left:
+        return members.select("node", F.col("node").alias("label")), 0
+    nodes, n = counted(classes.select("node", "at").join(members.groupBy("node").agg(F.max("members").alias("most")), "node").select("node", "most", "at.t1", "at.t2"))
 
     # full sets of the classes in buckets, from their texts
     @F.pandas_udf("binary")
     def set_bytes(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: shingles(t, width).tobytes())
 
-    texts = df.select(ids.alias("_id"), hashed.alias("_th"), F.col(text).alias("_text"))
-    texts = small_join(texts, wanted.select("_id", "_th", "node", "most"), ["_id", "_th"], "inner").dropDuplicates(["node"])
-    sets = compact(texts.select("node", "most", set_bytes("_text").alias("values")), 2000)
-    own = compact(_own_shingles(sets.filter(F.col("most") > LARGE)))
-    facts = wanted.join(own, "node", "left").select("node", "n", F.coalesce("own", F.lit(0)).alias("own"))
-    order = Window.partitionBy("bucket").orderBy("own", "node")
-    members = members.join(facts, "node").withColumn("own", F.when(F.col("members") > LARGE, F.col("own")).otherwise(0))
-    members, left = counted(members.withColumn("rank", F.row_number().over(order) - 1))
-
-    # groups of large buckets that share members; each member by its difference from one of the group
-    large = members.filter(F.col("members") > LARGE)
-    star = large.filter("rank = 0").select("bucket", F.col("node").alias("a")).join(large.select("bucket", F.col("node").alias("b")), "bucket").select("a", "b")
-    differences = _differences(sets, components(star), own)
-
-    share = percent / 100
-    agree = math.floor(BANDS * ROWS * (share - 5 * math.sqrt(share * (1 - share) / (BANDS * ROWS))))
-    signatures = wanted.select("node", "minima")
-    keys = wanted.select("node", F.col("bands").alias("keys"))
-    labels = compact(wanted.select("node", F.col("node").alias("label")))  # each its own, to begin with
-    first, until, step = 0, 1, PIVOTS
-    while left:
-        side = members.join(labels, "node")
-        if first:  # few are left: with all their keys, a pair is made in its first common bucket only
-            side = side.join(keys, "node")
-        links = _links_by_sets(_meet(side if not first else side.filter(F.col("members") <= LARGE), first, until, percent), signatures, sets, percent, agree)
-        if first:
-            exact = side.filter(F.col("members") > LARGE).join(differences, "node")
-            links = links.unionByName(_meet(exact, first, until, percent, True).select(F.col("label_a").alias("a"), F.col("label").alias("b")))
-        links, n = counted(links.distinct())
-        if n:
-            joined = components(links).toDF("label", "new")
-            labels = compact(labels.join(joined, "label", "left").select("node", F.coalesce("new", "label").alias("label")))
-        first, until, step = until, until + step, step * MORE
-        # a bucket goes on while later pivots are left and two components whose members could still link
-        members = members.filter(F.col("rank") >= first)
-        state = members.join(labels, "node").groupBy("bucket").agg(F.min("own").alias("lightest"), F.min("label").alias("l"), F.max("label").alias("h"))
-        state = state.filter(F.col("l") != F.col("h")).select("bucket", "lightest")
-        room = (F.col("n") - F.col("own")) * 100 >= percent * (F.col("n") + F.col("lightest"))
-        going = members.join(state, "bucket").filter(room).groupBy("bucket").agg(F.count("*").alias("k")).filter("k > 1")
-        members, left = counted(members.join(going.select("bucket"), "bucket", "left_semi"))
+    texts = df.select(*_identity(key, text), text.alias("text")).join(if_small(nodes, n), ["t1", "t2"]).dropDuplicates(["node"])
+    sets = counted(texts.select("node", "most", set_bytes("text").alias("values")), 2000)[0]
+    own, n = counted(_own_shingles(sets.filter(F.col("most") > LARGE)))
+
+    side = durable(_first_round(members, own, n, percent))
+    pairs = side.filter("large OR near").groupBy(F.col("pivot").alias("a"), F.col("node").alias("b")).agg(F.max("large").alias("large"))
+    met = durable(_met(pairs, sets))
+    linked = components(met.filter(_reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b"))
+    labels, n = counted(linked)
+
+    # a second round for buckets whose members are not in one component
+    side = side.join(if_small(labels, n), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    apart = side.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket")
+    side, left = counted(side.join(apart, "bucket", "left_semi"))
+    if left:
+        found = _met(_small_pairs(side.filter(~F.col("large")), percent), sets)
+        found = found.filter(_reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("label_a", "label")
+        differences = met.filter("large").select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_a").alias("base"), "lacks", "adds")
+        found = found.union(_large_links(side.filter("large"), differences, percent))
+        merged, k = counted(components(found.toDF("a", "b")).toDF("label", "new"))
+        if k:  # classes that only the second round linked are labels of their own
+            old = labels.join(if_small(merged, k), "label", "left").select("node", F.coalesce("new", "label").alias("label"))
+            alone = merged.select(F.col("label").alias("node"), F.col("new").alias("label"))
+            labels, n = counted(old.union(alone).distinct())
+    return labels, n
+
 
+def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent: int) -> DataFrame:
+    """(key, t1, t2, node, n_shingles, component_id, kept) of each row."""
+    bounded_batches(df.sparkSession)
+    id_, content = F.col(key), F.col(text).cast("string")
+    rows, classes, n_classes = _classes(df, id_, content, width)
+    labels, n = _labels(df, content, id_, classes, width, percent)
     # the smallest key of each component, and each row's
-    linked = labels.filter(F.col("node") != F.col("label")).select("node", "label")
-    named = classes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    key_of = rows.filter((F.col("_id") != NO_KEY) & F.col("node").isNotNull()).groupBy("node").agg(F.min("_id").alias("least"))
-    named = named.join(key_of, "node", "left")
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "label").select("node", "component_id")
-    return rows.select("_id", "_th", "n", "node").join(named, "node", "left")
+    known = classes.select("node", "least")
+    linked = known.join(if_small(labels, n), "node")
+    least = linked.groupBy("label").agg(F.min("least").alias("lowest"))
+    linked = linked.join(if_small(least, n), "label").select("node", "lowest")
+    named = known.join(if_small(linked, n), "node", "left").select("node", F.when(F.col("lowest").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("lowest"))
+    made = rows.select("key", "t1", "t2", "n", "node").join(if_small(named, n_classes), "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("lowest"))
+    return made.select("key", "t1", "t2", "node", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
+
+
+def duplicate_classes(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
+    """A row for each row of ``df``: key, n_shingles, component_id, kept; linked: 100 * intersection >= percent * union."""
+    made = _components_of_rows(df, key, text, width, percent)
+    return made.select(F.col("key").alias(key), "n_shingles", "component_id", "kept")
+
+
+def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """``df`` with one row of each component; a row with an empty set or the only one of its component stays.
+
+    Rows with a null key stay if no row with a key is in their component, as far as
+    their texts differ. What goes is anti-joined by its identity, so that the texts
+    move at most once.
+    """
+    made = _components_of_rows(df, key, text, width, percent)
+    stays = F.col("kept") | F.col("component_id").isNull() | F.col("node").isNull()
+    each = made.withColumn("stays", stays).groupBy("t1", "t2").agg(F.max("stays").alias("stays"), F.count("node").alias("copies"))
+    gone, n, repeated = counted(each.filter(~F.col("stays") | (F.col("copies") > 1)), 50_000, F.count(F.when(F.col("stays"), 1)))
+    t1, t2 = free_names(df, 2)
+    rows = df.withColumns(dict(zip((t1, t2), _identity(F.col(key), F.col(text).cast("string")))))
+    gone = gone.select(F.col("t1").alias(t1), F.col("t2").alias(t2), "stays")
+    kept = rows.join(if_small(gone.drop("stays"), n), [t1, t2], "left_anti")
+    if repeated:  # of rows that are repeated whole, one
+        again = rows.join(if_small(gone.filter("stays").drop("stays"), repeated), [t1, t2], "left_semi")
+        kept = kept.unionByName(again.dropDuplicates([t1, t2]))
+    return kept.select(*df.columns)

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, durable, small_join
+from tessera.llm.common import bounded_batches, counted, durable, free_names, if_small
 
 #: Learned from so many labelled rows, in the mean, drawn by a hash.
 LABELLED_ROWS = 20_000
@@ -183,20 +183,22 @@ def classify(df: DataFrame, model: dict, host: Column, path: Column, text: str =
     """
     bounded_batches(df.sparkSession)
     made = ["p_low", "p_toxic", "host_low", "path_low", "host_toxic", "path_toxic", "kept"]
-    df = df.drop(*made)
-    rows = df.withColumns({"_host": F.coalesce(host.cast("string"), F.lit("\0")), "_path": F.coalesce(path.cast("string"), F.lit("\0")), "_own": evidence_sums(F.col(text), model)})
+    at_host, at_path, evidence = free_names(df, 3)
+    rows = df.withColumns({at_host: F.coalesce(host.cast("string"), F.lit("\0")), at_path: F.coalesce(path.cast("string"), F.lit("\0")), evidence: evidence_sums(F.col(text), model)})
     own = {}
     for head in HEADS:
-        own[head] = F.coalesce(_chance(F.col("_own")[head]), F.lit(1.0 - 1e-9 if head == "low" else 1e-9))
-    paths = durable(rows.groupBy("_host", "_path").agg(F.count("*").alias("n"), *(F.sum(own[h]).alias(h) for h in HEADS)))
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in HEADS))
+        own[head] = F.coalesce(_chance(F.col(evidence)[head]), F.lit(1.0 - 1e-9 if head == "low" else 1e-9))
+    rows = rows.drop(*made)
+    keys = F.col(at_host).alias("host"), F.col(at_path).alias("path")
+    paths, n_paths = counted(rows.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(own[h]).alias(h) for h in HEADS)))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in HEADS))
     total = hosts.agg(F.sum("n").alias("n"), *(F.sum(h).alias(h) for h in HEADS)).first()
     mean = {h: min(1 - 1e-6, max(1e-6, (total[h] or 0.0) / (total["n"] or 1))) for h in HEADS}
     shrink = {h: (_strength(hosts, h, mean[h]), _strength(paths, h, mean[h])) for h in HEADS}
-    hosts = hosts.select("_host", *(((F.col(h) + shrink[h][0] * mean[h]) / (F.col("n") + shrink[h][0])).alias(f"host_{h}") for h in HEADS))
-    sites = small_join(paths, hosts, ["_host"])
-    sites = sites.select("_host", "_path", *(f"host_{h}" for h in HEADS), *(((F.col(h) + shrink[h][1] * F.col(f"host_{h}")) / (F.col("n") + shrink[h][1])).alias(f"path_{h}") for h in HEADS))
-    rows = small_join(rows, durable(sites), ["_host", "_path"])
+    hosts = hosts.select("host", *(((F.col(h) + shrink[h][0] * mean[h]) / (F.col("n") + shrink[h][0])).alias(f"host_{h}") for h in HEADS))
+    sites = paths.join(if_small(hosts, n_paths), "host")
+    sites = sites.select(F.col("host").alias(at_host), F.col("path").alias(at_path), *(f"host_{h}" for h in HEADS), *(((F.col(h) + shrink[h][1] * F.col(f"host_{h}")) / (F.col("n") + shrink[h][1])).alias(f"path_{h}") for h in HEADS))
+    rows = rows.join(if_small(durable(sites), n_paths), [at_host, at_path])
     posterior = {f"p_{h}": _chance(_odds(own[h]) + _odds(F.col(f"path_{h}")) - float(_logit(mean[h]))) for h in HEADS}
     rows = rows.withColumns(posterior).withColumn("kept", (F.col("p_low") < reject) & (F.col("p_toxic") < reject))
-    return rows.select(*df.columns, *made)
+    return rows.select(*(c for c in df.columns if c not in made), *made)
