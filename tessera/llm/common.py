@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import tempfile
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -73,6 +74,11 @@ def counted(df: DataFrame, rows_a_task: int = 50_000, *others: Column) -> tuple:
     return done.coalesce(max(1, -(-n // rows_a_task))), n, *(seen.get[f"c{i}"] for i in range(len(others)))
 
 
+def in_tasks(df: DataFrame, n: float) -> DataFrame:
+    """``df`` in at most ``n`` tasks, though one for each core: short rows go to few files."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(n)))
+
+
 def if_small(df: DataFrame, n: int) -> DataFrame:
     """``df`` of ``n`` counted rows (of a few numbers each) to be broadcast if they are at most BROADCAST_ROWS; else it is shuffled."""
     return F.broadcast(df) if n <= BROADCAST_ROWS else df

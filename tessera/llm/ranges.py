@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Sampled keys for each range asked for.
 SAMPLES_A_RANGE = 24
+#: Ranges at most, so that the boundaries stay a few MB; beyond, ranges grow with the data.
+MOST_RANGES = 1 << 15
 #: A range is overfull above so many times the even share.
 OVERFULL = 2.0
 #: Rounds of subdivision of overfull ranges.
@@ -51,58 +53,55 @@ def _chance(key: list[Column], seed: int) -> Column:
     return (F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 52)) + 1).cast("double") / float((1 << 52) + 2)
 
 
-def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed: int = 7, group: int = 0, unit: float = 0.0) -> Splitters:
+def _drawn(rows: DataFrame, key: list[str], most: Column, seed: int) -> DataFrame:
+    """Distinct keys drawn with a chance that grows with the weight: those whose exponential draw is at most ``most``."""
+    draw = -F.log(_chance([F.col(c) for c in key], seed)) / F.greatest(F.col("w"), F.lit(1e-9))
+    return rows.filter(draw <= most)
+
+
+def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed: int = 7) -> Splitters:
     """Boundaries that divide the total ``weight`` of ``df`` into about ``n_ranges`` even ranges of ``key``.
 
-    Keys are sampled with a chance that grows with their weight (the smallest of
-    exponential draws by weight), and every SAMPLES_A_RANGE-th of the ordered sample
-    is a boundary. The exact weight of each range is then counted; ranges above
-    OVERFULL times the even share are sampled again and subdivided, until none is
-    overfull but for a single key. The driver holds the sample, of at most
-    n_ranges * SAMPLES_A_RANGE keys. Keys are never null. With ``group``, rows whose first
-    so many key parts are equal fall into one range, unless they overfill it; the other
-    parts are then longs. Ranges up to ``unit`` are never overfull.
+    Keys are sampled with a chance that grows with their weight (exponential draws by
+    weight below a threshold that the total sets), and every SAMPLES_A_RANGE-th of the
+    ordered sample is a boundary. The exact weight of each range is then counted; ranges
+    above OVERFULL times the even share are sampled again and subdivided, until none is
+    overfull but for a single key. The driver gets about n_ranges * SAMPLES_A_RANGE keys a
+    round, however many rows and partitions there are. ``df`` is read several times and
+    should be a written table of the key alone. Nulls come first in a key part.
     """
-    least = (-(1 << 63),) * (len(key) - group) if group else ()
-    rows = df.select(*key, weight.cast("double").alias("_w"))
+    n_ranges = max(1, min(n_ranges, MOST_RANGES))
+    rows = df.select(*key, weight.cast("double").alias("w"))
     types = [t for c in key for n, t in rows.dtypes if n == c]
-    draw = -F.log(_chance([F.col(c) for c in key], seed)) / F.greatest(F.col("_w"), F.lit(1e-9))
-    wanted = n_ranges * SAMPLES_A_RANGE
-    sample = sorted(tuple(r)[:-1] for r in rows.withColumn("_d", draw).select(*key, "_d").orderBy("_d").limit(wanted).collect())
-    if not sample:
+    total = rows.agg(F.sum("w")).first()[0]
+    if not total:
         return Splitters([], types)
-    every = max(1, len(sample) // n_ranges)
-    made = Splitters(sorted({k[:group] + least if group else k for k in sample[every::every]}), types)
+    even = total / n_ranges
+    order = lambda k: tuple((x is not None, x) for x in k)
+    sample = sorted((tuple(r) for r in _drawn(rows, key, F.lit(SAMPLES_A_RANGE / even), seed).select(*key).distinct().collect()), key=order)
+    made = Splitters(sample[SAMPLES_A_RANGE::SAMPLES_A_RANGE], types)
     for turn in range(ROUNDS):
-        ranged = rows.withColumn("_r", made.index([F.col(c) for c in key]))
-        own, lead = F.struct(*key), F.struct(*key[: group or None])
-        sums = ranged.groupBy("_r").agg(F.sum("_w").alias("w"), (F.min(own) == F.max(own)).alias("one"), (F.min(lead) == F.max(lead)).alias("alone")).collect()
-        even = sum(r["w"] for r in sums) / n_ranges
-        whole = {r["_r"] for r in sums if group and not r["alone"]}
-        over = {r["_r"]: r["w"] for r in sums if r["w"] > max(OVERFULL * even, unit) and not r["one"]}
+        own = F.struct(*key)
+        ranged = rows.withColumn("r", made.index([F.col(c) for c in key]))
+        over = ranged.groupBy("r").agg(F.sum("w").alias("w"), (F.min(own) == F.max(own)).alias("one")).filter(~F.col("one") & (F.col("w") > OVERFULL * even))
+        over = {r["r"]: r["w"] for r in over.collect()}  # at most n_ranges / OVERFULL
         if not over:
             break
-        again = -F.log(_chance([F.col(c) for c in key], seed + 1 + turn)) / F.greatest(F.col("_w"), F.lit(1e-9))
-        # a range gets samples in proportion to its weight: those below a draw that its weight sets
-        most = F.element_at(F.create_map(*(F.lit(x) for k, w in over.items() for x in (k, SAMPLES_A_RANGE / even))), F.col("_r"))
-        more = ranged.filter(F.col("_r").isin(list(over))).withColumn("_d", again).filter(F.col("_d") <= most)
+        again = ranged.filter(F.col("r").isin(list(over)))
         by_range: dict[int, list[tuple]] = {}
-        for r in more.select("_r", *key).distinct().collect():
-            by_range.setdefault(r["_r"], []).append(tuple(r)[1:])
+        for r in _drawn(again, key, F.lit(SAMPLES_A_RANGE / even), seed + 1 + turn).select("r", *key).distinct().collect():
+            by_range.setdefault(r["r"], []).append(tuple(r)[1:])
         new = set()
         for r, keys in by_range.items():
-            keys.sort()
-            step = max(1, int(len(keys) * even / over[r]))
-            new |= {k[:group] + least if r in whole else k for k in keys[::step]}
-        # keys (or groups) that alone outweigh an even share get a range of their own: a boundary
-        # at them and one at the next; there are fewer than n_ranges of them
-        parts = key[: group or None]
-        mixed = ranged.filter(F.col("_r").isin([r for r in over if not group or r in whole]))
-        heavy = mixed.groupBy("_r", *parts).agg(F.sum("_w").alias("w")).filter(F.col("w") > max(even, unit)).select("_r", F.struct(*parts).alias("_heavy"))
-        after = mixed.select("_r", F.struct(*parts).alias("_key")).join(F.broadcast(heavy), "_r").filter(F.col("_key") > F.col("_heavy"))
-        for r in heavy.select("_heavy").union(after.groupBy("_r", "_heavy").agg(F.min("_key")).select("min(_key)")).collect():
-            new.add(tuple(r[0]) + least)
+            keys.sort(key=order)
+            new |= set(keys[:: max(1, int(len(keys) * even / over[r]))])
+        # keys that alone outweigh an even share get a range of their own: a boundary at them
+        # and one at the next; there are fewer than n_ranges of them
+        heavy = again.groupBy("r", *key).agg(F.sum("w").alias("w")).filter(F.col("w") > even).select("r", own.alias("heavy"))
+        after = again.select("r", own.alias("k")).join(F.broadcast(heavy), "r").filter(F.col("k") > F.col("heavy"))
+        for r in heavy.select("heavy").union(after.groupBy("r", "heavy").agg(F.min("k").alias("k")).select("k")).collect():
+            new.add(tuple(r[0]))
         if new <= set(made.bounds):
             break
-        made = Splitters(sorted({*made.bounds, *new}), types)
+        made = Splitters(sorted({*made.bounds, *new}, key=order), types)
     return made
