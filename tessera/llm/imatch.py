@@ -2,15 +2,15 @@
 
 A text's terms are its lower-cased runs of letters and digits. The lexicon holds the
 terms whose share of all documents lies in a band (an inverse-document-frequency
-band). A fingerprint has one part for each of several random subsets of the lexicon:
-the hash of the document's sorted distinct terms in that subset. Likeness is the
-share of equal parts among those to which either document has a term.
-
-Defined results: null texts count as empty; documents with fewer than FEW terms in
-the lexicon use all their terms; if none of its terms is in a subset, each part of a
-document is the hash of all of them; without any term all parts are empty, and two
-such documents are alike (1.0). Repeated rows are fingerprinted each; an empty table gives
-no rows; columns of the result's names are replaced.
+band). A fingerprint has one part for each of several random subsets of the lexicon, the
+hash of the document's sorted distinct terms in that subset, and a last part of all its
+terms, in the lexicon or not, which tells documents apart that have few terms in it.
+Likeness is the share of equal parts among those to which either document has a term.
+
+Defined results: keys are of any type with an order that JSON can hold; null texts count
+as empty; without any term all parts are EMPTY, and two such documents are alike (1.0).
+Repeated rows are fingerprinted each; an empty table gives no rows; ``fingerprint``
+replaces a column named like ``out`` and keeps the others, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,45 +18,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable, text_or_empty
+from tessera.llm.common import counted, durable, free_names, in_tasks, text_or_empty
 from tessera.llm.ranges import splitters
 
 #: The band: a lexicon term is in at least and at most such a share of the documents.
 LEAST_SHARE, MOST_SHARE = 0.01, 0.25
 #: Bits that decide membership in a subset: it keeps a term in 2**bits.
 SUBSET_BITS = (4, 6, 7, 8) * 8
-FEW = 5
 #: Above so many terms the lexicon is joined rather than put into the plan. A document
 #: has d distinct terms in the mean, so that the band holds at most d / LEAST_SHARE.
 PLAN_TERMS = 60_000
-#: Bytes of text in a range of the document order.
-RANGE_BYTES = 8 << 20
-EMPTY = "--------"
+#: Bytes of text in a range of the document order, as long as ``ranges.MOST_RANGES`` suffice.
+RANGE_BYTES = 16 << 20
+#: Rows of a task that writes keys and sizes.
+TASK_ROWS = 500_000
+#: Hexadecimal digits of a part; those of the hash of no terms.
+DIGITS, EMPTY = 8, "00000000"
+PARTS = len(SUBSET_BITS) + 1
 
 
 def terms(text: Column) -> Column:
     """Distinct 64-bit hashes of the terms, sorted."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
-def lexicon(df: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """Hashes (column term) of the terms in the band, counted over all documents."""
+def lexicon(df: DataFrame, text: str = "text", least: float = LEAST_SHARE, most: float = MOST_SHARE) -> list[int] | DataFrame:
+    """Hashes of the terms in the band, counted over all documents: a list of up to PLAN_TERMS, or else a written table (column term)."""
     n = df.count()
     each = df.select(F.explode(terms(text_or_empty(F.col(text)))).alias("term"))
-    return each.groupBy("term").count().filter(F.col("count").between(least * n, most * n)).select("term")
+    kept = each.groupBy("term").count().filter(F.col("count").between(least * n, most * n)).select("term").persist()
+    try:
+        return sorted(r["term"] for r in kept.collect()) if kept.count() <= PLAN_TERMS else durable(kept)
+    finally:
+        kept.unpersist()
 
 
-def in_lexicon(df: DataFrame, words: DataFrame, column: str) -> DataFrame:
+def in_lexicon(df: DataFrame, words: list[int] | DataFrame, column: str) -> DataFrame:
     """``df`` with the terms of the array ``column`` that are in the lexicon."""
-    words = durable(words)
-    if words.count() <= PLAN_TERMS:
-        known = ",".join(str(r["term"]) for r in words.sort("term").collect())
-        return df.withColumn(column, F.expr(f"filter({column}, t -> t IN ({known}))") if known else F.slice(column, 1, 0))
-    rows = durable(df.withColumn("_at", F.monotonically_increasing_id()))
-    kept = rows.select("_at", F.explode(column).alias("term")).join(words, "term").groupBy("_at").agg(F.array_sort(F.collect_list("term")).alias("_kept"))
-    rows = rows.drop(column).join(kept, "_at", "left").drop("_at")
-    return rows.withColumn(column, F.coalesce("_kept", F.array().cast("array<bigint>"))).drop("_kept")
+    if isinstance(words, list):
+        known = ",".join(map(str, words))
+        return df.withColumn(column, F.expr(f"filter(`{column}`, t -> t IN ({known}))") if known else F.slice(column, 1, 0))
+    at, kept = free_names(df, 2)
+    rows = durable(df.withColumn(at, F.monotonically_increasing_id()))
+    own = rows.select(at, F.explode(column).alias("term")).join(words, "term").groupBy(at).agg(F.array_sort(F.collect_list("term")).alias(kept))
+    rows = rows.drop(column).join(own, at, "left").drop(at)
+    return rows.withColumn(column, F.coalesce(kept, F.array().cast("array<bigint>"))).drop(kept)
 
 
 def _member(at: int, bits: int):
@@ -65,86 +72,75 @@ def _member(at: int, bits: int):
 
 
 def digits(words: Column) -> Column:
-    """Eight hexadecimal digits of the terms' hash."""
-    return F.lower(F.substring(F.lpad(F.hex(F.xxhash64(words)), 16, "0"), 1, 8))
+    """The first digits of the terms' hash; EMPTY for no terms, whose hash is the seed."""
+    return F.lower(F.substring(F.lpad(F.hex(F.xxhash64(words)), 16, "0"), 1, DIGITS))
 
 
-def parts(words: Column) -> Column:
-    """The fingerprint's parts: eight hexadecimal digits for each subset, EMPTY if no term is in it."""
-    made = []
-    for i, bits in enumerate(SUBSET_BITS):
-        at = (i * 7) % (64 - bits)
-        own = F.filter(words, _member(at, bits))
-        made.append(F.when(F.size(own) > 0, digits(own)).otherwise(EMPTY))
-    return F.array(*made)
+def parts(known: Column, every: Column) -> Column:
+    """The fingerprint: digits for each subset of the lexicon terms, and those of all terms."""
+    made = [digits(F.filter(known, _member(i * 7 % (64 - bits), bits))) for i, bits in enumerate(SUBSET_BITS)]
+    return F.concat(*made, digits(every))
 
 
 def likeness(a: Column, b: Column) -> Column:
     """Share of equal parts among those that are not empty in both; 1 if all are."""
-    at = F.sequence(F.lit(1), F.lit(len(SUBSET_BITS)))
-    told = F.size(F.filter(at, lambda i: (F.element_at(a, i) != EMPTY) | (F.element_at(b, i) != EMPTY)))
-    same = F.size(F.filter(at, lambda i: (F.element_at(a, i) == F.element_at(b, i)) & (F.element_at(a, i) != EMPTY)))
-    return F.when(told > 0, same / told).otherwise(F.lit(1.0))
+    of = lambda c: F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda i: F.substr(c, i * DIGITS + 1, F.lit(DIGITS)))
+    state = F.zip_with(of(a), of(b), lambda x, y: F.when((x == EMPTY) & (y == EMPTY), None).otherwise(x == y))
+    told = F.array_compact(state)
+    return F.when(F.size(told) > 0, F.size(F.array_remove(told, False)) / F.size(told)).otherwise(F.lit(1.0))
 
 
-def fingerprint(df: DataFrame, words: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """``df`` with an array column ``out`` of the fingerprint's parts."""
-    rows = df.withColumn("_all", terms(text_or_empty(F.col(text)))).withColumn("_in", F.col("_all"))
-    rows = in_lexicon(rows, words, "_in")
-    rows = rows.withColumn("_in", F.when(F.size("_in") >= FEW, F.col("_in")).otherwise(F.col("_all")))
-    rows = rows.withColumn(out, parts(F.col("_in")))
-    # the terms may be in no subset; without this, all such documents would look alike
-    none = F.forall(F.col(out), lambda p: p == EMPTY) & (F.size("_in") > 0)
-    return rows.withColumn(out, F.when(none, F.array_repeat(digits(F.col("_in")), len(SUBSET_BITS))).otherwise(F.col(out))).drop("_all", "_in")
+def fingerprint(df: DataFrame, words: list[int] | DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
+    """``df`` with a string column ``out``: PARTS parts of DIGITS hexadecimal digits."""
+    every, known = free_names(df, 2)
+    rows = df.withColumn(every, terms(text_or_empty(F.col(text)))).withColumn(known, F.col(every))
+    rows = in_lexicon(rows, words, known)
+    return rows.withColumn(out, parts(F.col(known), F.col(every))).drop(every, known)
 
 
-def with_next(df: DataFrame, key: str, text: str) -> tuple[DataFrame, Window]:
-    """``df`` range-partitioned in descending order of ``key``, and the window that has a row's next one.
+def _ranges(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``docs`` (key, text) with their range of the order by key, the rows that close a range also as guards of the next, and the number of ranges.
 
-    Each range also gets the row that follows its last one (``_guard`` true; to be
-    dropped after the window was used); the last range gets the very first row.
-    Order: key descending, nulls last, then the text's hash.
+    Order: key (nulls first), two hashes of the text, row. Rows that are equal in key and
+    text may stand in any order, so that it does not matter if the row numbers of two
+    reads differ. After the last range comes the first.
     """
-    rows = df.withColumns({
-        "_k": F.coalesce(F.bitwise_not(F.col(key).cast("long")), F.lit((1 << 63) - 1)),
-        "_h": F.xxhash64(F.col(text)),
-        "_row": F.monotonically_increasing_id(),
-    })
-    order = ["_k", "_h", "_row"]
-    size = F.coalesce(F.octet_length(text), F.lit(0)) + 64
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    split = splitters(rows, order, size, max(8, total // RANGE_BYTES))
-    rows = rows.withColumn("_range", split.index([F.col(c) for c in order]))
-    first = rows.groupBy("_range").agg(F.min(F.struct(*order)).alias("first")).select("_range", "first.*").collect()
-    first = sorted((r["_range"], r["_k"], r["_h"]) for r in first)  # as many as ranges
-    spark = df.sparkSession
-    heads = [(k, h, first[i - 1][0]) for i, (_, k, h) in enumerate(first)]
-    heads = spark.createDataFrame(heads, "_k long, _h long, _of int")
-    guards = rows.join(F.broadcast(heads), ["_k", "_h"]).drop("_range").withColumnRenamed("_of", "_range")
-    guards = guards.dropDuplicates(["_range"]).withColumn("_guard", F.lit(True))
-    rows = rows.withColumn("_guard", F.lit(False)).unionByName(guards)
-    return rows, Window.partitionBy("_range").orderBy("_guard", *order)
+    hashed = docs.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(2), "text"), "row": F.monotonically_increasing_id()})
+    order = ["key", "h1", "h2", "row"]
+    short = in_tasks(hashed.select(*order, (F.octet_length("text") + 64).alias("size")), docs.count() / TASK_ROWS)
+    short, _, total = counted(short, TASK_ROWS, F.sum("size"))
+    split = splitters(short, order, F.col("size"), max(8, (total or 0) // RANGE_BYTES))
+    index = split.index([F.col(c) for c in order]).alias("range")
+    # one row for each range, of which there are at most a few times MOST_RANGES
+    ends = short.groupBy(index).agg(F.max(F.struct("key", "h1", "h2")).alias("end"))
+    following = F.coalesce(F.lead("range").over(Window.orderBy("range")), F.min("range").over(Window.partitionBy()))
+    ends = durable(ends.select(following.alias("range"), "end.*"))
+    same = F.col("d.key").eqNullSafe(F.col("e.key")) & (F.col("d.h1") == F.col("e.h1")) & (F.col("d.h2") == F.col("e.h2"))
+    guards = hashed.alias("d").join(F.broadcast(ends.alias("e")), same).select("d.*", "e.range").dropDuplicates(["range"])
+    rows = hashed.withColumn("range", index).withColumn("guard", F.lit(False)).unionByName(guards.withColumn("guard", F.lit(True)))
+    return rows, len(split.bounds) + 1
 
 
 def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness.
 
     The edited text has its last third (rounded down) replaced by as many first code
-    points of the next document's text, in descending order of the key; after the
-    last document comes the first. Columns: key, n_chars, edited (text), fingerprint,
-    edited_fingerprint (arrays of parts), near_edited, near_next.
+    points of the next document's text, in descending order of the key (nulls last); after
+    the last document comes the first. Columns: key, n_chars, edited (text), fingerprint,
+    edited_fingerprint, near_edited, near_next. Texts are moved once, each range of the
+    order to a task of its own.
     """
-    df = df.select(key, F.col(text).alias("text"))
-    words = durable(lexicon(df))
-    rows, window = with_next(df, key, "text")
-    rows = rows.withColumn("text", text_or_empty(F.col("text")))
+    docs = df.select(F.col(key).alias("key"), text_or_empty(F.col(text)).alias("text"))
+    words = lexicon(docs)
+    rows, n_ranges = _ranges(docs)
+    rows = fingerprint(rows, words).repartitionById(n_ranges, "range")
+    # the guard, which closes the range before, comes first; a row's next one stands before it
+    window = Window.partitionBy("range").orderBy(F.desc("guard"), "key", "h1", "h2", "row")
+    rows = rows.withColumn("next", F.lag(F.struct("text", "fingerprint")).over(window)).filter(~F.col("guard"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
-    rows = rows.withColumn("_cut", (F.col("n_chars") - F.col("n_chars") % 3).cast("int") / 3).withColumn("_cut", F.col("_cut").cast("int"))
-    next_text = F.coalesce(F.lead("text").over(window), F.lit(""))
-    rows = rows.withColumn("_next", next_text)
-    rows = rows.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n_chars as int) - _cut)"), F.expr("substring(_next, 1, _cut)"))).drop("_next")
-    rows = fingerprint(rows, words, "text", "fingerprint")
+    cut = F.floor(F.col("n_chars") / 3).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - cut), F.substr("next.text", F.lit(1), cut)))
+    rows = rows.select("key", "n_chars", "edited", "fingerprint", F.col("next.fingerprint").alias("next"))
     rows = fingerprint(rows, words, "edited", "edited_fingerprint")
-    rows = rows.withColumn("_next_fingerprint", F.lead("fingerprint").over(window)).filter(~F.col("_guard"))
-    rows = rows.withColumns({"near_edited": likeness(F.col("fingerprint"), F.col("edited_fingerprint")), "near_next": likeness(F.col("fingerprint"), F.col("_next_fingerprint"))})
-    return rows.select(key, "n_chars", "edited", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    near = {f"near_{k}": likeness(F.col("fingerprint"), F.col(c)) for k, c in (("edited", "edited_fingerprint"), ("next", "next"))}
+    return rows.withColumns(near).select(F.col("key").alias(key), "n_chars", "edited", "fingerprint", "edited_fingerprint", *near)

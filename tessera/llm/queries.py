@@ -16,9 +16,8 @@ from tessera.llm.common import table
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # the digest is taken before the shuffle, so that the text, which is not asked for, does not move
     docs = docs.withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    made = sharding.shard(docs, 40)
+    made = sharding.shard(docs, 40, carry=["doc_id", "text_crc32"])
     return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -50,8 +49,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = imatch.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    columns = (F.array_join(c, "").alias(c) for c in ("fingerprint", "edited_fingerprint"))
-    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *columns, "near_edited", "near_next")
+    return made.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

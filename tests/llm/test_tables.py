@@ -1,15 +1,18 @@
 """Operators over tables against brute force, with hot groups and edge cases."""
 
+import collections
 import hashlib
 import random
 import zlib
 
+import duckdb
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import chats, imatch, minhash, queries, ranges, sharding
-from tessera.llm.common import durable, small_join
 
 
 def frame(spark, texts, ids=None):
@@ -45,9 +48,35 @@ def test_sharding_is_even_with_a_hot_text(spark):
     check_shards(rows, 7, max(r["size"] for r in rows))
     where = {}
     for r in rows:
-        if r["text"] and not r["text"].startswith("hot"):
+        if r["text"]:
             where.setdefault(r["text"], set()).add(r["shard"])
-    assert all(len(s) == 1 for s in where.values())
+    hot = where.pop("hot text " * 5)  # larger than a shard, so that it is divided
+    assert len(hot) > 1 and all(len(s) == 1 for s in where.values())
+
+
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    rnd = random.Random(11)
+    groups = {f"group {g} " + "x" * rnd.randint(10, 400): rnd.randint(2, 60) for g in range(60)}
+    texts = [t for t, n in groups.items() for _ in range(n)] + [prose(rnd, 20) for _ in range(300)] + ["too large for one " * 9] * 1500
+    rnd.shuffle(texts)
+    rows = sharding.shard(frame(spark, texts).repartition(5), 9).collect()
+    check_shards(rows, 9, max(r["size"] for r in rows))
+    where = collections.defaultdict(set)
+    for r in rows:
+        where[r["text"]].add(r["shard"])
+    assert {t for t, s in where.items() if len(s) > 1} == {"too large for one " * 9}
+
+
+def test_sharding_equals_sql_where_groups_are_placed(spark, tmp_path):
+    rnd = random.Random(12)
+    texts = [f"group {g} " + "x" * rnd.randint(10, 200) for g in range(30) for _ in range(g)] + ["hot"] * 900 + [prose(rnd, 9) for _ in range(300)] + [None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    rel = con.sql(sharding.SHARDING_SQL)
+    expected = sorted((dict(zip(rel.columns, r)) for r in rel.fetchall()), key=lambda r: r["doc_id"])
+    got = sorted((r.asDict() for r in queries.op1_sharding(spark, str(tmp_path)).collect()), key=lambda r: r["doc_id"])
+    assert got == expected
 
 
 @pytest.mark.parametrize("texts,ids", [([], None), (["a"], None), (["same"] * 50, [3] * 50), ([None] * 9, [None] * 9)])
@@ -126,58 +155,96 @@ def edited(texts):
     return made
 
 
-def test_fingerprints_of_edited_texts(spark):
+def xx(data, seed=42):
+    return xxhash.xxh64_intdigest(data, seed=seed)
+
+
+def brute_fingerprints(texts, least, most):
+    """(parts of each text, function from any text to its parts), with no Spark: XXH64 chained over sorted terms."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    terms = lambda t: sorted({signed(xx(w.encode())) for w in regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())})
+    count = collections.Counter(x for t in texts for x in terms(t))
+    known = {x for x, n in count.items() if least * len(texts) <= n <= most * len(texts)}
+
+    def digits(own):
+        h = 42
+        for x in own:
+            h = xx(x.to_bytes(8, "little", signed=True), h)
+        return f"{h:016x}"[:8]
+
+    def parts(t):
+        every = terms(t)
+        of = lambda i, bits: [x for x in every if x in known and not (x % (1 << 64)) >> (i * 7 % (64 - bits)) & (1 << bits) - 1]
+        return [digits(of(i, bits)) for i, bits in enumerate(imatch.SUBSET_BITS)] + [digits(every)]
+
+    return parts
+
+
+def brute_likeness(a, b):
+    told = [(x, y) for x, y in zip(a, b) if (x, y) != (imatch.EMPTY, imatch.EMPTY)]
+    return sum(x == y for x, y in told) / len(told) if told else 1.0
+
+
+def check_fingerprints(rows, texts):
+    parts = brute_fingerprints([t for _, t in texts], imatch.LEAST_SHARE, imatch.MOST_SHARE)
+    new, order = edited(texts), sorted(texts, key=lambda x: -x[0])
+    following = {i: order[(n + 1) % len(order)][1] for n, (i, _) in enumerate(order)}
+    assert len(rows) == len(texts)
+    for i, t in texts:
+        r, own, other = rows[i], parts(t), parts(new[i])
+        assert (r["n_chars"], r["edited"]) == (len(t or ""), new[i])
+        assert (r["fingerprint"], r["edited_fingerprint"]) == ("".join(own), "".join(other))
+        assert r["near_edited"] == pytest.approx(brute_likeness(own, other)) and r["near_next"] == pytest.approx(brute_likeness(own, parts(following[i])))
+
+
+def test_fingerprints_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(3)
-    texts = [(i * 7 % 331, t) for i, t in enumerate([prose(rnd, rnd.randint(0, 120)) for _ in range(150)] + [None, "", "é☃日本", "a"] + ["copy of one text"] * 20)]
+    words = [prose(rnd, 1) for _ in range(300)]
+    made = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 60))) for _ in range(150)]
+    texts = [(i * 7 % 331, t) for i, t in enumerate([*made, None, "", "é☃日本 ΣΑΣ", "a", "--", "one two"] + ["copy of one text"] * 20)]
     df = spark.createDataFrame([(i, t, 1.0) for i, t in texts], "doc_id long, text string, near_next double")
-    rows = {r["doc_id"]: r for r in imatch.compare_edited(df).collect()}
-    assert {k: r["edited"] for k, r in rows.items()} == edited(texts)
-    by = {}
-    for i, t in texts:
-        by.setdefault(t or "", set()).add(tuple(rows[i]["fingerprint"]))
-    assert all(len(x) == 1 for x in by.values())
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows.values())
-    long = [r for r in rows.values() if r["n_chars"] > 200]
-    assert sum(r["near_edited"] for r in long) > 3 * sum(r["near_next"] for r in long)
+    check_fingerprints({r["doc_id"]: r for r in imatch.compare_edited(df).collect()}, texts)
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 400)  # many ranges
+    check_fingerprints({r["doc_id"]: r for r in imatch.compare_edited(df.repartition(7)).collect()}, texts)
+    rows = imatch.compare_edited(df.withColumn("doc_id", F.concat(F.lit("k"), F.lpad(F.col("doc_id").cast("string"), 4, "0")))).collect()
+    check_fingerprints({int(r["doc_id"][1:]): r for r in rows}, texts)
 
 
 def test_fingerprint_paths_agree(spark, monkeypatch):
     rnd = random.Random(4)
-    df = spark.createDataFrame([(i, prose(rnd, 50)) for i in range(60)], "doc_id long, text string")
-    words = durable(imatch.lexicon(df, "text", 0.01, 0.5))
+    df = spark.createDataFrame([(i, prose(rnd, 50), "mine") for i in range(60)], "doc_id long, text string, __0 string")
+    words = imatch.lexicon(df, "text", 0.01, 0.5)
     one = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(df, words).collect()}
     monkeypatch.setattr(imatch, "PLAN_TERMS", 3)
-    assert {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(df, words).collect()} == one
+    table = imatch.lexicon(df, "text", 0.01, 0.5)
+    assert sorted(r["term"] for r in table.collect()) == words
+    other = imatch.fingerprint(df, table).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in other} == one and {r["__0"] for r in other} == {"mine"}
 
 
-@pytest.mark.parametrize("rows", [[], [(1, "alone here")], [(None, "a b c"), (None, None), (5, "a b c")], [(2, "x y z w")] * 12])
+@pytest.mark.parametrize("rows", [[], [(1, "alone here")], [(None, "a b c"), (None, None), (5, "a b c")], [(2, "x y z w")] * 12, [(None, None)] * 5])
 def test_fingerprint_edges(spark, rows):
     made = imatch.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(made) == len(rows)
-    if len(rows) in (1, 12):
+    if len(rows) in (1, 5, 12):
         assert all(r["near_next"] == 1.0 for r in made)
 
 
-def test_fingerprints_of_terms_in_no_subset(spark):
-    rows = [(i, f"word{i}") for i in range(200)] + [(200 + i, f"WORD{i}!") for i in range(200)] + [(400, None), (401, "--")]
+def test_fingerprints_of_few_terms(spark):
+    """Texts without a lexicon term differ by their last part, so that unlike ones are not alike."""
+    rows = [(i, f"word{i}") for i in range(40)] + [(40 + i, f"WORD{i}!") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    words = durable(imatch.lexicon(df, "text", 0.5, 0.6))
-    made = imatch.fingerprint(df, words).withColumn("_parts", imatch.parts(imatch.terms(imatch.text_or_empty(F.col("text")))))
-    made = {r["doc_id"]: r for r in made.collect()}
-    empty = [imatch.EMPTY] * len(imatch.SUBSET_BITS)
-    missed = [i for i in range(200) if made[i]["_parts"] == empty]
-    assert len(missed) > 20 and [i for i in made if made[i]["fingerprint"] == empty] == [400, 401]
-    assert len({tuple(made[i]["fingerprint"]) for i in missed}) == len(missed)
-    assert all(made[i]["fingerprint"] == made[200 + i]["fingerprint"] for i in range(200))
-    pairs = [(made[a]["fingerprint"], made[b]["fingerprint"]) for a, b in ((missed[0], missed[1]), (missed[0], 200 + missed[0]), (missed[0], 400), (400, 401))]
-    alike = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "k int, a array<string>, b array<string>")
-    assert [r[0] for r in alike.sort("k").select(imatch.likeness(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 0.0, 1.0]
+    made = {r["doc_id"]: r["fingerprint"] for r in imatch.fingerprint(df, imatch.lexicon(df, "text", 0.5, 0.6)).collect()}
+    assert len(set(made.values())) == 40 and all(made[i] == made[40 + i] for i in range(40))
 
 
 def test_fingerprint_query(spark, sf_dir):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    expected = {k: hashlib.sha256(t.encode()).hexdigest() for k, t in edited(docs).items()}
-    assert {r["doc_id"]: r["edited_sha256"] for r in queries.op7_fingerprints(spark, sf_dir).collect()} == expected
+    new = edited(docs)
+    rows = queries.op7_fingerprints(spark, sf_dir).collect()
+    assert {r["doc_id"]: r["edited_sha256"] for r in rows} == {k: hashlib.sha256(t.encode()).hexdigest() for k, t in new.items()}
+    parts = brute_fingerprints([t for _, t in docs], imatch.LEAST_SHARE, imatch.MOST_SHARE)
+    assert all(r["fingerprint"] == "".join(parts(t)) for r in rows for t in [dict(docs)[r["doc_id"]]])
 
 
 # near-duplicates
@@ -262,14 +329,6 @@ def test_signatures_estimate_similarity():
     assert abs((minhash.minima(a) == minhash.minima(b)).mean() - true) < 0.15
 
 
-def test_salted_join(spark, monkeypatch):
-    from tessera.llm import common
-
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
-    left, right = spark.range(50).select((F.col("id") % 3).alias("k"), "id"), spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
-    assert small_join(left, right, ["k"]).groupBy("v").count().count() == 3 and small_join(left, right, ["k"]).count() == 50
-
-
 # pipeline
 
 
