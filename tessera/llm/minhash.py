@@ -247,7 +247,7 @@ def _first_round(members: DataFrame, own: DataFrame, n_own: int, percent: int) -
     """Members of buckets with their bucket's pivot, and whether the two may be linked; members without room for any link are left out."""
     facts = members.join(if_small(own, n_own), "node", "left").withColumn("own", F.when(F.col("members") > LARGE, F.coalesce("own", F.lit(0))).otherwise(F.lit(0)))
     pivots = facts.groupBy("bucket").agg(F.min(F.struct("own", "node", "n", "bits_1", "bits_2")).alias("p"))
-    both = facts.join(pivots, "bucket")
+    both = facts.join(if_small(*counted(pivots)), "bucket")  # a table of its own, so that a large bucket can be split
     room = (F.col("n") - F.col("own")) * 100 >= (F.col("n") + F.col("p.own")) * percent
     near = _near(F.col("n"), F.col("p.n"), [(F.col("bits_1"), F.col("p.bits_1")), (F.col("bits_2"), F.col("p.bits_2"))], percent)
     both = both.filter(room & (F.col("node") != F.col("p.node")))
@@ -270,7 +270,7 @@ def _large_links(side: DataFrame, differences: DataFrame, percent: int) -> DataF
     n(pivot) - |lacks of x or y| + |adds of x and y| members, exactly.
     """
     largest = side.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("l"))
-    side = side.join(largest.select("bucket", F.col("l.label").alias("main")), "bucket")
+    side = side.join(if_small(*counted(largest.select("bucket", F.col("l.label").alias("main")))), "bucket")
     side = side.join(differences, ["pivot", "node"]).select("bucket", "node", "n", "label", "main", "base", "lacks", "adds")
     few = side.filter(F.col("label") != F.col("main")).select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "lacks", "adds")))
     (n, m), (lacks, lacks_a), (adds, adds_a) = ((F.col(c), F.col(f"{c}_a")) for c in ("n", "lacks", "adds"))
@@ -306,7 +306,7 @@ def _labels(df: DataFrame, text: Column, key: Column, classes: DataFrame, width:
     # buckets of two classes or more
     banded = classes.select("node", "n", "bits_1", "bits_2", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    members, left = counted(banded.join(shared, "bucket"))
+    members, left = counted(banded.join(if_small(*counted(shared)), "bucket"))
     if not left:
         return members.select("node", F.col("node").alias("label")), 0
     nodes, n = counted(classes.select("node", "at").join(members.groupBy("node").agg(F.max("members").alias("most")), "node").select("node", "most", "at.t1", "at.t2"))
@@ -329,7 +329,7 @@ def _labels(df: DataFrame, text: Column, key: Column, classes: DataFrame, width:
     # a second round for buckets whose members are not in one component
     side = side.join(if_small(labels, n), "node", "left").withColumn("label", F.coalesce("label", "node"))
     apart = side.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("bucket")
-    side, left = counted(side.join(apart, "bucket", "left_semi"))
+    side, left = counted(side.join(if_small(*counted(apart)), "bucket", "left_semi"))
     if left:
         found = _met(_small_pairs(side.filter(~F.col("large")), percent), sets)
         found = found.filter(_reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("label_a", "label")
