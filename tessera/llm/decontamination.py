@@ -9,15 +9,21 @@ so that bands overlap and one of them holds the whole stretch. Bands that meet t
 bound are aligned, those of a run of neighbours (repetitive passages) as one, and
 reported if the edits are within the budget.
 
-Defined results: null and empty texts and passages match nothing; passages of fewer
-than LEAST_CHARS characters are not searched for; of several places of a passage in a
-document the one with the fewest edits is reported, the first on ties; repeated rows
-are searched each. Passages are searched in blocks, so that the index a worker holds
-is bounded; documents are read once for each block.
+Passages of fewer than LEAST_CHARS characters are searched without edits and between word
+borders (both texts are given a space at either end); those too short for a q-gram by
+a plain search.
+
+Defined results: null and empty texts, and passages without a letter or digit, match
+nothing; of places of a passage that overlap, or that lie on one run of neighbouring
+diagonals, the one with the fewest edits is reported, the first on ties, and of others
+each; repeated rows are searched each; keys are of any type, items are integers; other
+columns stay, whatever their names. Passages are searched in blocks, so that the index
+a worker holds is bounded; documents are read once for each block.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,11 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, durable
+from tessera.llm.common import bounded_batches, durable, free_names
 
 Q = 6
 #: Edits allowed, as a share of a passage's characters.
 EDIT_SHARE = 0.12
+#: Shorter passages are searched without edits, as whole words.
 LEAST_CHARS = 30
 #: Share of the bound by which frequent q-grams are left out of the count.
 LEFT_OUT = 0.5
@@ -85,14 +92,21 @@ class Index:
     BITS, NONE, MANY = 21, -1, -2
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.ids, self.codes = [], []
+        self.ids, self.codes, self.tiny = [], [], []
+        whole = []
         for item, text in sorted(items):
             codes = normalise(text)[0]
-            if len(codes) >= LEAST_CHARS:
+            short = len(codes) < LEAST_CHARS
+            codes = np.pad(codes, 1, constant_values=32) if short and len(codes) else codes
+            if len(codes) >= Q:
                 self.ids.append(item)
                 self.codes.append(codes)
+                whole.append(short)
+            elif len(codes):
+                self.tiny.append((item, codes.tobytes(), len(codes)))
+        self.whole = np.array(whole, dtype=bool)
         m = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.edits = np.minimum((m * EDIT_SHARE).astype(np.int64), np.maximum(0, (m - Q) // Q))
+        self.edits = np.where(self.whole, 0, np.minimum((m * EDIT_SHARE).astype(np.int64), np.maximum(0, (m - Q) // Q)))
         self.least = m + 1 - Q - Q * self.edits
         self.size = m
         hashes = [grams(c) for c in self.codes]
@@ -119,18 +133,34 @@ class Index:
         self.item, self.place, self.count, self.first = (x.astype(np.int32) for x in (self.item, self.place, self.count, self.first))
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item, start, end, edits) of each passage found, in the text's code points."""
+        """(item, start, end, edits) of each place of a passage, in the text's code points."""
         codes, at = normalise(text)
-        if not len(self.keys) or len(codes) < Q:
+        n = len(codes)
+        if not n:
             return []
-        best: dict[int, tuple[int, int, int]] = {}
-        over = int((self.size + 2 * self.edits).max()) + Q
-        for begin in range(0, max(1, len(codes) - over), PIECE):
-            for item, start, end, edits in self._piece(codes[begin : begin + PIECE + over]):
-                found = (edits, begin + start, begin + end)
-                if item not in best or found < best[item]:
-                    best[item] = found
-        return [(self.ids[i], int(at[s]), int(at[e - 1]) + 1, d) for i, (d, s, e) in sorted(best.items())]
+        codes = np.pad(codes, 1, constant_values=32)  # position p here is p - 1 among the compared characters
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        if len(self.keys) and len(codes) >= Q:
+            over = int((self.size + 2 * self.edits).max()) + Q
+            for begin in range(0, max(1, len(codes) - over), PIECE):
+                for i, start, end, edits in self._piece(codes[begin : begin + PIECE + over]):
+                    trim = int(self.whole[i])
+                    found.setdefault((self.ids[i], i), []).append((edits, begin + start + trim, begin + end - trim))
+        raw = codes.tobytes() if self.tiny else b""
+        for k, (item, own, size) in enumerate(self.tiny):
+            p = _find(raw, own, 0)
+            while p >= 0:
+                found.setdefault((item, len(self.ids) + k), []).append((0, p + 1, p + size - 1))
+                p = _find(raw, own, p + 1)
+        made = []
+        for (item, _), places in sorted(found.items()):
+            kept: list[tuple[int, int, int]] = []  # in order; fewest edits first, then those that overlap none
+            for edits, start, end in sorted(places):
+                k = bisect_left(kept, (start,))
+                if (k == len(kept) or kept[k][0] >= end) and (not k or kept[k - 1][1] <= start):
+                    kept.insert(k, (start, end, edits))
+            made += [(item, int(at[max(0, s - 1)]), int(at[min(n, e - 1) - 1]) + 1, d) for s, e, d in kept]
+        return made
 
     def _piece(self, codes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         h = grams(codes)
@@ -174,6 +204,14 @@ class Index:
                 yield (i, *found)
 
 
+def _find(raw: bytes, own: bytes, start: int) -> int:
+    """The first place from ``start`` of 32-bit codes in others, or -1."""
+    at = raw.find(own, 4 * start)
+    while at > 0 and at % 4:
+        at = raw.find(own, at + 1)
+    return at // 4 if at >= 0 else -1
+
+
 def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """Best (start, end, edits) of the whole passage in the text on diagonals low to high, or none within the budget.
 
@@ -181,12 +219,11 @@ def align(passage: np.ndarray, text: np.ndarray, low: int, high: int, budget: in
     text are free. The start is found by aligning backwards from the best end.
     """
     begin = max(0, low)
-    raw, own = text[begin : high + len(passage)].tobytes(), passage.tobytes()
-    at = raw.find(own)
-    while at > 0 and at % 4:
-        at = raw.find(own, at + 1)
+    at = _find(text[begin : high + len(passage)].tobytes(), passage.tobytes(), 0)
     if at >= 0:  # unchanged
-        return begin + at // 4, begin + at // 4 + len(passage), 0
+        return begin + at, begin + at + len(passage), 0
+    if not budget:
+        return None
     end, edits = _ends(passage, text, low, high, budget)
     if edits > budget:
         return None
@@ -243,29 +280,22 @@ def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text") -> I
 
 
 def leaks(df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, item_id, start, end, edits) of each passage found in a document; keys are integers."""
-    schema = f"{key} long, item_id long, start long, end long, edits int"
-    bounded_batches(df.sparkSession)
-    rows, made = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")), None
+    """(key, item_id, start, end, edits) of each place of a passage in a document."""
+    rows, made = df.select(F.col(key).alias("key"), F.col(text).alias("text")), None
     for block in blocks(benchmark):
-        shared = df.sparkSession.sparkContext.broadcast(block)
-
-        # rows are made here, since a filter inferred from explode would search twice
-        def run(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            index = Index(shared.value)
-            for batch in batches:
-                found = [(k, *x) for k, t in zip(batch["key"].astype("Int64"), batch["text"]) for x in index.search(t)]
-                yield pd.DataFrame(found, columns=[key, "item_id", "start", "end", "edits"]).astype({key: "Int64"})
-
-        found = rows.mapInPandas(run, schema)
+        found = find_passages(rows, block, "text", "found")
+        # of an inner explode Catalyst would infer a filter that searches a second time
+        found = found.select("key", F.explode_outer("found").alias("p")).filter(F.col("p").isNotNull()).select(F.col("key").alias(key), "p.*")
         made = found if made is None else made.unionByName(found)
-    return made if made is not None else df.sparkSession.createDataFrame([], schema)
+    if made is None:
+        return find_passages(rows, [], "text", "found").select(F.col("key").alias(key), F.explode("found").alias("p")).filter(F.lit(False)).select(key, "p.*")
+    return made
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """``df`` without the documents that hold a passage."""
-    kept = df
+    kept, (found,) = df, free_names(df, 1)
     for i, block in enumerate(blocks(benchmark)):
         kept = durable(kept) if i else kept
-        kept = find_passages(kept, block, text, "_passages").filter(F.size("_passages") == 0).drop("_passages")
+        kept = find_passages(kept, block, text, found).filter(F.size(found) == 0).drop(found)
     return kept

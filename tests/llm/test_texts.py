@@ -260,7 +260,7 @@ def test_decontamination_of_repetitive_passages():
         unit = units[turn % len(units)]
         passage = f"{make(rnd.randint(0, 3))} {' '.join([unit] * rnd.randint(3, 14))} {make(rnd.randint(0, 3))}".strip()
         index = D.Index([(1, passage)])
-        if not index.ids:
+        if not index.ids or index.whole[0]:  # whole words, without edits
             continue
         norm = "".join(map(chr, index.codes[0].tolist()))
         chars = list(norm)
@@ -278,6 +278,25 @@ def test_decontamination_of_repetitive_passages():
             assert d == fewest == edits(norm, doc[start:end])
 
 
+@pytest.mark.parametrize("passage", ["Q", "4", "ab c", "What?", "Four. 4", "is 2 plus 2? Four", "What is 2 plus 2? Four.", "a" * 29, "b" * 30, "née d’Élan, 日本"])
+def test_short_passages_are_found_as_words(passage):
+    index = D.Index([(3, passage), (4, "--")])
+    for doc in (passage, f"zz {passage.upper()}!", f"Before ({passage}) after", "filler words " * 30_000 + passage):
+        found = index.search(doc)
+        assert len(found) == 1 and found[0][0] == 3 and found[0][3] == 0, (passage, doc[-60:])
+        assert D.normalise(doc[found[0][1] : found[0][2]])[0].tolist() == D.normalise(passage)[0].tolist()
+    if len(D.normalise(passage)[0]) < D.LEAST_CHARS:
+        assert not index.search(f"x{passage} y") and not index.search(f"y {passage.rstrip('.?')}x")
+    assert not index.search("-- ??")
+
+
+def test_each_place_of_a_passage_is_found():
+    passage = "The quick brown fox jumped over the lazy dogs"
+    gap = " and then something else was said at some length "
+    found = D.Index([(1, passage), (2, "lazy dogs")]).search(gap.join([passage, passage.replace("quick", "quik"), passage]))
+    assert [(i, d) for i, _, _, d in found] == [(1, 0), (1, 1), (1, 0), (2, 0), (2, 0), (2, 0)]
+
+
 def test_decontamination_cases(spark):
     passage = "The quick brown fox, jumped over the lazy dogs & ran 42 miles home."
     long = "filler words here " * 40_000
@@ -285,6 +304,9 @@ def test_decontamination_cases(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, passages string")
     bench = spark.createDataFrame([(7, passage), (8, None), (None, "x"), (9, "short"), (7, passage)], "item_id long, text string")
     made = D.leaks(docs, bench).collect()
+    assert {(r["doc_id"], r["edits"]) for r in D.leaks(docs.withColumn("doc_id", F.concat(F.lit("a-"), F.col("doc_id").cast("string"))), bench).collect()} == {("a-1", 0), ("a-2", 0), ("a-5", 0), (None, 0)}
+    mine = D.drop_leaks(docs.withColumn("__0", F.lit("mine")).withColumn("_passages", F.lit("too")), bench).collect()
+    assert {(r["__0"], r["_passages"]) for r in mine} == {("mine", "too")}
     assert sorted((r["doc_id"] or 0, r["item_id"], r["edits"]) for r in made if r["item_id"] == 7)[0] == (0, 7, 0)
     assert {r["doc_id"] for r in made} == {1, 2, 5, None}
     kept = D.drop_leaks(docs, bench)
