@@ -8,9 +8,10 @@ tasks. A conversation's last state is anti-joined with the states before a turn.
 
 Defined results: turns are ordered by number (nulls last), ties by the digest of role
 and text; repeated rows of a conversation count once; null roles and texts count as
-empty; rows with a null id are a conversation of their own with a null id. Long
-conversations are rendered in segments of SEGMENT turns; joined in order they are the
-whole. An empty table gives no rows; other columns are not used.
+empty; ids are of any type with an order, and rows with a null id are a conversation of
+their own, whose id is the smallest. Long conversations are rendered in segments of
+``segment_turns`` turns, in order the whole; with None each is one row, however long. An
+empty table gives no rows; other columns are not used.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from tessera.llm.common import durable
 PART = 1024
 #: Turns in a rendered segment.
 SEGMENT = 512
-NO_ID = -(1 << 63)
 
 
 def render(role: Column, text: Column) -> Column:
@@ -38,7 +38,7 @@ def _hash(seed: int) -> Column:
 def turn_states(turns: DataFrame) -> DataFrame:
     """Turns with their place (from 1) and the state after them (s1, s2) and before them (b1, b2)."""
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
-    rows = turns.select(F.coalesce(F.col("conv_id").cast("long"), F.lit(NO_ID)).alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    rows = turns.select(F.struct("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("digest", F.md5(F.concat_ws(":", F.char_length("role").cast("string"), "role", "text")))
     rows = rows.groupBy("conv", "turn", "digest").agg(F.first("role").alias("role"), F.first("text").alias("text"))
     rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART).cast("long"), F.lit((1 << 63) - 1)))
@@ -62,7 +62,7 @@ def turn_states(turns: DataFrame) -> DataFrame:
     return rows.select("conv", "place", "role", "text", "s1", "s2", *((F.col(f"s{i}") - F.col(f"h{i}")).cast("decimal(38,0)").alias(f"b{i}") for i in (1, 2)))
 
 
-def collapse(turns: DataFrame) -> DataFrame:
+def collapse(turns: DataFrame, segment_turns: int | None = SEGMENT) -> DataFrame:
     """Maximal conversations, rendered: conv_id, segment (from 0), n_turns, copies, text."""
     rows = durable(turn_states(turns))
     last = rows.groupBy("conv").agg(F.max(F.struct("place", "s1", "s2")).alias("s")).select("conv", "s.*")
@@ -70,10 +70,11 @@ def collapse(turns: DataFrame) -> DataFrame:
     before = rows.filter("place > 1").select((F.col("place") - 1).alias("place"), F.col("b1").alias("s1"), F.col("b2").alias("s2")).distinct()
     kept = last.join(before, ["place", "s1", "s2"], "left_anti").select("conv", "copies", F.col("place").alias("n_turns"))
     made = rows.select("conv", "place", render(F.col("role"), F.col("text")).alias("line")).join(kept, "conv")
-    made = made.withColumn("segment", F.floor((F.col("place") - 1) / SEGMENT).cast("int"))
+    segment = F.floor((F.col("place") - 1) / segment_turns).cast("int") if segment_turns else F.lit(0)
+    made = made.withColumn("segment", segment)
     made = made.groupBy("conv", "segment", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
     text = F.array_join(F.col("lines.line"), "")
-    return made.select(F.when(F.col("conv") != NO_ID, F.col("conv")).alias("conv_id"), "segment", F.col("n_turns").cast("long").alias("n_turns"), "copies", text.alias("text"))
+    return made.select("conv.conv_id", "segment", F.col("n_turns").cast("long").alias("n_turns"), "copies", text.alias("text"))
 
 
 #: DuckDB SQL of ``collapse`` for conversations of one segment, with the text's MD5.

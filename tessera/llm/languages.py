@@ -5,9 +5,10 @@ A document is a bag of letter trigrams, one for each letter with its neighbours
 languages. A document's proportions maximise the likelihood; a language joins the
 set only if it raises the log-likelihood by more than PENALTY * log(trigrams). A
 single language is proven best without iterations where no direction away from it
-ascends (the likelihood is concave in the proportions).
+ascends (the likelihood is concave in the proportions). The fit is the mean log-likelihood of a trigram
+above that of an even draw from all cells: below 0 the text is in none of the languages.
 
-Defined results: null, empty and letterless texts are ``und`` with score 0 and an
+Defined results: null, empty and letterless texts are ``und`` with score 0, fit 0 and an
 empty set; equal proportions fall to the language that sorts first; with no rows to
 learn from, every text is ``und``; a column named like ``out`` is replaced.
 """
@@ -31,7 +32,7 @@ ROWS_A_LANGUAGE = 3000
 #: Log-likelihood a further language must add, in units of log(trigrams).
 PENALTY = 3.0
 EM_STEPS, EM_TOLERANCE = 40, 1e-4
-RESULT = "lang_pred string, score double, langs array<string>, shares array<double>"
+RESULT = "lang_pred string, score double, langs array<string>, shares array<double>, fit double"
 
 
 @lru_cache(maxsize=1)
@@ -66,11 +67,11 @@ def em(p: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
     return share, float(weight @ np.log(p @ share))
 
 
-def infer(text: str | None, model: np.ndarray) -> tuple[list[int], list[float]]:
-    """The set of languages (columns of the model) and their proportions, largest first."""
+def infer(text: str | None, model: np.ndarray) -> tuple[list[int], list[float], float]:
+    """The set of languages (columns of the model), their proportions, largest first, and the fit."""
     cells = trigrams(text)
     if not len(cells) or not model.shape[1]:
-        return [], []
+        return [], [], 0.0
     if len(cells) > CELLS // 8:
         counted = np.bincount(cells, minlength=CELLS)
         cells = np.flatnonzero(counted)
@@ -81,7 +82,7 @@ def infer(text: str | None, model: np.ndarray) -> tuple[list[int], list[float]]:
     alone = weight @ np.log(p)
     best = int(alone.argmax())
     if ((weight / p[:, best]) @ p).max() <= n * (1 + 1e-9):
-        return [best], [1.0]
+        return [best], [1.0], float(alone[best] / n + np.log(CELLS))
     share, _ = em(p, weight)
     order, reached, chosen = np.argsort(-share, kind="stable"), alone[best], ([best], [1.0])
     for k in range(2, len(order) + 1):
@@ -91,7 +92,7 @@ def infer(text: str | None, model: np.ndarray) -> tuple[list[int], list[float]]:
             break
         by = np.argsort(-part, kind="stable")
         reached, chosen = value, ([int(x) for x in some[by]], [float(x) for x in part[by]])
-    return chosen
+    return *chosen, float(reached / n + np.log(CELLS))
 
 
 def learn(rows: DataFrame, text: str, lang: str, key: str) -> tuple[list[str], np.ndarray]:
@@ -143,8 +144,8 @@ def identify(df: DataFrame, langs: list[str], model: np.ndarray, text: str = "te
         for texts in batches:
             made = []
             for t in texts:
-                found, parts = infer(t, table)
-                made.append((names[found[0]] if found else "und", min(1.0, parts[0]) if found else 0.0, [names[x] for x in found], parts))
-            yield pd.DataFrame(made, columns=["lang_pred", "score", "langs", "shares"])
+                found, parts, fit = infer(t, table)
+                made.append((names[found[0]] if found else "und", min(1.0, parts[0]) if found else 0.0, [names[x] for x in found], parts, fit))
+            yield pd.DataFrame(made, columns=["lang_pred", "score", "langs", "shares", "fit"])
 
     return df.withColumn(out, run(F.col(text)))

@@ -138,6 +138,12 @@ def test_chats_edges(spark):
     rows = [(None, 1, "user", "a", 0), (None, None, None, None, 0), (1, 1, "user", "a", 0), (2, 1, None, "a", 0), (3, 1, "", "a", 0)]
     got = {r["conv_id"]: (r["n_turns"], r["copies"]) for r in chats.collapse(spark.createDataFrame(rows, schema)).collect()}
     assert got == {None: (2, 1), 2: (1, 2)}
+    named = [(f"c-{r[0]}" if r[0] else None, *r[1:]) for r in rows]
+    got = {r["conv_id"]: (r["n_turns"], r["copies"]) for r in chats.collapse(spark.createDataFrame(named, schema.replace("conv_id long", "conv_id string"))).collect()}
+    assert got == {None: (2, 1), "c-2": (1, 2)}
+    same = spark.createDataFrame([(1, 7, "user", str(i), 0) for i in range(1500)] + [(2, None, "user", str(i), 0) for i in range(1500)], schema)  # one turn number, or none
+    got = chats.collapse(same, segment_turns=None).collect()
+    assert len(got) == 1 and got[0]["n_turns"] == 1500 and got[0]["copies"] == 2 and got[0]["text"].count("<|im_start|>") == 1500
     assert chats.collapse(spark.createDataFrame([], schema)).count() == 0
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+import corpus_pipeline
 from tessera.llm import bpe, languages, license_rules, licenses, quality, queries, token_counts
 from tessera.llm import decontamination as D
 
@@ -155,12 +156,14 @@ def test_language_mixture():
             np.add.at(model[:, i], languages.trigrams(" ".join(rnd.choice(words) for _ in range(3))), 1)
     model /= model.sum(axis=0)
     assert languages.infer(" ".join(rnd.choice(a) for _ in range(80)), model)[0] == [0]
-    found, share = languages.infer(" ".join(rnd.choice(a) for _ in range(150)) + " " + " ".join(rnd.choice(b) for _ in range(50)), model)
-    assert found == [0, 1] and 0.6 < share[0] < 0.85
+    found, share, fit = languages.infer(" ".join(rnd.choice(a) for _ in range(150)) + " " + " ".join(rnd.choice(b) for _ in range(50)), model)
+    assert found == [0, 1] and 0.6 < share[0] < 0.85 and fit > 1
     long = " ".join(rnd.choice(b) for _ in range(5000))
-    assert languages.infer(long, model) == ([1], [1.0])
+    assert languages.infer(long, model)[:2] == ([1], [1.0]) and languages.infer(long, model)[2] > 1
     for t in (None, "", "12 34 !?"):
-        assert languages.infer(t, model) == ([], [])
+        assert languages.infer(t, model) == ([], [], 0.0)
+    for noise in ("".join(rnd.choice("qxzjkvw") for _ in range(300)), "Η γλώσσα αυτή δεν είναι γνωστή στο μοντέλο", "これは学習されていない言語です"):
+        assert languages.infer(noise, model)[2] < 0
     share, value = languages.em(model[languages.trigrams("the und the")], np.ones(9))
     grid = [np.log(model[languages.trigrams("the und the")] @ np.array([x, 1 - x])).sum() for x in np.linspace(0, 1, 2001)]
     assert value == pytest.approx(max(grid), abs=1e-3)
@@ -173,6 +176,17 @@ def test_language_held_out_accuracy(spark, sf_dir):
     assert r["n"] > 20 and r["x"] > 0.97
 
 
+def test_language_stage_keeps_texts_in_learned_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    extra = [(-1, "wqzxv kjqzx " * 30, "en"), (-2, "Η γλώσσα αυτή δεν είναι γνωστή", None), (-3, "12 34", "en"), (-4, None, "en")]
+    rows = docs.union(spark.createDataFrame(extra, docs.schema)).withColumn("__0", F.lit("mine")).withColumn("_language", F.lit(1))
+    kept = corpus_pipeline.language_stage(spark, rows, "")
+    assert kept.columns == rows.columns
+    kept = {r["doc_id"] for r in kept.collect()}
+    assert not kept & {-1, -2, -3, -4}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(c.isalpha() for c in r["text"] or "")}
+
+
 def test_quality_keeps_clean_documents(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
