@@ -7,7 +7,7 @@ columns of the documents they got; a stage works on all its predecessor kept.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 import public_tokenizers
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, decontamination, languages, minhash, quality
-from tessera.llm.common import table
+from tessera.llm.common import free_names, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,10 +25,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any language (no letter in the text) go."""
+    """Documents in none of the learned languages go: no letter, or no mixture of languages explains the text better than chance."""
     langs, model = languages.learn(docs.filter(languages.training_rows(F.col("doc_id"))), "text", "lang", "doc_id")
-    found = languages.identify(docs, langs, model, out="_language")
-    return found.filter(F.col("_language.lang_pred") != "und").select(*docs.columns)
+    (out,) = free_names(docs, 1)
+    found = languages.identify(docs, langs, model, out=out)
+    return found.filter((F.col(out)["lang_pred"] != "und") & (F.col(out)["fit"] >= 0)).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +61,8 @@ ORACLE_SQL = None
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended
+        return
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
@@ -67,10 +70,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is a table in the shared checkpoint folder.
 
-    The tables of earlier stages are deleted as soon as the next one is written.
+    The tables of earlier stages are deleted as soon as the next one is written; the last
+    one, which the result reads, when the interpreter ends.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpus-pipeline-")
-    base = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
     docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{base}/{k}"
@@ -79,6 +82,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             _delete(spark, before)
         before = path
+    atexit.register(_delete, spark, base)
     return docs
 
 
