@@ -385,3 +385,23 @@ def drop_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
         again = rows.join(if_small(gone.filter("stays").drop("stays"), repeated), [t1, t2], "left_semi")
         kept = kept.unionByName(again.dropDuplicates([t1, t2]))
     return kept.select(*df.columns)
+
+
+#: DuckDB SQL of ``duplicate_classes`` with its defaults: all pairs of distinct texts that share a shingle, and all that links reach.
+CLASSES_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT text, row_number() OVER () AS t, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM (SELECT DISTINCT text FROM documents WHERE text IS NOT NULL)
+), s AS (
+  SELECT text, t, list_distinct(CASE WHEN len(w) < 3 THEN list_filter([array_to_string(w, ' ')], lambda x: len(w) > 0)
+                                     ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS set FROM t
+), e AS (SELECT t, len(set) AS n, unnest(set) AS x FROM s),
+p AS (SELECT a.t AS a, b.t AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS common FROM e a JOIN e b ON a.x = b.x AND a.t < b.t GROUP BY a.t, b.t),
+l AS (SELECT a, b FROM p WHERE 100 * common >= 85 * (n + m - common)),
+u AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT t, t FROM s UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+d AS (SELECT doc_id, t, coalesce(len(set), 0) AS n FROM documents LEFT JOIN s USING (text)),
+c AS (SELECT r.a AS t, min(d.doc_id) AS component_id FROM r JOIN d ON d.t = r.b GROUP BY r.a)
+SELECT doc_id, n::bigint AS n_shingles, CASE WHEN n = 0 THEN doc_id ELSE c.component_id END AS component_id, coalesce(doc_id = CASE WHEN n = 0 THEN doc_id ELSE c.component_id END, false) AS kept
+FROM d LEFT JOIN c USING (t)
+"""

@@ -86,4 +86,4 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": sharding.SHARDING_SQL, "op4_chat_formatting": chats.COLLAPSE_SQL}
+ORACLE: dict[str, str] = {"op1_sharding": sharding.SHARDING_SQL, "op4_chat_formatting": chats.COLLAPSE_SQL, "op9_near_duplicates": minhash.CLASSES_SQL}
