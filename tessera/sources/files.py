@@ -5,7 +5,10 @@ Files are read by Spark's readers only, so any store they reach will do.
 
 from __future__ import annotations
 
+import atexit
+import tempfile
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -26,10 +29,11 @@ def folder_label(path: Column, prefix: str = "pubchem_") -> Column:
     return F.concat(F.lit(prefix), name)
 
 
-def split_line(line: Column, sep: str = ",") -> Column:
-    """Fields of a delimited line; quotes are dropped, doubled quotes in quotes are kept once."""
-    fields = F.split(line, rf'{sep}(?=(?:[^"]*"[^"]*")*[^"]*$)')
-    return F.transform(fields, lambda x: F.replace(F.regexp_replace(F.trim(x), '^"|"$', ""), F.lit('""'), F.lit('"')))
+def fields(line: Column, names: list[str]) -> Column:
+    """Struct of a CSV line's fields as strings, trimmed; an empty field is empty, a missing one null."""
+    schema = ", ".join(f"`{n}` string" for n in names)
+    options = {"quote": '"', "escape": '"', "nullValue": "\0", "emptyValue": "", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+    return F.from_csv(line, F.lit(schema), options)
 
 
 def preamble_csv(spark: SparkSession, paths: str | list[str], sentinel: str = "PUBCHEM_SID") -> DataFrame:
@@ -50,18 +54,25 @@ def preamble_csv(spark: SparkSession, paths: str | list[str], sentinel: str = "P
     made = []
     for (head,) in heads.select("_head").distinct().collect():  # layouts, not files
         names = [n.strip().strip('"').lstrip("﻿") for n in head.split(",")]
-        own = rows.filter(F.col("_head") == head).withColumn("_f", split_line(F.col("value")))
-        own = own.select("_path", "_line", *(F.try_element_at("_f", F.lit(i + 1)).alias(n) for i, n in enumerate(names)))
+        own = rows.filter(F.col("_head") == head).withColumn("_f", fields(F.col("value"), names))
+        own = own.select("_path", "_line", *(F.col(f"_f.`{n}`").alias(n) for n in names))
         made.append(own.filter(F.col(sentinel).rlike("^-*[0-9]+$")))
     if not made:
         return spark.createDataFrame([], f"_path string, _line long, {sentinel} string")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
 
 
-def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
-    """Headered file as strings; without ``sep`` the suffix decides (.tsv: tab, else comma)."""
+def delimited(spark: SparkSession, path: str, sep: str | None = None, types: dict[str, str] | None = None, columns: list[str] | None = None) -> DataFrame:
+    """Headered file; without ``sep`` the suffix decides (.tsv: tab, else comma).
+
+    Columns are strings but for those of ``types`` (name -> type); a cell that is not of its
+    type is null. Only ``columns`` are returned, in their order, and parsed.
+    """
     sep = sep or ("\t" if path.lower().endswith((".tsv", ".txt")) else ",")
-    return spark.read.option("header", True).option("sep", sep).option("quote", '"').csv(path)
+    rows = spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"').csv(path)
+    rows = rows.select(*columns) if columns else rows
+    types = types or {}
+    return rows.select(*(F.col(f"`{c}`").try_cast(types[c]).alias(c) if c in types else F.col(f"`{c}`") for c in rows.columns))
 
 
 def with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
@@ -89,6 +100,42 @@ def check_inventory(files: DataFrame, registry: DataFrame, warn_below: int = 100
     return both.select("aid", F.coalesce("files", F.lit(0)).alias("files"), "length", "paths", status.alias("status"))
 
 
+def comparable_path(path: Column) -> Column:
+    """A path as both the file metadata (encoded) and the file listing (plain) would have it."""
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return F.regexp_replace(plain, r"^(\w+):/+", "$1:/")
+
+
+def check_files(rows: DataFrame, files: DataFrame, required: list[str], least_rows: int = 1) -> DataFrame:
+    """Each file's path, rows, missing columns and status.
+
+    FAIL: a required column is in none of the file's rows, or the file has no rows; WARN:
+    fewer rows than ``least_rows``; else PASS. ``rows``: the scanned rows with _path.
+    """
+    there = [F.max(F.col(f"`{c}`").isNotNull()).alias(f"_{i}") if c in rows.columns else F.lit(False).alias(f"_{i}") for i, c in enumerate(required)]
+    seen = rows.groupBy(comparable_path(F.col("_path")).alias("_at")).agg(F.count("*").alias("rows"), *there)
+    lacks = F.array_compact(F.array(*(F.when(~F.coalesce(f"_{i}", F.lit(False)), F.lit(c)) for i, c in enumerate(required))))
+    made = files.join(seen, comparable_path(F.col("path")) == F.col("_at"), "left").select("path", F.coalesce("rows", F.lit(0)).alias("rows"), lacks.alias("missing"))
+    status = F.when((F.col("rows") == 0) | (F.size("missing") > 0), "FAIL").when(F.col("rows") < least_rows, "WARN").otherwise("PASS")
+    return made.withColumn("status", status)
+
+
+def unregistered(files: DataFrame, registry: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Files by aid that no registry row has (ORPHAN) or that are to be left out (EXCLUDED)."""
+    left_out = files.join(F.broadcast(excluded.select("aid").distinct()), "aid", "left_semi").withColumn("status", F.lit("EXCLUDED"))  # a row for each file
+    orphans = files.join(F.broadcast(registry.select("aid").union(excluded.select("aid")).distinct()), "aid", "left_anti").withColumn("status", F.lit("ORPHAN"))
+    return left_out.unionByName(orphans)
+
+
+def check_columns(spark: SparkSession, tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """A row for each external table (name -> table, required columns): name, missing columns, status."""
+    made = []
+    for name, (df, required) in tables.items():
+        lacks = missing_columns(df, required)
+        made.append((name, lacks, "FAIL" if lacks else "PASS"))
+    return spark.createDataFrame(made, "name string, missing array<string>, status string")
+
+
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
@@ -105,14 +152,70 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def replace_table(spark: SparkSession, path: str, change) -> DataFrame:
-    """Rewrite the table at ``path`` with ``change(table)``: written beside it, then swapped by renames."""
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def materialised(spark: SparkSession, path: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, written from ``make()`` unless it is there; a write that broke off counts as not there."""
+    if not _exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        write_table(make(), path)
+    return spark.read.parquet(path)
+
+
+def export_package(tables: dict[str, DataFrame], folder: str, columns: dict[str, list[str]] | None = None) -> dict[str, str]:
+    """Each table as headered CSV in a folder of its name (with ``columns``, only those); name -> path."""
+    made = {}
+    for name, df in tables.items():
+        made[name] = f"{folder.rstrip('/')}/{name}"
+        write_csv(df, made[name], (columns or {}).get(name))
+    return made
+
+
+def replace_table(spark: SparkSession, path: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Rewrite the table at ``path`` with ``change(table)``: written beside it, then swapped by renames.
+
+    If the second rename fails the first is undone; a table that a break left under its
+    name for the swap (path + "-old") is put back before anything else.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fresh, old = (f"{path.rstrip('/')}-{uuid.uuid4().hex}" for _ in range(2))
-    write_table(change(spark.read.parquet(path)), fresh)
-    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.rename(fs_path(path), fs_path(old))
-    fs.rename(fs_path(fresh), fs_path(path))
-    fs.delete(fs_path(old), True)
+    at, old, fresh = (fs_path(path.rstrip("/") + end) for end in ("", "-old", f"-{uuid.uuid4().hex}"))
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(old):
+        if fs.exists(at):
+            fs.delete(old, True)
+        else:
+            fs.rename(old, at)
+    write_table(change(spark.read.parquet(path)), fresh.toString())
+    if not fs.rename(at, old):
+        fs.delete(fresh, True)
+        raise OSError(f"{path} could not be moved")
+    if not fs.rename(fresh, at):
+        fs.rename(old, at)
+        fs.delete(fresh, True)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(old, True)
     spark.catalog.refreshByPath(path)
     return spark.read.parquet(path)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which all executors share; deleted when the interpreter ends.
+
+    Only a session on one machine may go without the setting; it gets a temporary folder.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="tessera-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
