@@ -33,6 +33,24 @@ def dependency(df: DataFrame, key: str, value: str) -> DataFrame:
     return one.crossJoin(two).crossJoin(null)  # one row each
 
 
+def offenders(df: DataFrame, key: str, value: str, k: int = 10) -> DataFrame:
+    """The ``k`` keys with the most different values (two at least): key, n_values, n_rows and up to five values."""
+    pairs = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
+    made = pairs.groupBy(key).agg(F.count("*").alias("n_values"), F.sum("k").alias("n_rows")).filter("n_values > 1")
+    top = made.orderBy(F.desc("n_values"), key).limit(k)
+    values = pairs.join(F.broadcast(top.select(key)), key, "left_semi").groupBy(key).agg(F.slice(F.sort_array(F.collect_set(value)), 1, 5).alias("examples"))  # k keys
+    return top.join(F.broadcast(values), key)
+
+
+def reported(row: DataFrame, reported: dict[str, float], places: int = 3, tolerance: float = 0.02) -> DataFrame:
+    """A row for each reported figure against the column of its name in a one-row summary: difference and MATCH or DISCREPANCY."""
+    def one(name: str, figure: float) -> Column:
+        difference = F.round(F.abs(F.lit(float(figure)) - F.col(name).cast("double")), places)
+        return F.struct(F.lit(name).alias("metric"), F.lit(float(figure)).alias("reported"), F.col(name).cast("double").alias("recomputed"), difference.alias("difference"), F.when(difference < tolerance, "MATCH").otherwise("DISCREPANCY").alias("status"))
+
+    return row.select(F.explode(F.array(*(one(k, v) for k, v in reported.items()))).alias("r")).select("r.*")
+
+
 def repeated(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that occur more than once, with how often."""
     return df.groupBy(*keys).agg(F.count("*").alias("times")).filter("times > 1")

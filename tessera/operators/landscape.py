@@ -63,6 +63,30 @@ def ruggedness(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     return made.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("density"), group)))  # rows are series
 
 
+def series_ruggedness(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
+    """Series of two members or more: size, severe cliffs, possible pairs, density, smoothness, statistics of the values, mean and largest SALI, rank by size.
+
+    members: id, group, value; pairs: a, b, tier, delta, similarity. SALI is over all pairs within the series.
+    """
+    v = F.col("value")
+    size = members.groupBy(group).agg(
+        F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("spread"), F.stddev_samp(v).alias("sd"),
+    ).filter("n >= 2").withColumn("possible", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
+    of = lambda k: members.select(F.col("id").alias(k), F.col(group).alias(f"g_{k}"))
+    inside = pairs.join(of("a"), "a").join(of("b"), "b").filter("g_a = g_b")
+    sali = V.sali(F.col("delta"), F.col("similarity"))
+    found = inside.groupBy(F.col("g_a").alias(group)).agg(F.count_if(F.col("tier") == "severe").alias("severe"), F.avg(sali).alias("mean_sali"), F.max(sali).alias("max_sali"))
+    made = size.join(found, group, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("severe", "mean_sali", "max_sali")})
+    made = made.withColumn("density", V.share(F.col("severe"), F.col("possible"))).withColumn("smoothness", 1 - F.col("density"))
+    return made.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), group)))  # rows are series
+
+
+def series_coverage(sizes: DataFrame) -> DataFrame:
+    """One row over group sizes (column n): groups of two or more, and the share of members in them."""
+    n, large = F.col("n"), F.col("n") >= 2
+    return sizes.agg(F.count_if(large).alias("series"), (F.sum(F.when(large, n).otherwise(0)) / F.sum(n)).alias("in_series"))
+
+
 def explode_ends(edges: DataFrame, *keep: str) -> DataFrame:
     """A row (node, other, ...) for each end of each edge."""
     ends = F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))

@@ -54,3 +54,32 @@ def trace(keys: DataFrame, key: str, stages: dict[str, DataFrame]) -> DataFrame:
         rows = mark(rows, stage, key, f"in_{name}")
     lost = F.coalesce(*(F.when(~F.col(f"in_{name}"), F.lit(name)) for name in stages))
     return rows.withColumn("lost_at", lost)
+
+
+def pair_key(a: Column, b: Column) -> Column:
+    """The same for both orders of a pair."""
+    return F.struct(F.least(a, b).alias("low"), F.greatest(a, b).alias("high"))
+
+
+def first_found(df: DataFrame, keys: list[str], tables: list[tuple[str, DataFrame]], computed: dict[str, Column]) -> DataFrame:
+    """``df`` with the columns of ``computed`` from the first of ``tables`` (name, rows unique by ``keys``) that has the key, else as computed; and ``found_in``."""
+    made, marks = df, []
+    for i, (name, rows) in enumerate(tables):
+        made = made.join(rows.select(*keys, F.struct(*computed).alias(f"_{i}")), keys, "left")
+        marks.append((F.col(f"_{i}").isNotNull(), name))
+    found = F.coalesce(*(F.when(there, F.lit(name)) for there, name in marks), F.lit("computed"))
+    values = {}
+    for c, own in computed.items():
+        picked = own
+        for i in reversed(range(len(tables))):
+            picked = F.when(F.col(f"_{i}").isNotNull(), F.col(f"_{i}.{c}")).otherwise(picked)
+        values[c] = picked
+    return made.select(*df.columns, *(v.alias(c) for c, v in values.items()), found.alias("found_in"))
+
+
+def shares_any(pairs: DataFrame, members: DataFrame, key: str, item: str) -> DataFrame:
+    """Pairs (a, b) with ``shared``: whether their sets of items overlap. Sets are of one key each."""
+    sets = members.groupBy(key).agg(F.collect_set(item).alias("items"))
+    for k in "ab":
+        pairs = pairs.join(sets.select(F.col(key).alias(k), F.col("items").alias(f"items_{k}")), k, "left")
+    return pairs.withColumn("shared", F.coalesce(F.arrays_overlap("items_a", "items_b"), F.lit(False))).drop("items_a", "items_b")

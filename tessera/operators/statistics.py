@@ -70,12 +70,48 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     return made.withColumn("p", chi_square_tail(F.col("h"), F.col("groups") - 1))
 
 
+def student_tail(t: Column, df: Column) -> Column:
+    """Two-sided p of Student's t: the regularised incomplete beta function by its continued fraction (200 terms)."""
+    a, x = df / 2.0, df / (df + t * t)
+    b, tiny = F.lit(0.5), 1e-300
+    flip = x >= (a + 1) / (a + b + 2)  # beyond it the fraction of the complement converges faster
+    p, q, z = F.when(flip, b).otherwise(a), F.when(flip, a).otherwise(b), F.when(flip, 1 - x).otherwise(x)
+    safe = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def turn(s: Column, m: Column) -> Column:
+        even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
+        d = 1 / safe(1 + even * s["d"])
+        c = safe(1 + even / s["c"])
+        odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
+        d2 = 1 / safe(1 + odd * d)
+        c2 = safe(1 + odd / c)
+        return F.struct(c2.alias("c"), d2.alias("d"), (s["h"] * d * c * d2 * c2).alias("h"))
+
+    d0 = 1 / safe(1 - (p + q) * z / (p + 1))
+    h = F.aggregate(F.transform(F.sequence(F.lit(1), F.lit(200)), lambda m: m.cast("double")), F.struct(F.lit(1.0).alias("c"), d0.alias("d"), d0.alias("h")), turn)["h"]
+    front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.log(z) + q * F.log(1 - z)) / p
+    part = front * h
+    return F.when(x >= 1, 1.0).when(x <= 0, 0.0).otherwise(F.when(flip, 1 - part).otherwise(part))
+
+
+def log_gamma(x: Column) -> Column:
+    """Logarithm of the gamma function for x >= 1/2: Stirling's series, moved up by eight."""
+    up = x
+    product = F.lit(1.0)
+    for _ in range(8):
+        product, up = product * up, up + 1
+    series = (up - 0.5) * F.log(up) - up + 0.9189385332046727 + 1 / (12 * up) - 1 / (360 * up * up * up) + 1 / (1260 * up * up * up * up * up)
+    return series - F.log(product)
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """One row: n, the correlation of average ranks, and its p by the normal approximation."""
+    """One row: n, the correlation of average ranks, and its two-sided p by Student's t with n - 2 degrees of freedom."""
     rows = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     rows = rows.join(average_ranks(rows, x).select(x, F.col("rank").alias("rx")), x).join(average_ranks(rows, y).select(y, F.col("rank").alias("ry")), y)
     made = rows.agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("rho"))
-    return made.withColumn("p", normal_tail(F.col("rho") * F.sqrt((F.col("n") - 1).cast("double"))))
+    free = (F.col("n") - 2).cast("double")
+    t = F.col("rho") * F.sqrt(free / (1 - F.col("rho") * F.col("rho")))
+    return made.withColumn("p", F.when(F.abs("rho") >= 1, 0.0).when(free > 0, student_tail(t, free)))
 
 
 def log_factorial(n: Column) -> Column:
@@ -117,32 +153,89 @@ def kde(df: DataFrame, value: str, low: float, high: float, steps: int, width: f
     return rows.groupBy("i", "x").agg((F.sum(kernel * F.col("k")) / F.sum("k")).alias("density"))
 
 
-def permutation_null(nodes: DataFrame, edges: DataFrame, least: float, times: int, group: str | None = None, seed: int = 42) -> DataFrame:
-    """(rep, n): edges whose ends differ by ``least`` or more after the values were dealt anew.
+def dealt_differences(nodes: DataFrame, edges: DataFrame, times: int, group: str | None = None, seed: int = 42) -> DataFrame:
+    """(rep, a, b, delta): the difference over each edge after the values were dealt anew; replicate 0 is the observed one.
 
     nodes: id, value and, for a constrained null, the group within which values stay.
-    Replicate 0 is the observed one. Values are dealt by a hash of node and replicate.
+    Values are dealt in the order of a digest of node, replicate and seed.
     """
     by = ["rep"] + ([group] if group else [])
     reps = nodes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times))))
     slot = Window.partitionBy(*by).orderBy("id")
-    drawn = Window.partitionBy(*by).orderBy(F.when(F.col("rep") == 0, F.col("id")).otherwise(F.xxhash64("id", "rep", F.lit(seed))), "id")
+    lot = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("rep").cast("string"), F.lit(str(seed))))
+    drawn = Window.partitionBy(*by).orderBy(F.when(F.col("rep") > 0, lot), "id")
     places = reps.select("id", *by, F.row_number().over(slot).alias("n"))
     dealt = reps.select("value", *by, F.row_number().over(drawn).alias("n"))
     value = places.join(dealt, [*by, "n"]).select("rep", "id", "value")
     one, two = (value.select("rep", F.col("id").alias(k), F.col("value").alias(f"v_{k}")) for k in "ab")
     met = edges.select("a", "b").join(one, "a").join(two, ["rep", "b"])
-    return met.groupBy("rep").agg(F.count_if(F.abs(F.col("v_a") - F.col("v_b")) >= least).alias("n"))
+    return met.select("rep", "a", "b", F.abs(F.col("v_a") - F.col("v_b")).alias("delta"))
+
+
+def permutation_null(nodes: DataFrame, edges: DataFrame, least: float, times: int, group: str | None = None, seed: int = 42) -> DataFrame:
+    """(rep, n): edges whose ends differ by ``least`` or more, for each replicate."""
+    return dealt_differences(nodes, edges, times, group, seed).groupBy("rep").agg(F.count_if(F.col("delta") >= least).alias("n"))
+
+
+def hub_null(nodes: DataFrame, edges: DataFrame, least: float, times: int, hubs: int = 4, group: str | None = None, seed: int = 42) -> DataFrame:
+    """(rep, n): share of edges that differ by ``least`` or more and meet one of the ``hubs`` nodes of highest degree among them (ties: smallest id).
+
+    Each replicate has as many such edges as the observed one, drawn by a digest; those with fewer are left out.
+    """
+    far = dealt_differences(nodes, edges, times, group, seed).filter(F.col("delta") >= least).select("rep", "a", "b")
+    lot = F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in ("a", "b", "rep")), F.lit(str(seed))))
+    order = Window.partitionBy("rep").orderBy(F.when(F.col("rep") > 0, lot), "a", "b")
+    wanted = far.filter("rep = 0").agg(F.count("*").alias("wanted"))
+    far = far.withColumn("i", F.row_number().over(order)).withColumn("all", F.count("*").over(Window.partitionBy("rep")))
+    far = far.crossJoin(F.broadcast(wanted)).filter("i <= wanted AND all >= wanted").select("rep", "a", "b")  # one row
+    ends = far.select("rep", F.explode(F.array("a", "b")).alias("node")).groupBy("rep", "node").agg(F.count("*").alias("k"))
+    top = ends.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("k"), "node"))).filter(F.col("i") <= hubs)
+    top = top.groupBy("rep").agg(F.collect_list("node").alias("hubs"))  # a few nodes each
+    hit = F.array_contains("hubs", F.col("a")) | F.array_contains("hubs", F.col("b"))
+    return far.join(top, "rep").groupBy("rep").agg((F.count_if(hit) / F.count("*")).alias("n"))
 
 
 def empirical(null: DataFrame, smooth: bool = True) -> DataFrame:
-    """One row of a null (rep, n): observed, mean, sd (population), z, fold, p with or without the +1."""
-    seen = F.max(F.when(F.col("rep") == 0, F.col("n")))
-    drawn = F.when(F.col("rep") > 0, F.col("n"))
-    made = null.agg(seen.alias("observed"), F.avg(drawn).alias("mean"), F.stddev_pop(drawn).alias("sd"), F.count(drawn).alias("times"), F.collect_list(drawn).alias("_all"))
-    above = F.size(F.filter("_all", lambda x: x >= F.col("observed")))
+    """One row of a null (rep, n): observed, mean, sd (population), z, fold, and the share of draws at or above (p) and at or below (p_low) the observed, with or without the +1."""
+    drawn = F.col("rep") > 0
+    seen = null.filter("rep = 0").agg(F.max("n").alias("observed"))
+    rows = null.filter(drawn).crossJoin(F.broadcast(seen))  # one row
     one = 1 if smooth else 0
-    return made.select("observed", "mean", "sd", "times", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")).alias("z"), F.when(F.col("mean") > 0, F.col("observed") / F.col("mean")).alias("fold"), ((above + one) / (F.col("times") + one)).alias("p"))
+    made = rows.agg(
+        F.max("observed").alias("observed"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.count("*").alias("times"),
+        F.count_if(F.col("n") >= F.col("observed")).alias("above"), F.count_if(F.col("n") <= F.col("observed")).alias("below"),
+    )
+    share = lambda k: (F.col(k) + one) / (F.col("times") + one)
+    return made.select("observed", "mean", "sd", "times", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")).alias("z"), F.when(F.col("mean") > 0, F.col("observed") / F.col("mean")).alias("fold"), share("above").alias("p"), share("below").alias("p_low"))
+
+
+def weight_robustness(kinds: DataFrame, weight: Column, moves: Column, least: float, times: int, reach: float = 0.2, seed: int = 42) -> DataFrame:
+    """One row: rank correlation (mean, smallest) with the unmoved scores, and counts at ``least`` or more (mean, smallest, largest, unmoved).
+
+    kinds: kind and k, its number of members, all of one score ``weight``; in each of
+    ``times`` draws the weights of kinds that ``moves`` move by up to ``reach``, evenly,
+    by a digest. Kinds are few, whatever the members.
+    """
+    rows = kinds.select("kind", "k", weight.alias("own"), moves.alias("moves"), F.explode(F.sequence(F.lit(1), F.lit(times))).alias("draw"))
+    digest = F.md5(F.concat_ws(":", "kind", F.col("draw").cast("string"), F.lit(str(seed))))
+    even = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    rows = rows.withColumn("score", F.when(F.col("moves"), F.col("own") * (1 - reach + 2 * reach * even)).otherwise(F.col("own")))
+
+    def rank(c: str) -> Column:
+        upto = Window.partitionBy("draw").orderBy(c).rangeBetween(Window.unboundedPreceding, 0)
+        ties = F.sum("k").over(Window.partitionBy("draw", c))
+        return F.sum("k").over(upto) - ties + (ties + 1) / 2
+
+    rows = rows.withColumns({"x": rank("own"), "y": rank("score")})
+    k, x, y = F.col("k"), F.col("x"), F.col("y")
+    by = rows.groupBy("draw").agg(
+        F.sum(k).alias("n"), F.sum(k * x).alias("sx"), F.sum(k * y).alias("sy"), F.sum(k * x * y).alias("sxy"), F.sum(k * x * x).alias("sxx"), F.sum(k * y * y).alias("syy"),
+        F.sum(F.when(F.col("score") >= least, k).otherwise(0)).alias("count"), F.sum(F.when(F.col("own") >= least, k).otherwise(0)).alias("unmoved"),
+    )
+    c = lambda a, b, s: F.col("n") * F.col(s) - F.col(a) * F.col(b)
+    rho = c("sx", "sy", "sxy") / F.sqrt(c("sx", "sx", "sxx") * c("sy", "sy", "syy"))
+    by = by.withColumn("rho", F.when((c("sx", "sx", "sxx") > 0) & (c("sy", "sy", "syy") > 0), rho))
+    return by.agg(F.avg("rho").alias("rho_mean"), F.min("rho").alias("rho_least"), F.avg("count").alias("count_mean"), F.min("count").alias("count_least"), F.max("count").alias("count_most"), F.max("unmoved").alias("unmoved"), F.count("*").alias("draws"))
 
 
 def threshold_sweep(pairs: DataFrame, similarities: list[int], deltas: list[float]) -> DataFrame:

@@ -8,6 +8,7 @@ from tessera.functions import values as V
 from tessera.operators import checks, consensus, statistics
 from tessera.plans.bindings import CONSENSUS, M, measurements, rep_sql, rounded, table
 
+# Scores of overlapping sources.
 SCORES = {"A|N|R": 0.3, "A|R": 0.5, "A|N": 0.6}
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -48,15 +49,6 @@ def independence_score(spark, d):
     return made.withColumn("independent", (F.col("score") >= 0.7) & F.col("source_list").contains("|"))
 
 
-def independence_perturbation(spark, d):
-    ent = _entities(spark, d).select("source_list")
-    kinds = ent.groupBy("source_list").agg(F.count("*").alias("k"))
-    draws = kinds.select("*", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("draw"))
-    shift = (F.pmod(F.col("draw") * 7 + F.length("source_list") * 3, F.lit(11)) - 5) / 50.0
-    moved = draws.withColumn("score", V.overlap_score(F.col("source_list"), SCORES, 0.7) + F.when(F.col("source_list").contains("|"), shift).otherwise(0.0))
-    return moved.groupBy("draw").agg(F.sum(F.when(F.col("source_list").contains("|") & (F.col("score") >= 0.6), F.col("k")).otherwise(0)).alias("n_independent"))
-
-
 def source_combo_counts(spark, d):
     ent = _entities(spark, d)
     made = ent.groupBy("source_list").agg(F.count("*").alias("n"), F.avg("consensus").alias("mean"), F.count_if("concordant").alias("n_concordant"))
@@ -148,7 +140,7 @@ def mean_comparison(spark, d):
     return rounded(made.withColumn("gap", F.col("arithmetic") - F.col("geometric")), "arithmetic", "geometric", "gap", digits=3)
 
 
-for _f in (replicate_aggregate, replicate_sources, entity_consensus, preferred_overlap, qualifier_mode, independence_score, independence_perturbation, source_combo_counts, upset_counts, cohort_groups, golden_set, screening_index, split_completeness, value_parse, unit_convert, endpoint_map, mechanism_class, qc_report, wide_to_long_endpoints, coefficient_of_variation, mean_comparison):
+for _f in (replicate_aggregate, replicate_sources, entity_consensus, preferred_overlap, qualifier_mode, independence_score, source_combo_counts, upset_counts, cohort_groups, golden_set, screening_index, split_completeness, value_parse, unit_convert, endpoint_map, mechanism_class, qc_report, wide_to_long_endpoints, coefficient_of_variation, mean_comparison):
     QUERIES[_f.__name__] = _f
 
 _SCORE = "CASE WHEN source_list NOT LIKE '%|%' THEN 1.0 WHEN source_list = 'A|N|R' THEN 0.3 WHEN source_list = 'A|R' THEN 0.5 WHEN source_list = 'A|N' THEN 0.6 ELSE 0.7 END::double"
@@ -159,7 +151,6 @@ ORACLE |= {
     "preferred_overlap": f"WITH {M} SELECT source, count(*) AS n, count(DISTINCT entity) AS entities FROM m WHERE NOT (source = 'N' AND entity IN (SELECT entity FROM m WHERE source = 'A')) GROUP BY source",
     "qualifier_mode": f"WITH {M}, c AS (SELECT part, qualifier, count(*) AS k FROM m GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY k DESC, qualifier) AS i, sum(k) OVER (PARTITION BY part) AS n FROM c) SELECT part, qualifier AS usual, n::bigint AS n FROM r WHERE i = 1",
     "independence_score": CONSENSUS + f" SELECT entity, source_list, {_SCORE} AS score, {_SCORE} >= 0.7 AND source_list LIKE '%|%' AS independent FROM ent",
-    "independence_perturbation": CONSENSUS + f", k AS (SELECT source_list, count(*) AS k FROM ent GROUP BY 1), g AS (SELECT k.*, draw, {_SCORE} + CASE WHEN source_list LIKE '%|%' THEN (((draw * 7 + length(source_list) * 3) % 11) - 5) / 50.0::double ELSE 0 END AS score FROM k, range(1, 21) t(draw)) SELECT draw::integer AS draw, sum(CASE WHEN source_list LIKE '%|%' AND score >= 0.6 THEN k ELSE 0 END)::bigint AS n_independent FROM g GROUP BY draw",
     "source_combo_counts": CONSENSUS + " SELECT source_list, count(*) AS n, round(avg(consensus), 6) AS mean, count(*) FILTER (WHERE spread < 0.5) AS n_concordant FROM ent GROUP BY source_list",
     "upset_counts": f"WITH {M}, e AS (SELECT entity, bool_or(source = 'A') AS in_a, bool_or(source = 'N') AS in_n, bool_or(source = 'R') AS in_r FROM m GROUP BY entity) SELECT in_a, in_n, in_r, count(*) AS n FROM e GROUP BY ALL",
     "cohort_groups": "SELECT p_brand, p_type, count(*) AS n, count(*) FILTER (WHERE p_size > 25) AS k, CASE WHEN count(*) FILTER (WHERE p_size > 25) = count(*) THEN 'only' WHEN count(*) FILTER (WHERE p_size > 25) > 0 THEN 'mixed' ELSE 'none' END AS kind FROM part GROUP BY ALL",

@@ -288,17 +288,7 @@ def kde_grid(spark, d):
     return rounded(T.kde(rows, "v", 0.0, 6.0, 60, 0.2), "x", "density")
 
 
-def permutation_null(spark, d):
-    nodes = vectors(spark, d).select("id", F.col("label").cast("double").alias("value"))
-    return T.empirical(T.permutation_null(nodes, vector_pairs(spark, d), 4.0, 40))
-
-
-def constrained_null(spark, d):
-    nodes = vectors(spark, d).select("id", F.col("label").cast("double").alias("value"), (F.col("label") < 5).alias("half"))
-    return T.empirical(T.permutation_null(nodes, vector_pairs(spark, d), 4.0, 40, "half"))
-
-
-for _f in (lookup_last_wins, lookup_first_wins, mark_join, semi_join, anti_join, multi_key_join, normalised_key_join, reference_pair_semi, entity_match, stage_trace, reconcile, fd_check, uniqueness, token_domain, expected_breakdown, claims_report, set_operations, union_all_sources, concat_columns, ranked_groups, first_row_per_key, arg_extremes, groups_above_size, sorted_top_k, union_of_tops, seeded_sample, output_digest, pivot_tier_type, hist_1d, hist_log, hist_2d, percentiles, winsorised, predicates, url_parts, json_values, date_ages, delimited_counts, json_summary, fisher_enrichment, mann_whitney, kruskal, spearman, bh_fdr, kde_grid, permutation_null, constrained_null):
+for _f in (lookup_last_wins, lookup_first_wins, mark_join, semi_join, anti_join, multi_key_join, normalised_key_join, reference_pair_semi, entity_match, stage_trace, reconcile, fd_check, uniqueness, token_domain, expected_breakdown, claims_report, set_operations, union_all_sources, concat_columns, ranked_groups, first_row_per_key, arg_extremes, groups_above_size, sorted_top_k, union_of_tops, seeded_sample, output_digest, pivot_tier_type, hist_1d, hist_log, hist_2d, percentiles, winsorised, predicates, url_parts, json_values, date_ages, delimited_counts, json_summary, fisher_enrichment, mann_whitney, kruskal, spearman, bh_fdr, kde_grid):
     QUERIES[_f.__name__] = _f
 
 from tessera.plans.landscape_queries import VEC  # noqa: E402
