@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import texts as X
+from tessera.functions import tokens as N
 from tessera.functions import values as V
 from tessera.operators import checks, classify, consensus, lookup
 from tessera.operators import landscape as L
@@ -111,6 +112,45 @@ def reported_figures(spark, d):
     return checks.reported(row, {"brands": 25, "size": 0.5, "most": 50.01})
 
 
+# token lists, in place of structures
+
+def _token_items(spark, d):
+    name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" | "), "p_brand")
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), N.standardise(F.when(F.col("p_partkey") % 31 == 0, F.lit(" ?! ")).when(F.col("p_partkey") % 37 == 0, F.lit(None).cast("string")).otherwise(name)).alias("s"))
+
+
+def token_standardise(spark, d):
+    rows = _token_items(spark, d).withColumn("stable", N.is_stable(F.array_join("s.tokens", " ")))
+    return rows.groupBy("s.status").agg(F.count("*").alias("n"), F.count_distinct("s.key").alias("keys"), F.sum("s.n_tokens").alias("tokens"), F.count_if("stable").alias("n_stable"))
+
+
+def token_cores(spark, d):
+    rows = _token_items(spark, d).filter("s.status = 'OK'")
+    return rows.groupBy(N.core(F.col("s.tokens")).alias("core"), N.core(F.col("s.tokens"), True).alias("generic")).agg(F.count("*").alias("n"))
+
+
+def token_fragments(spark, d):
+    items = _token_items(spark, d).filter("s.status = 'OK'").select("id", "s.tokens")
+    return N.fragments(items).groupBy("core").agg(F.count_distinct("id").alias("items"), F.count_distinct("rest").alias("rests"))
+
+
+def fingerprint_sensitivity(spark, d):
+    items = _token_items(spark, d).filter("s.status = 'OK'").select("id", "s.tokens")
+    pairs = items.select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    made = N.sensitivity(pairs, items, [(1, 4096), (2, 4096), (3, 512)], 0.2)
+    return rounded(made, "s0", "s1", "s2").select("a", "b", "s0", "s1", "s2", "robust")
+
+
+def pattern_panel(spark, d):
+    made = N.first_pattern(F.col("p_name"), [("warm", "red|orange"), ("cold", "blue"), ("size", "^(small|large) "), ("any", "a.*e")])
+    return table(spark, d, "part").groupBy(made.alias("label")).agg(F.count("*").alias("n"))
+
+
+def token_descriptors(spark, d):
+    rows = _token_items(spark, d).filter("s.status = 'OK'").select("id", N.descriptors(F.col("s.tokens")).alias("x"))
+    return rounded(rows.select("id", "x.*"), "mean")
+
+
 # series
 
 def series_ruggedness(spark, d):
@@ -168,18 +208,32 @@ def independence_robustness(spark, d):
     return rounded(made, "rho_mean", "rho_least", "count_mean")
 
 
-for _f in (assay_mechanism, mechanism_groups, id_classes, organisms, difference_classes, dates_found, key_shapes, relabelled_sources, fallback_lookup, shared_sets, dependency_offenders, reported_figures, series_ruggedness, series_coverage, rank_test_p, kruskal_p, spearman_p, permutation_null, constrained_null, hub_share_null, independence_robustness):
+for _f in (assay_mechanism, mechanism_groups, id_classes, organisms, difference_classes, dates_found, key_shapes, relabelled_sources, fallback_lookup, shared_sets, dependency_offenders, reported_figures, token_standardise, token_cores, token_fragments, fingerprint_sensitivity, pattern_panel, token_descriptors, series_ruggedness, series_coverage, rank_test_p, kruskal_p, spearman_p, permutation_null, constrained_null, hub_share_null, independence_robustness):
     QUERIES[_f.__name__] = _f
 
 _ASSAYS = """a AS (SELECT o_orderkey, o_custkey AS aid, CASE o_orderpriority WHEN '1-URGENT' THEN 'Kinact_Ki' WHEN '2-HIGH' THEN 'EC50' WHEN '4-NOT SPECIFIED' THEN 'Pct_inh' ELSE 'IC50' END AS e,
   CASE WHEN o_orderstatus = 'P' THEN 'HTS' WHEN o_orderkey % 11 = 0 THEN 'E' WHEN o_orderkey % 13 = 0 THEN 'D' END AS l, (o_orderkey % 8)::integer AS k FROM orders),
 c AS (SELECT *, CASE WHEN e = 'Kinact_Ki' THEN 'covalent_irreversible' WHEN e = 'EC50' THEN 'cellular' WHEN e = 'Pct_inh' THEN 'screening_single_conc' WHEN l = 'HTS' THEN 'hts_screen' WHEN l = 'E' THEN 'cellular' WHEN l = 'D' THEN 'fp_binding'
   ELSE (['rfms_enzymatic', 'fp_binding', 'baee_colorimetric', 'fp_binding', 'fp_binding', 'cellular', 'covalent_irreversible', 'baee_colorimetric'])[k + 1] END AS m FROM a)"""
+_TOKENS = "i AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 31 = 0 THEN ' ?! ' WHEN p_partkey % 37 = 0 THEN NULL ELSE p_name || ' ' || p_size || ' | ' || p_brand END AS raw FROM part), n AS (SELECT id, trim(coalesce(string_split(raw, ' |')[1], '')) AS own FROM i), v AS (SELECT id, own, regexp_extract_all(lower(own), '[\\p{L}\\p{N}]+') AS tokens FROM n)"
 _ERFC = "CASE WHEN x > 4 THEN 0.0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda i: CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END * exp((2 * i + 1) * ln(greatest(x, 1e-300)) - lgamma(i + 1.0)) / (2 * i + 1))) END"
 _RANKS = "r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::double AS k, count(*) OVER (PARTITION BY v) AS t FROM x)"
 _SUMMARY = "o AS (SELECT max(n) AS observed FROM q WHERE rep = 0), s AS (SELECT any_value(observed) AS observed, avg(n) AS mean, stddev_pop(n) AS sd, count(*) AS times, count(*) FILTER (WHERE n >= observed) AS above, count(*) FILTER (WHERE n <= observed) AS below FROM q, o WHERE rep > 0) SELECT round(observed, 6) AS observed, round(mean, 6) AS mean, round(sd, 6) AS sd, times, CASE WHEN sd > 0 THEN round((observed - mean) / sd, 6) END AS z, round(observed / mean, 6) AS fold, round((above + 1) / (times + 1), 6) AS p, round((below + 1) / (times + 1), 6) AS p_low FROM s"
 
 
+_CRC = "SELECT xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(0, len(hex(encode(w))) // 2), lambda j: ('0x' || hex(encode(w))[2 * j + 1 : 2 * j + 2])::bigint)), lambda a, y: xor(tab[(xor(a, y) & 255) + 1], a >> 8)), 4294967295::bigint)"
+#: The bits are CRC-32 remainders, by the table that the rule makes.
+FINGERPRINTS_SQL = f"""WITH RECURSIVE k(n, i, c) AS (
+  SELECT n, 0, n::bigint FROM range(256) r(n) UNION ALL SELECT n, i + 1, CASE WHEN c & 1 = 1 THEN xor(3988292384::bigint, c >> 1) ELSE c >> 1 END FROM k WHERE i < 8
+), tb AS (SELECT list(c ORDER BY n) AS tab FROM k WHERE i = 8), {_TOKENS},
+g AS (SELECT id, tokens, unnest([1, 2, 3]) AS r FROM v WHERE len(tokens) > 0), h AS (SELECT id, tokens, r, unnest(range(1, len(tokens) - r + 2)) AS j FROM g WHERE len(tokens) >= r),
+x AS (SELECT DISTINCT id, r, array_to_string(tokens[j : j + r - 1], ' ') AS w FROM h), dw AS (SELECT DISTINCT w FROM x), cw AS (SELECT w, ({_CRC}) AS crc FROM dw, tb),
+b AS (SELECT id, s, list(DISTINCT crc % m) AS f FROM x JOIN cw USING (w) JOIN (VALUES (0, 1, 4096), (1, 2, 4096), (2, 3, 512)) o(s, most, m) ON r <= most GROUP BY id, s),
+p AS (SELECT a.id AS a, z.id AS b, a.s, len(list_intersect(a.f, z.f)) AS common, len(a.f) + len(z.f) AS total FROM b a JOIN b z ON z.id = a.id + 1 AND z.s = a.s),
+q AS (SELECT a, b, max(common / (total - common)) FILTER (WHERE s = 0) AS s0, max(common / (total - common)) FILTER (WHERE s = 1) AS s1, max(common / (total - common)) FILTER (WHERE s = 2) AS s2 FROM p GROUP BY a, b)
+SELECT a, b, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, least(s0, s1, s2) >= 0.2 AS robust FROM q"""
+
+
 def _dealt(group: str) -> str:
     by = f"rep, {group}" if group else "rep"
     return f"""y AS (SELECT vec_id AS id, label::double AS value, label < 5 AS half FROM embeddings), g AS (SELECT y.*, rep FROM y, range(0, {TIMES + 1}) t(rep)),
@@ -201,6 +255,12 @@ ORACLE |= {
     "shared_sets": "SELECT EXISTS (SELECT 1 FROM lineitem x JOIN lineitem y ON x.l_suppkey = y.l_suppkey WHERE x.l_orderkey = o_orderkey AND y.l_orderkey = o_orderkey + 1) AS shared, count(*) AS n, min(o_orderkey) AS first FROM orders GROUP BY 1",
     "dependency_offenders": "WITH g AS (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n_values, count(*) AS n_rows, array_to_string((list_sort(list(DISTINCT o_orderpriority)))[1:5], '|') AS examples FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1) SELECT * FROM g ORDER BY n_values DESC, o_custkey LIMIT 10",
     "reported_figures": "WITH r AS (SELECT count(DISTINCT p_brand)::double AS brands, round(avg(p_size), 2) AS size, max(p_size)::double AS most FROM part), u AS (SELECT 'brands' AS metric, 25.0::double AS reported, brands AS recomputed FROM r UNION ALL SELECT 'size', 0.5, size FROM r UNION ALL SELECT 'most', 50.01, most FROM r) SELECT *, round(abs(reported - recomputed), 3) AS difference, CASE WHEN round(abs(reported - recomputed), 3) < 0.02 THEN 'MATCH' ELSE 'DISCREPANCY' END AS status FROM u",
+    "token_standardise": f"WITH {_TOKENS} SELECT CASE WHEN own = '' THEN 'NO_TEXT' WHEN len(tokens) = 0 THEN 'PARSE_FAIL' ELSE 'OK' END AS status, count(*) AS n, count(DISTINCT CASE WHEN len(tokens) > 0 THEN tokens END) AS keys, sum(CASE WHEN len(tokens) > 0 THEN len(tokens) END)::bigint AS tokens, count(*) FILTER (WHERE len(tokens) > 0) AS n_stable FROM v GROUP BY 1",
+    "token_cores": f"WITH {_TOKENS}, c AS (SELECT list_filter(tokens, lambda t: NOT regexp_matches(t, '[0-9]')) AS k FROM v WHERE len(tokens) > 0) SELECT array_to_string(k, ' ') AS core, array_to_string(list_transform(k, lambda t: len(t)::varchar), ' ') AS generic, count(*) AS n FROM c GROUP BY ALL",
+    "token_fragments": f"WITH {_TOKENS}, u AS (SELECT id, tokens, unnest(range(1, len(tokens))) AS i FROM v WHERE len(tokens) > 1), f AS (SELECT id, array_to_string(tokens[1:i], ' ') AS h, array_to_string(tokens[i + 1:], ' ') AS t FROM u) SELECT CASE WHEN len(h) >= len(t) THEN h ELSE t END AS core, count(DISTINCT id) AS items, count(DISTINCT CASE WHEN len(h) >= len(t) THEN t ELSE h END) AS rests FROM f GROUP BY 1",
+    "pattern_panel": "SELECT CASE WHEN regexp_matches(p_name, 'red|orange') THEN 'warm' WHEN contains(p_name, 'blue') THEN 'cold' WHEN regexp_matches(p_name, '^(small|large) ') THEN 'size' WHEN regexp_matches(p_name, 'a.*e') THEN 'any' ELSE 'none' END AS label, count(*) AS n FROM part GROUP BY 1",
+    "token_descriptors": f"WITH {_TOKENS} SELECT id, len(tokens)::integer AS n, len(list_distinct(tokens))::integer AS distinct, list_sum(list_transform(tokens, lambda t: len(t)))::integer AS chars, len(regexp_replace(array_to_string(tokens, ''), '[^0-9]', '', 'g'))::integer AS digits, list_max(list_transform(tokens, lambda t: len(t)))::integer AS longest, round(list_sum(list_transform(tokens, lambda t: len(t))) / len(tokens), 6) AS mean FROM v WHERE len(tokens) > 0",
+    "fingerprint_sensitivity": FINGERPRINTS_SQL,
     "series_ruggedness": f"WITH {VEC}, mm AS (SELECT vec_id AS id, label % 7 AS series, label * 1.0::double AS value FROM embeddings), zz AS (SELECT series, count(*) AS n, avg(value) AS mean, median(value) AS median, max(value) - min(value) AS spread, stddev_samp(value) AS sd FROM mm GROUP BY 1 HAVING count(*) >= 2), ii AS (SELECT x.series, t.tier, CASE WHEN t.inter < t.size_a + t.size_b - t.inter THEN t.delta / (1 - t.inter / (t.size_a + t.size_b - t.inter)) END AS sali FROM t JOIN mm x ON x.id = t.a JOIN mm y ON y.id = t.b AND y.series = x.series), ff AS (SELECT series, count(*) FILTER (WHERE tier = 'severe') AS severe, avg(sali) AS mean_sali, max(sali) AS max_sali FROM ii GROUP BY 1) SELECT zz.series, n, round(mean, 6) AS mean, round(median, 6) AS median, round(spread, 6) AS spread, round(sd, 6) AS sd, n * (n - 1) // 2 AS possible, coalesce(severe, 0) AS severe, round(coalesce(mean_sali, 0), 6) AS mean_sali, round(coalesce(max_sali, 0), 6) AS max_sali, round(coalesce(severe, 0) / (n * (n - 1) // 2), 6) AS density, round(1 - coalesce(severe, 0) / (n * (n - 1) // 2), 6) AS smoothness, row_number() OVER (ORDER BY n DESC, zz.series) AS rank FROM zz LEFT JOIN ff USING (series)",
     "series_coverage": "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT count(*) FILTER (WHERE n >= 2) AS series, round(sum(n) FILTER (WHERE n >= 2) / sum(n), 6) AS in_series FROM g",
     "rank_test_p": f"WITH x AS (SELECT n_chars AS v, quality AS g FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 0), {_RANKS}, s AS (SELECT count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g <> 1) AS n2, sum(k) FILTER (WHERE g = 1) AS r1, sum(t * t - 1)::double AS t FROM r), u AS (SELECT *, abs((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12.0::double * ((n1 + n2 + 1) - t / ((n1 + n2)::double * (n1 + n2 - 1))))) / sqrt(2) AS x FROM s) SELECT n1, n2, round({_ERFC}, 5) AS p, '< 0.001' AS small, '0.044' AS usual FROM u",

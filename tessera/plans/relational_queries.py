@@ -77,8 +77,9 @@ def entity_match(spark, d):
     """Suppliers matched to customers: by id and nation, then by nation and market, then by nation."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     one = s.join(c, (F.col("s_suppkey") == F.col("c_custkey")) & (F.col("s_nationkey") == F.col("c_nationkey"))).select("s_suppkey", F.col("c_custkey").alias("match"))
-    two = s.join(c.filter("c_mktsegment = 'MACHINERY' AND c_acctbal > 9000"), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", F.col("c_custkey").alias("match"))
-    three = s.join(c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("match")), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "match")
+    # of many customers of a nation only the smallest id can match, so that they are taken together first
+    least = lambda rows: s.join(rows.groupBy("c_nationkey").agg(F.min("c_custkey").alias("match")), F.col("s_nationkey") == F.col("c_nationkey")).select("s_suppkey", "match")
+    two, three = least(c.filter("c_mktsegment = 'MACHINERY' AND c_acctbal > 9000")), least(c)
     return K.match_by_priority(s.select("s_suppkey"), [one, two, three], "s_suppkey")
 
 
@@ -205,14 +206,13 @@ def hist_2d(spark, d):
 
 
 def percentiles(spark, d):
-    q = F.percentile("l_extendedprice", F.array(*(F.lit(x) for x in (0.05, 0.25, 0.5, 0.75, 0.95))))
-    made = _lines(spark, d).groupBy("l_returnflag").agg(q.alias("q"))
-    return rounded(made.select("l_returnflag", *(F.col("q")[i].alias(f"q{i}") for i in range(5))), *(f"q{i}" for i in range(5)))
+    made = T.percentiles(_lines(spark, d), "l_extendedprice", [0.05, 0.25, 0.5, 0.75, 0.95], ["l_returnflag"])
+    return rounded(made, *(f"q{i}" for i in range(5)))
 
 
 def winsorised(spark, d):
     rows = _lines(spark, d)
-    top = rows.agg(F.percentile("l_extendedprice", F.lit(0.99)).alias("top"))
+    top = T.percentiles(rows, "l_extendedprice", [0.99]).select(F.col("q0").alias("top"))
     made = rows.join(F.broadcast(top)).agg(F.avg(F.least("l_extendedprice", "top")).alias("mean"), F.count_if(F.col("l_extendedprice") > F.col("top")).alias("cut"))  # one row broadcast
     return rounded(made, "mean")
 
