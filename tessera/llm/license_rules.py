@@ -2,8 +2,9 @@
 
 A rule is a regular expression over a text's words joined by single spaces. Rules
 are grouped in tiers; a lower tier number has priority. ``RULES`` is built from the
-hand-written phrases below: each license names how it is called, and each tier has
-the sentences in which such a name counts as a grant, a reference or a mention.
+sentences of ``license_texts``, each written by hand, and from the names below: each license
+tells how it is called, and each tier the sentences in which such a name counts as a grant, a
+reference or a mention.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
+from tessera.llm.license_texts import TEXTS
+
 
 class Rule(NamedTuple):
     label: str
@@ -106,47 +109,6 @@ SENTENCES = (
     (4, 0.6, r"(?:{n}) licen[cs]ed?"),
 )
 
-#: label, keyword, tier, confidence, pattern: sentences that only one license has.
-TEXTS = (
-    ("mit", "granted", 0, 0.99, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "substantial", 1, 0.9, r"this permission notice shall be included in all copies or substantial portions"),
-    ("isc", "granted", 0, 0.9, r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd-2-clause", "redistribution", 1, 0.85, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("bsd-3-clause", "endorse", 0, 0.9, r"neither the name of .{1,80} nor the names of its contributors may be used to endorse"),
-    ("bsd-4-clause", "advertising", 0, 0.95, r"all advertising materials mentioning features or use of this software must display"),
-    ("apache-2", "apache", 0, 0.99, r"licensed under the apache license version 2 0 the license you may not use this file except in compliance"),
-    ("apache-2", "apache", 1, 0.97, r"www apache org licenses license 2 0"),
-    ("gpl-2", "gnu", 0, 0.98, r"gnu general public license as published by the free software foundation (?:either )?version 2"),
-    ("gpl-3", "gnu", 0, 0.98, r"gnu general public license as published by the free software foundation (?:either )?version 3"),
-    ("lgpl-2.1", "lesser", 0, 0.98, r"gnu lesser general public license as published by the free software foundation (?:either )?version 2 1"),
-    ("agpl-3", "affero", 0, 0.98, r"gnu affero general public license as published by the free software foundation"),
-    ("mpl-2", "mozilla", 0, 0.98, r"subject to the terms of the mozilla public license v ?2 0"),
-    ("epl-2", "eclipse", 0, 0.97, r"made available under the terms of the eclipse public license"),
-    ("unlicense", "unencumbered", 0, 0.99, r"this is free and unencumbered software released into the public domain"),
-    ("zlib", "misrepresented", 0, 0.95, r"the origin of this software must not be misrepresented"),
-    ("bsl-1", "boost", 0, 0.98, r"distributed under the boost software license version 1 0"),
-    ("wtfpl", "want", 0, 0.9, r"do what the fuck you want to public license"),
-    ("cc0", "waived", 0, 0.9, r"has waived all copyright and related or neighboring rights"),
-    ("cc-by", "creativecommons", 1, 0.95, r"creativecommons org licenses by [1234] 0"),
-    ("cc-by-sa", "creativecommons", 1, 0.95, r"creativecommons org licenses by sa [1234] 0"),
-    ("cc-by-nc", "creativecommons", 1, 0.95, r"creativecommons org licenses by nc [1234] 0"),
-    ("cc-by-nd", "creativecommons", 1, 0.95, r"creativecommons org licenses by nd [1234] 0"),
-    ("cc-by-nc-sa", "creativecommons", 1, 0.95, r"creativecommons org licenses by nc sa [1234] 0"),
-    ("cc-by-nc-nd", "creativecommons", 1, 0.95, r"creativecommons org licenses by nc nd [1234] 0"),
-    ("cc0", "creativecommons", 1, 0.95, r"creativecommons org publicdomain zero 1 0"),
-    ("cc-by", "cc", 4, 0.6, r"cc by(?: [1234] 0)?"),
-    ("cc-by-sa", "sa", 4, 0.7, r"cc by sa(?: [1234] 0)?"),
-    ("cc-by-nc", "nc", 4, 0.7, r"cc by nc(?: [1234] 0)?"),
-    ("cc-by-nd", "nd", 4, 0.7, r"cc by nd(?: [1234] 0)?"),
-    ("cc-by-nc-sa", "nc", 3, 0.8, r"cc by nc sa(?: [1234] 0)?"),
-    ("cc-by-nc-nd", "nc", 3, 0.8, r"cc by nc nd(?: [1234] 0)?"),
-    ("public-domain", "public", 4, 0.6, r"(?:released into|dedicated to|in) the public domain"),
-    ("all-rights-reserved", "reserved", 4, 0.7, r"all rights reserved"),
-    ("proprietary", "proprietary", 4, 0.6, r"proprietary and confidential"),
-    ("proprietary", "unauthorized", 3, 0.7, r"unauthorized copying of this file via any medium is strictly prohibited"),
-)
-
-
 def rules() -> tuple[Rule, ...]:
     """All rules in order: base phrases, unique sentences, then names by sentence."""
     made = [Rule(label, 3, 0.9, (word,), phrase, True) for label, word, phrase in BASE]
