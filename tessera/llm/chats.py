@@ -3,8 +3,10 @@
 A logged conversation that is a prefix of a longer one, turn by turn, is dropped, and
 of equal conversations the one with the smallest id stays. Each turn gets its place
 and a rolling hash of all turns up to it: the running sum of place-dependent hashes,
-which can be summed in parts, so that a conversation of any length spreads over many
-tasks. A conversation's last state is anti-joined with the states before a turn.
+which can be summed in parts: sampled splitters divide the order of all turns (conversation,
+number, digest) into even parts, so that a conversation of any length, and any number of
+turns of one number or none, spreads over many tasks. A conversation's last state is
+anti-joined with the states before a turn.
 
 Defined results: turns are ordered by number (nulls last), ties by the digest of role
 and text; repeated rows of a conversation count once; null roles and texts count as
@@ -19,10 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import durable
+from tessera.llm.common import counted, durable
+from tessera.llm.ranges import splitters
 
-#: Turn numbers in a part that one task orders.
-PART = 1024
+#: Turns in a part that one task orders.
+PART_TURNS = 50_000
 #: Turns in a rendered segment.
 SEGMENT = 512
 
@@ -41,7 +44,6 @@ def turn_states(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.struct("conv_id").alias("conv"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     rows = rows.withColumn("digest", F.md5(F.concat_ws(":", F.char_length("role").cast("string"), "role", "text")))
     rows = rows.groupBy("conv", "turn", "digest").agg(F.first("role").alias("role"), F.first("text").alias("text"))
-    rows = rows.withColumn("part", F.coalesce(F.floor(F.col("turn") / PART).cast("long"), F.lit((1 << 63) - 1)))
     within = Window.partitionBy("conv", "part").orderBy(F.col("turn").asc_nulls_last(), "digest")
     upto = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -50,8 +52,12 @@ def turn_states(turns: DataFrame) -> DataFrame:
         return parts.select("conv", "part", *(F.coalesce(F.sum(k).over(upto), F.lit(0)).alias(f"{k}_before") for k in sums))
 
     rows = durable(rows)
-    counted = parts_before(rows, n=F.count("*"))
-    rows = rows.withColumn("place", F.row_number().over(within)).join(counted, ["conv", "part"])
+    order = [F.col("conv.conv_id").alias("a"), F.col("turn").isNull().alias("b"), F.col("turn").alias("c"), F.col("digest").alias("d")]
+    short, n = counted(rows.select(*order))
+    split = splitters(short, ["a", "b", "c", "d"], F.lit(1), n // PART_TURNS + 1)
+    rows = rows.withColumn("part", split.index(order))
+    numbers = parts_before(rows, n=F.count("*"))
+    rows = rows.withColumn("place", F.row_number().over(within)).join(numbers, ["conv", "part"])
     rows = rows.withColumn("place", F.col("place") + F.col("n_before")).drop("n_before")
     rows = rows.withColumns({"h1": _hash(1), "h2": _hash(2)})
     summed = parts_before(rows, s1=F.sum("h1"), s2=F.sum("h2"))

@@ -73,7 +73,7 @@ def splitters(df: DataFrame, key: list[str], weight: Column, n_ranges: int, seed
     n_ranges = max(1, min(n_ranges, MOST_RANGES))
     rows = df.select(*key, weight.cast("double").alias("w"))
     types = [t for c in key for n, t in rows.dtypes if n == c]
-    total = rows.agg(F.sum("w")).first()[0]
+    total = rows.agg(F.sum("w")).first()[0] if n_ranges > 1 else 0
     if not total:
         return Splitters([], types)
     even = total / n_ranges

@@ -133,6 +133,19 @@ def test_chats_keep_maximal_conversations(spark):
     assert {r["conv_id"]: r["n_turns"] for r in got}[100] == 1300 and len([r for r in got if r["conv_id"] == 100]) == 3
 
 
+def test_long_conversations_are_ordered_in_parts(spark, monkeypatch):
+    """One conversation with most turns, many of one number or none, over many parts."""
+    monkeypatch.setattr(chats, "PART_TURNS", 40)
+    rnd = random.Random(14)
+    rows = [(1, i if i < 200 else 200 if i < 500 else None, "user", f"t{i}") for i in range(700)]
+    rows += [(c, i, "user", f"t{i}") for c in (2, 3, 4) for i in range(c * 30)] + [(9, 0, "user", "other")]
+    rnd.shuffle(rows)
+    got = chats.collapse(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"), None).collect()
+    key = lambda t: (t[0] is None, t[0], hashlib.md5(f"4:user:{t[1]}".encode()).hexdigest())
+    turns = sorted(((r[1], r[3]) for r in rows if r[0] == 1), key=lambda t: (key(t)[0], key(t)[1] or 0, key(t)[2]))
+    assert {r["conv_id"]: r["text"] for r in got} == {1: "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for _, t in turns), 9: "<|im_start|>user\nother<|im_end|>\n"}
+
+
 def test_chats_edges(spark):
     schema = "conv_id long, turn int, role string, text string, place int"
     rows = [(None, 1, "user", "a", 0), (None, None, None, None, 0), (1, 1, "user", "a", 0), (2, 1, None, "a", 0), (3, 1, "", "a", 0)]
