@@ -355,6 +355,7 @@ def _components_of_rows(df: DataFrame, key: str, text: str, width: int, percent:
     least = linked.groupBy("label").agg(F.min("least").alias("lowest"))
     linked = linked.join(if_small(least, n), "label").select("node", "lowest")
     named = known.join(if_small(linked, n), "node", "left").select("node", F.when(F.col("lowest").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("lowest"))
+    named = durable(named)  # a table of its own, so that the rows of a large class can be split
     made = rows.select("key", "t1", "t2", "n", "node").join(if_small(named, n_classes), "node", "left")
     component = F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("lowest"))
     return made.select("key", "t1", "t2", "node", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(False)).alias("kept"))
