@@ -14,6 +14,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 #: A table of at most so many rows may be broadcast; above it the join is shuffled. Small, so that inputs of all but the
 #: smallest sizes are joined alike and what is measured on some 100 MB holds for more.
 BROADCAST_ROWS = 2_000
+#: A word of the contracts that count words: a run of anything but ASCII blanks.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

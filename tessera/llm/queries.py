@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chats, decontamination, imatch, languages, licenses, minhash, quality, sharding, token_counts
+from tessera.llm import bpe, chats, decontamination, imatch, languages, licenses, minhash, mixing, quality, sharding, token_counts
 from tessera.llm.common import table
 
 
@@ -73,6 +73,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # fragments of under 20 words are half as likely as other documents of their source
+    return mixing.mix(docs, carry=["doc_id"], preference=lambda size: F.when(size < 20, 0.5).otherwise(1.0))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
@@ -84,6 +90,12 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op11_mixing": op11_mixing,
 }
 
-ORACLE: dict[str, str] = {"op1_sharding": sharding.SHARDING_SQL, "op4_chat_formatting": chats.COLLAPSE_SQL, "op9_near_duplicates": minhash.CLASSES_SQL}
+ORACLE: dict[str, str] = {
+    "op1_sharding": sharding.SHARDING_SQL,
+    "op4_chat_formatting": chats.COLLAPSE_SQL,
+    "op9_near_duplicates": minhash.CLASSES_SQL,
+    "op11_mixing": mixing.MIXING_SQL,
+}
