@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chats, decontamination, imatch, languages, licenses, minhash, mixing, quality, sharding, token_counts
+from tessera.llm import bpe, chats, decontamination, dialogues, filter_audit, imatch, languages, licenses, minhash, mixing, quality, sharding, token_counts
 from tessera.llm.common import table
 
 
@@ -79,6 +79,17 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, carry=["doc_id"], preference=lambda size: F.when(size < 20, 0.5).otherwise(1.0))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    cells = filter_audit.mask_cells(docs, labels, filter_audit.text_conditions(F.col("text")), F.col("source"))
+    made = filter_audit.audit(cells, "ABCDE")
+    return made.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def op13_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_license_scan": op2_license_scan,
@@ -91,6 +102,8 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
     "op11_mixing": op11_mixing,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_dialogue_repair": op13_dialogue_repair,
 }
 
 ORACLE: dict[str, str] = {
@@ -98,4 +111,6 @@ ORACLE: dict[str, str] = {
     "op4_chat_formatting": chats.COLLAPSE_SQL,
     "op9_near_duplicates": minhash.CLASSES_SQL,
     "op11_mixing": mixing.MIXING_SQL,
+    "op12_filter_audit": filter_audit.AUDIT_SQL,
+    "op13_dialogue_repair": dialogues.REPAIR_SQL,
 }
