@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import values as V
+from tessera.operators.joins import on_keys
+from tessera.operators.scan import numbered, scan
+from tessera.operators.statistics import percentiles
 
 
 def at_least(num: int, den: int) -> Column:
@@ -60,7 +63,7 @@ def ruggedness(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
     found = inside.groupBy(F.col("g_a").alias(group)).agg(F.count("*").alias("cliffs"))
     made = size.join(found, group, "left").withColumn("cliffs", F.coalesce("cliffs", F.lit(0)))
     made = made.withColumn("density", V.share(F.col("cliffs"), F.col("possible")))
-    return made.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("density"), group)))  # rows are series
+    return numbered(made, [-F.col("density"), F.col(group)], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def series_ruggedness(members: DataFrame, pairs: DataFrame, group: str) -> DataFrame:
@@ -70,15 +73,16 @@ def series_ruggedness(members: DataFrame, pairs: DataFrame, group: str) -> DataF
     """
     v = F.col("value")
     size = members.groupBy(group).agg(
-        F.count("*").alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), (F.max(v) - F.min(v)).alias("spread"), F.stddev_samp(v).alias("sd"),
+        F.count("*").alias("n"), F.avg(v).alias("mean"), (F.max(v) - F.min(v)).alias("spread"), F.stddev_samp(v).alias("sd"),
     ).filter("n >= 2").withColumn("possible", (F.col("n") * (F.col("n") - 1) / 2).cast("long"))
     of = lambda k: members.select(F.col("id").alias(k), F.col(group).alias(f"g_{k}"))
     inside = pairs.join(of("a"), "a").join(of("b"), "b").filter("g_a = g_b")
     sali = V.sali(F.col("delta"), F.col("similarity"))
     found = inside.groupBy(F.col("g_a").alias(group)).agg(F.count_if(F.col("tier") == "severe").alias("severe"), F.avg(sali).alias("mean_sali"), F.max(sali).alias("max_sali"))
-    made = size.join(found, group, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("severe", "mean_sali", "max_sali")})
+    middle = percentiles(members, "value", [0.5], [group]).withColumnRenamed("q0", "median")
+    made = on_keys(size, middle, [group], "left").join(found, group, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("severe", "mean_sali", "max_sali")})
     made = made.withColumn("density", V.share(F.col("severe"), F.col("possible"))).withColumn("smoothness", 1 - F.col("density"))
-    return made.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), group)))  # rows are series
+    return numbered(made, [-F.col("n"), F.col(group)], "rank").withColumn("rank", (F.col("rank") + 1).cast("int"))
 
 
 def series_coverage(sizes: DataFrame) -> DataFrame:
@@ -159,9 +163,9 @@ def diversity(sizes: DataFrame) -> DataFrame:
     Sizes are first counted by value, so that the ordered sums run over distinct sizes.
     """
     by = sizes.groupBy("n").agg(F.count("*").alias("k"))
-    up, down = Window.orderBy("n"), Window.orderBy(F.desc("n"))
-    before = lambda c: F.coalesce(F.sum(c).over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumns({"cum": before(F.col("n") * F.col("k")), "above": F.coalesce(F.sum("k").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    by = scan(by, [F.col("n")], before={"cum": F.col("n") * F.col("k"), "below": F.col("k")})
+    by = on_keys(by, sizes.agg(F.count("*").alias("all")), [])
+    by = by.withColumn("above", F.col("all") - F.col("below") - F.col("k"))
     k, n = F.col("k"), F.col("n")
     made = by.agg(
         F.sum(k).alias("groups"), F.sum(n * k).alias("members"), F.sum(F.when(n == 1, k).otherwise(0)).alias("singles"),
@@ -179,5 +183,6 @@ def diversity(sizes: DataFrame) -> DataFrame:
 def lorenz(sizes: DataFrame) -> DataFrame:
     """Rank of each distinct size with the cumulative shares of groups and members up to it."""
     by = sizes.groupBy("n").agg(F.count("*").alias("k"))
-    run, all_ = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
-    return by.select("n", "k", (F.sum("k").over(run) / F.sum("k").over(all_)).alias("group_share"), (F.sum(F.col("n") * F.col("k")).over(run) / F.sum(F.col("n") * F.col("k")).over(all_)).alias("member_share"))
+    by = scan(by, [F.col("n")], before={"g": F.col("k"), "m": F.col("n") * F.col("k")})
+    by = on_keys(by, sizes.agg(F.count("*").alias("groups"), F.sum("n").alias("members")), [])
+    return by.select("n", "k", ((F.col("g") + F.col("k")) / F.col("groups")).alias("group_share"), ((F.col("m") + F.col("n") * F.col("k")) / F.col("members")).alias("member_share"))

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import itertools
+import json
+import math
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -50,16 +54,77 @@ def sign_bits(vector: Column, size: int = 64) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), F.lit(0).cast("long"), lambda acc, i: acc.bitwiseOR(F.when(F.element_at(vector, i + 1) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
 
 
-def bit_pairs(df: DataFrame, num: int, den: int, blocks: int = 8) -> DataFrame:
-    """As ``set_pairs`` for short dense sets, given as (id, bits): every block of rows meets every other once.
+#: Rows of a block where all blocks meet; what a shuffled row costs in compared pairs; neighbours of a chunk's value at most.
+BLOCK_ROWS, ROW_COST, MOST_NEIGHBOURS = 4096, 20, 4096
+
+
+def chunk_plan(size: int, most_set: int, rows: int, num: int, den: int) -> tuple[int, int] | None:
+    """Chunks and radius at which sets of at most ``most_set`` of ``size`` bits meet most cheaply; None where all blocks meeting is cheaper.
 
-    For tables of some ten thousands of rows; sparse sets go through ``set_pairs``.
+    Sets that reach the threshold differ in at most d bits, so of m chunks one differs in at
+    most d // m (the pigeonhole rule). More chunks: fewer neighbours, larger buckets.
     """
-    rows = df.select("id", "bits", F.bit_count("bits").alias("n"), F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("g"))
-    def side(k: str, meet: Column) -> DataFrame:
-        return rows.select(F.col("id").alias(k), F.col("bits").alias(f"bits_{k}"), F.col("n").alias(f"size_{k}"), F.explode(meet).alias("cell"))
-    one = side("a", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda h: F.col("g") * blocks + h))
-    two = side("b", F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda h: h * blocks + F.col("g")))
-    inter = F.bit_count(F.col("bits_a").bitwiseAND(F.col("bits_b")))
-    found = one.join(two, "cell").filter((F.col("a") < F.col("b")) & (inter * den >= (F.col("size_a") + F.col("size_b") - inter) * num))
-    return found.select("a", "b", inter.alias("inter"), "size_a", "size_b")
+    differ = (den - num) * 2 * most_set // (den + num)
+    best, least = None, rows * rows / 2 + rows * ROW_COST * (rows / BLOCK_ROWS + 1)
+    for m in range(1, size + 1):
+        width, radius = size // m, differ // m
+        near = sum(math.comb(-(-size // m), k) for k in range(min(radius, width) + 1))
+        if radius >= width or near > MOST_NEIGHBOURS:
+            continue
+        cost = rows * m * (1 + near) * ROW_COST + rows * rows * m * near / 2 ** (width + 1)
+        if cost < least:
+            best, least = (m, radius), cost
+    return best
+
+
+def bit_class_pairs(classes: DataFrame, num: int, den: int, size: int = 64, compared: Observation | None = None) -> DataFrame:
+    """Pairs x < y of distinct sets (column bits) with intersection / union >= num / den: x, y, inter, size_x, size_y. Exact.
+
+    Sets meet on chunks of their bits, one side with all values within the radius, and a pair
+    counts at its first chunk; where the threshold is so low that this saves nothing, blocks
+    of rows meet, each two once. ``compared`` observes the pairs that are compared (as n).
+    """
+    rows = classes.select("bits", F.bit_count("bits").alias("n"))
+    total, most = rows.agg(F.count("*"), F.max("n")).first()
+    plan = chunk_plan(size, most or 0, total, num, den)
+    x, y = (rows.select(F.col("bits").alias(k), F.col("n").alias(f"size_{k}")) for k in "xy")
+    if plan:
+        m, radius = plan
+        low = [size * j // m for j in range(m + 1)]
+        mask = lambda j: (1 << (low[j + 1] - low[j])) - 1
+        cut = lambda c, j: F.shiftrightunsigned(c, low[j]).bitwiseAND(F.lit(mask(j)).cast("long"))
+        flips = [[sum(1 << b for b in on) for k in range(radius + 1) for on in itertools.combinations(range(low[j + 1] - low[j]), k)] for j in range(m)]
+        near = lambda j: F.transform(F.from_json(F.lit(json.dumps(flips[j])), "array<bigint>"), lambda f: F.struct(F.lit(j).alias("j"), cut(F.col("x"), j).bitwiseXOR(f).alias("v")))
+        one = x.select("*", F.explode(F.flatten(F.array(*(near(j) for j in range(m))))).alias("c")).select("x", "size_x", "c.*")
+        two = y.select("*", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), cut(F.col("y"), j).alias("v")) for j in range(m)))).alias("c")).select("y", "size_y", "c.*")
+        met = one.join(two, ["j", "v"]).filter((F.col("x") < F.col("y")) & (F.least("size_x", "size_y") * den >= F.greatest("size_x", "size_y") * num))
+        other = F.col("x").bitwiseXOR(F.col("y"))
+        first = F.lit(True)
+        for j in range(m - 1):
+            first = first & ((F.col("j") <= j) | (F.bit_count(cut(other, j)) > radius))
+        met = met.filter(first)
+    else:
+        blocks = max(8, -(-total // BLOCK_ROWS))
+        own = lambda k: F.pmod(F.xxhash64(k), F.lit(blocks)).cast("int")
+        one = x.withColumn("g", own("x")).select("x", "size_x", F.col("g").alias("g"), F.explode(F.sequence("g", F.lit(blocks - 1))).alias("h"))
+        two = y.withColumn("h", own("y")).select("y", "size_y", F.explode(F.sequence(F.lit(0), F.col("h"))).alias("g"), "h")
+        met = one.join(two, ["g", "h"]).filter((F.col("g") < F.col("h")) | (F.col("x") < F.col("y")))
+    if compared is not None:
+        met = met.observe(compared, F.count("*").alias("n"))
+    inter = F.bit_count(F.col("x").bitwiseAND(F.col("y")))
+    met = met.filter(inter * den >= (F.col("size_x") + F.col("size_y") - inter) * num)
+    return met.select("x", "y", inter.alias("inter"), "size_x", "size_y")
+
+
+def bit_pairs(df: DataFrame, num: int, den: int, size: int = 64, compared: Observation | None = None) -> DataFrame:
+    """As ``set_pairs`` for short dense sets, given as (id, bits): equal sets are compared once and then written out."""
+    rows = df.select("id", "bits")
+    found = bit_class_pairs(rows.select("bits").distinct(), num, den, size, compared)
+    one, two = (rows.select(F.col("id").alias(f"id_{k}"), F.col("bits").alias(k)) for k in "xy")
+    apart = found.join(one, "x").join(two, "y")
+    swap = F.col("id_x") > F.col("id_y")
+    either = lambda k, other: F.when(swap, F.col(f"{other}")).otherwise(F.col(k))
+    apart = apart.select(either("id_x", "id_y").alias("a"), either("id_y", "id_x").alias("b"), "inter", either("size_x", "size_y").alias("size_a"), either("size_y", "size_x").alias("size_b"))
+    n = F.bit_count("bits")
+    equal = rows.toDF("a", "bits").join(rows.toDF("b", "bits"), "bits").filter("a < b").select("a", "b", n.alias("inter"), n.alias("size_a"), n.alias("size_b"))
+    return apart.unionByName(equal)

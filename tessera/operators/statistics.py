@@ -1,47 +1,57 @@
-"""Rank statistics, tests, densities and permutation nulls as plans over counts.
+"""Rank statistics, tests and densities as plans over counts.
 
-Ranks are taken over distinct values with their counts, so that ties cost nothing and
-the ordered pass has as many rows as values.
+Ranks are taken over distinct values with their counts, by a scan over ranges of values.
 """
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import free_names, on_keys, settled
+from tessera.operators.scan import numbered, scan
+
 
 def average_ranks(df: DataFrame, value: str) -> DataFrame:
-    """(value, ties, rank): the mean rank of each distinct value."""
+    """(value, ties, rank): the mean rank of each distinct value, by a scan over the distinct values."""
     by = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return by.withColumn("rank", before + (F.col("ties") + 1) / 2)
+    (before,) = free_names(by, 1, "rank")
+    return scan(by, [F.col(value)], before={before: F.col("ties")}).select(value, "ties", (F.col(before) + (F.col("ties") + 1) / 2).alias("rank"))
 
 
-def percentiles(df: DataFrame, value: str, points: list[float], group: list[str] | None = None, bins: int = 32) -> DataFrame:
+def percentiles(df: DataFrame, value: str, points: list[float], group: list[str] | None = None, accuracy: int = 10_000) -> DataFrame:
     """Exact interpolated percentiles q0, q1, ... of each group (or of all rows); nulls are left out.
 
-    Values are counted first and dealt to ``bins`` bins by approximate edges; from the bins'
-    totals follows which bins hold the wanted ranks, and only those are ordered, each on its
-    own, so that no task orders a whole group.
+    A mergeable sketch (one partial aggregation) brackets each wanted rank to within its error;
+    one more pass counts what lies below a bracket and orders the distinct values inside it,
+    which are some 4 / ``accuracy`` of the group, or all of a group of under 2 * ``accuracy`` rows.
     """
     keys = group or []
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    by = rows.groupBy(*keys, "v").agg(F.count("*").alias("k"))
-    edges = by.groupBy(*keys).agg(F.percentile_approx("v", [i / bins for i in range(1, bins)], 10_000).alias("edges"), F.sum("k").alias("n"))
-    placed = by.join(edges, keys) if keys else by.crossJoin(F.broadcast(edges))  # one row
-    placed = placed.withColumn("bin", F.size(F.filter("edges", lambda e: e < F.col("v")))).drop("edges")
-    totals = placed.groupBy(*keys, "n", "bin").agg(F.sum("k").alias("size"))
-    before = F.sum("size").over(Window.partitionBy(*keys).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1))
-    totals = totals.withColumn("before", F.coalesce(before, F.lit(0)))  # bins rows a group
-    wanted = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(q).alias("q"), up.alias("rank"), F.lit(side).alias("side")) for i, q in enumerate(points) for side, up in enumerate((F.floor(q * (F.col("n") - 1)), F.ceil(q * (F.col("n") - 1))))))
-    ranks = totals.select(*keys, "bin", "before", F.explode(F.filter(wanted, lambda w: (w["rank"] >= F.col("before")) & (w["rank"] < F.col("before") + F.col("size")))).alias("w"))
-    held = ranks.groupBy(*keys, "bin", "before").agg(F.collect_list("w").alias("ws"))  # two ranks a point
-    inside = placed.join(held, [*keys, "bin"])
-    first = F.col("before") + F.coalesce(F.sum("k").over(Window.partitionBy(*keys, "bin").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    at = inside.withColumn("first", first).select(*keys, "n", "v", "k", "first", F.explode("ws").alias("w")).filter((F.col("w.rank") >= F.col("first")) & (F.col("w.rank") < F.col("first") + F.col("k")))
-    of = lambda i, side: F.max(F.when((F.col("w.i") == i) & (F.col("w.side") == side), F.col("v")))
-    part = lambda i: F.max(F.when(F.col("w.i") == i, F.col("w.q") * (F.col("n") - 1) - F.floor(F.col("w.q") * (F.col("n") - 1))))
-    return at.groupBy(*keys).agg(*((of(i, 0) + (of(i, 1) - of(i, 0)) * part(i)).alias(f"q{i}") for i in range(len(points))))
+    names = [f"g{i}" for i in range(len(keys))]
+    rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    near = 2.0 / accuracy
+    sides = [max(q - near, 0.0) for q in points] + [min(q + near, 1.0) for q in points]
+    sketch = rows.groupBy(*names).agg(F.count("*").alias("n"), F.percentile_approx("v", sides, accuracy).alias("s")).filter("n > 0")
+    few = F.col("n") <= 2 * accuracy
+
+    def point(i: int, q: float) -> Column:
+        low, high = F.when(~few, F.col("s")[i]), F.when(~few, F.col("s")[len(points) + i])
+        at = F.lit(q) * (F.col("n") - 1)
+        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"), F.floor(at).alias("down"), F.ceil(at).alias("up"), (at - F.floor(at)).alias("part"))
+
+    wanted = settled(sketch.select(*names, F.array(*(point(i, q) for i, q in enumerate(points))).alias("points")))
+    met = on_keys(rows, wanted, names).select(*names, "v", F.explode(F.filter("points", lambda p: p["high"].isNull() | (F.col("v") <= p["high"]))).alias("p"))
+    inside = F.when(F.col("p.low").isNull() | (F.col("v") >= F.col("p.low")), F.col("v"))  # null: below the bracket
+    by = met.groupBy(*names, "p", inside.alias("v")).agg(F.count("*").alias("k"))
+    first = F.coalesce(F.sum("k").over(Window.partitionBy(*names, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by = by.withColumn("first", first).filter("v IS NOT NULL")
+    of = lambda i, side: F.max(F.when((F.col("p.i") == i) & (F.col(f"p.{side}") >= F.col("first")) & (F.col(f"p.{side}") < F.col("first") + F.col("k")), F.col("v")))
+    part = lambda i: F.max(F.when(F.col("p.i") == i, F.col("p.part")))
+    made = by.groupBy(*names).agg(*((of(i, "down") + (of(i, "up") - of(i, "down")) * part(i)).alias(f"q{i}") for i in range(len(points))))
+    return made.withColumnsRenamed(dict(zip(names, keys)))
 
 
 def normal_tail(z: Column) -> Column:
@@ -141,35 +151,65 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return made.withColumn("p", F.when(F.abs("rho") >= 1, 0.0).when(free > 0, student_tail(t, free)))
 
 
-def log_factorial(n: Column) -> Column:
-    """Sum of logarithms for up to 170, beyond that Stirling's series."""
-    x = F.greatest(n, F.lit(2)).cast("double")
-    stirling = x * F.log(x) - x + 0.5 * F.log(2 * F.lit(3.141592653589793) * x) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3)))
-    return F.when(n < 171, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double")) + F.aggregate(F.when(n > 20, F.sequence(F.lit(21), F.least(n, F.lit(170)).cast("int"))).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda acc, i: acc + F.log(i.cast("double")))).otherwise(stirling)
+def fisher_tail(a: int, b: int, c: int, d: int) -> tuple[float, float]:
+    """Two-sided exact p of a 2 x 2 table and its logarithm to base 10: the sum over all tables that are no more likely.
+
+    On each side of the mode the nearest such table is found by bisection, and terms follow
+    from one another outward until they no longer count, so that nothing is held.
+    """
+    ab, ac, da, n = a + b, a + c, d - a, a + b + c + d
+    low, high = max(0, -da), min(ab, ac)
+    head = sum(math.lgamma(k + 1) for k in (ab, ac, n - ab, n - ac)) - math.lgamma(n + 1)
+    log_p = lambda x: head - sum(math.lgamma(k + 1) for k in (x, ab - x, ac - x, da + x))
+    limit = log_p(a) + 1e-7
+    mode = min(high, max(low, (ab + 1) * (ac + 1) // (n + 2)))
+
+    def side(begin: int, end: int, step: int) -> tuple[float, float]:
+        """Logarithm of the first term at or beyond ``begin`` within the limit, and the sum in its units."""
+        if (end - begin) * step < 0 or log_p(end) > limit:
+            return -math.inf, 0.0
+        near, far = begin, end  # log_p falls from begin to end
+        while (far - near) * step > 0:
+            half = (near + far) // 2 if step > 0 else -((-near - far) // 2)
+            near, far = (near, half) if log_p(half) <= limit else (half + step, far)
+        x, term, total = near, 1.0, 0.0
+        while term > total * 1e-17:
+            total += term
+            if x == end:
+                break
+            up, down = ((ab - x) * (ac - x), (x + 1) * (da + x + 1)) if step > 0 else (x * (da + x), (ab - x + 1) * (ac - x + 1))
+            term, x = term * (up / down), x + step
+        return log_p(near), total
+
+    parts = [s for s in (side(mode, low, -1), side(mode + 1, high, 1)) if s[1]]
+    top = max(s[0] for s in parts)
+    log = top + math.log(sum(math.exp(first - top) * total for first, total in parts))
+    return min(1.0, math.exp(log)), min(0.0, log / math.log(10))
 
 
 def fisher(df: DataFrame) -> DataFrame:
-    """Rows with counts a, b, c, d (2 x 2): odds ratio, phi and the two-sided exact p."""
+    """Rows with counts a, b, c, d (2 x 2): odds ratio, phi, the two-sided exact p and log10_p."""
     a, b, c, d = (F.col(k).cast("long") for k in "abcd")
-    n = a + b + c + d
-    lf = log_factorial
-    low, high = F.greatest(F.lit(0).cast("long"), a - d), F.least(a + b, a + c)
-    const = lf(a + b) + lf(c + d) + lf(a + c) + lf(b + d) - lf(n)
-    rows = df.withColumns({"_const": const, "_x": F.sequence(low, high), "_ab": a + b, "_ac": a + c, "_da": d - a})
-    chance = lambda x: F.exp(F.col("_const") - lf(x) - lf(F.col("_ab") - x) - lf(F.col("_ac") - x) - lf(F.col("_da") + x))
-    rows = rows.withColumn("_p", F.transform("_x", chance)).withColumn("_own", chance(a))
-    p = F.aggregate(F.filter("_p", lambda q: q <= F.col("_own") * (1 + 1e-7)), F.lit(0.0), lambda acc, q: acc + q)
-    den = F.sqrt((a + b).cast("double") * (c + d) * (a + c) * (b + d))
-    made = rows.withColumns({"odds": F.when((b > 0) & (c > 0), a * d / (b * c)), "phi": F.when(den > 0, (a * d - b * c) / den), "p": F.least(F.lit(1.0), p)})
-    return made.drop("_const", "_x", "_ab", "_ac", "_da", "_p", "_own")
+
+    @F.pandas_udf("p double, log10_p double")
+    def tail(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        found = [fisher_tail(*map(int, t)) if not any(map(pd.isna, t)) else (None, None) for t in zip(a, b, c, d)]
+        return pd.DataFrame(found, columns=["p", "log10_p"], dtype="float64")
+
+    (name,) = free_names(df, 1, "odds", "phi", "p", "log10_p")
+    x = {k: F.col(k).cast("double") for k in "abcd"}
+    den = F.sqrt((x["a"] + x["b"]) * (x["c"] + x["d"]) * (x["a"] + x["c"]) * (x["b"] + x["d"]))
+    made = {"odds": F.when((b > 0) & (c > 0), x["a"] * x["d"] / (x["b"] * x["c"])), "phi": F.when(den > 0, (x["a"] * x["d"] - x["b"] * x["c"]) / den)}
+    return df.withColumn(name, tail(a, b, c, d)).withColumns(made | {"p": F.col(f"{name}.p"), "log10_p": F.col(f"{name}.log10_p")}).drop(name)
 
 
 def bh_adjust(df: DataFrame, p: str, key: str) -> DataFrame:
-    """``df`` with q: Benjamini-Hochberg; the tests are few, so one ordered pass does."""
-    all_ = Window.partitionBy()
-    made = df.withColumn("_m", F.count("*").over(all_)).withColumn("_r", F.row_number().over(Window.orderBy(p, key)))
-    back = Window.orderBy(F.desc("_r")).rowsBetween(Window.unboundedPreceding, 0)
-    return made.withColumn("q", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_m") / F.col("_r")).over(back))).drop("_m", "_r")
+    """``df`` with q: Benjamini-Hochberg, ties by key; a scan upward for the ranks and one downward for the running minimum."""
+    rank, every, low = free_names(df, 3, "q")
+    own = numbered(df, [F.col(p), F.col(key)], rank)
+    own = on_keys(own, df.agg(F.count("*").alias(every)), [])
+    own = scan(own, [-F.col(rank)], least={low: F.col(p) * F.col(every) / (F.col(rank) + 1)})
+    return own.withColumn("q", F.least(F.lit(1.0), F.col(low))).drop(rank, every, low)
 
 
 def kde(df: DataFrame, value: str, low: float, high: float, steps: int, width: float) -> DataFrame:
@@ -180,60 +220,36 @@ def kde(df: DataFrame, value: str, low: float, high: float, steps: int, width: f
     return rows.groupBy("i", "x").agg((F.sum(kernel * F.col("k")) / F.sum("k")).alias("density"))
 
 
-def dealt_differences(nodes: DataFrame, edges: DataFrame, times: int, group: str | None = None, seed: int = 42) -> DataFrame:
-    """(rep, a, b, delta): the difference over each edge after the values were dealt anew; replicate 0 is the observed one.
+def scott_width(df: DataFrame, value: str) -> float | None:
+    """Scott's width: the sample deviation times n to the power of -1/5; None where there is no spread."""
+    n, sd = df.agg(F.count(value), F.stddev_samp(F.col(value).cast("double"))).first()
+    return sd * n**-0.2 if n > 1 and sd else None
 
-    nodes: id, value and, for a constrained null, the group within which values stay.
-    Values are dealt in the order of a digest of node, replicate and seed.
-    """
-    by = ["rep"] + ([group] if group else [])
-    reps = nodes.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(times))))
-    slot = Window.partitionBy(*by).orderBy("id")
-    lot = F.md5(F.concat_ws(":", F.col("id").cast("string"), F.col("rep").cast("string"), F.lit(str(seed))))
-    drawn = Window.partitionBy(*by).orderBy(F.when(F.col("rep") > 0, lot), "id")
-    places = reps.select("id", *by, F.row_number().over(slot).alias("n"))
-    dealt = reps.select("value", *by, F.row_number().over(drawn).alias("n"))
-    value = places.join(dealt, [*by, "n"]).select("rep", "id", "value")
-    one, two = (value.select("rep", F.col("id").alias(k), F.col("value").alias(f"v_{k}")) for k in "ab")
-    met = edges.select("a", "b").join(one, "a").join(two, ["rep", "b"])
-    return met.select("rep", "a", "b", F.abs(F.col("v_a") - F.col("v_b")).alias("delta"))
-
-
-def permutation_null(nodes: DataFrame, edges: DataFrame, least: float, times: int, group: str | None = None, seed: int = 42) -> DataFrame:
-    """(rep, n): edges whose ends differ by ``least`` or more, for each replicate."""
-    return dealt_differences(nodes, edges, times, group, seed).groupBy("rep").agg(F.count_if(F.col("delta") >= least).alias("n"))
 
+def binned_density(df: DataFrame, value: str, low: float, high: float, steps: int, width: float | None = None, fine: int = 64, reach: float = 8.0) -> DataFrame:
+    """(i, x, density) on a grid: Gaussian kernels by linear binning and a truncated convolution; width by Scott's rule if None.
 
-def hub_null(nodes: DataFrame, edges: DataFrame, least: float, times: int, hubs: int = 4, group: str | None = None, seed: int = 42) -> DataFrame:
-    """(rep, n): share of edges that differ by ``least`` or more and meet one of the ``hubs`` nodes of highest degree among them (ties: smallest id).
-
-    Each replicate has as many such edges as the observed one, drawn by a digest; those with fewer are left out.
+    Each value is shared between the two nearest of bins a ``fine``-th of the width apart, so
+    the kernels are of bins, however many values there are; a kernel ends ``reach`` widths out.
+    Only bins that reach the grid count, but the density is one of all values.
     """
-    far = dealt_differences(nodes, edges, times, group, seed).filter(F.col("delta") >= least).select("rep", "a", "b")
-    lot = F.md5(F.concat_ws(":", *(F.col(c).cast("string") for c in ("a", "b", "rep")), F.lit(str(seed))))
-    order = Window.partitionBy("rep").orderBy(F.when(F.col("rep") > 0, lot), "a", "b")
-    wanted = far.filter("rep = 0").agg(F.count("*").alias("wanted"))
-    far = far.withColumn("i", F.row_number().over(order)).withColumn("all", F.count("*").over(Window.partitionBy("rep")))
-    far = far.crossJoin(F.broadcast(wanted)).filter("i <= wanted AND all >= wanted").select("rep", "a", "b")  # one row
-    ends = far.select("rep", F.explode(F.array("a", "b")).alias("node")).groupBy("rep", "node").agg(F.count("*").alias("k"))
-    top = ends.withColumn("i", F.row_number().over(Window.partitionBy("rep").orderBy(F.desc("k"), "node"))).filter(F.col("i") <= hubs)
-    top = top.groupBy("rep").agg(F.collect_list("node").alias("hubs"))  # a few nodes each
-    hit = F.array_contains("hubs", F.col("a")) | F.array_contains("hubs", F.col("b"))
-    return far.join(top, "rep").groupBy("rep").agg((F.count_if(hit) / F.count("*")).alias("n"))
-
-
-def empirical(null: DataFrame, smooth: bool = True) -> DataFrame:
-    """One row of a null (rep, n): observed, mean, sd (population), z, fold, and the share of draws at or above (p) and at or below (p_low) the observed, with or without the +1."""
-    drawn = F.col("rep") > 0
-    seen = null.filter("rep = 0").agg(F.max("n").alias("observed"))
-    rows = null.filter(drawn).crossJoin(F.broadcast(seen))  # one row
-    one = 1 if smooth else 0
-    made = rows.agg(
-        F.max("observed").alias("observed"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"), F.count("*").alias("times"),
-        F.count_if(F.col("n") >= F.col("observed")).alias("above"), F.count_if(F.col("n") <= F.col("observed")).alias("below"),
-    )
-    share = lambda k: (F.col(k) + one) / (F.col("times") + one)
-    return made.select("observed", "mean", "sd", "times", F.when(F.col("sd") > 0, (F.col("observed") - F.col("mean")) / F.col("sd")).alias("z"), F.when(F.col("mean") > 0, F.col("observed") / F.col("mean")).alias("fold"), share("above").alias("p"), share("below").alias("p_low"))
+    width = width or scott_width(df, value)
+    grid = df.sparkSession.range(steps + 1).select(F.col("id").cast("int").alias("i"), (low + F.col("id") * ((high - low) / steps)).alias("x"))
+    if width is None:
+        return grid.withColumn("density", F.lit(None).cast("double"))
+    bin_width, step = width / fine, (high - low) / steps
+    rows = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    place = (F.col("v") - low) / bin_width
+    near = rows.filter(F.col("v").between(low - (reach + 1) * width, high + (reach + 1) * width)).select(F.floor(place).alias("b"), (place - F.floor(place)).alias("w"))
+    shares = near.select(F.explode(F.array(F.struct(F.col("b"), (1 - F.col("w")).alias("w")), F.struct((F.col("b") + 1).alias("b"), "w"))).alias("s"))
+    bins = shares.groupBy("s.b").agg(F.sum("s.w").alias("w"))
+    at = F.col("b") * bin_width  # from low
+    first, last = F.greatest(F.lit(0), F.ceil((at - reach * width) / step)), F.least(F.lit(steps), F.floor((at + reach * width) / step))
+    spread = bins.filter(first <= last).select("b", "w", F.explode(F.sequence(first, last)).cast("int").alias("i"))
+    kernel = F.exp(-F.pow((F.col("i") * step - at) / width, F.lit(2)) / 2) / (width * (2 * math.pi) ** 0.5)
+    sums = spread.groupBy("i").agg(F.sum(kernel * F.col("w")).alias("s"))
+    made = on_keys(grid, rows.agg(F.count("*").alias("n")), []).join(sums, "i", "left")
+    return made.select("i", "x", (F.coalesce("s", F.lit(0.0)) / F.col("n")).alias("density"))
 
 
 def weight_robustness(kinds: DataFrame, weight: Column, moves: Column, least: float, times: int, reach: float = 0.2, seed: int = 42) -> DataFrame:

@@ -9,6 +9,7 @@ from tessera.functions import tokens as N
 from tessera.functions import values as V
 from tessera.operators import checks, classify, consensus, lookup
 from tessera.operators import landscape as L
+from tessera.operators import nulls as U
 from tessera.operators import statistics as T
 from tessera.plans.bindings import CONSENSUS, measurements, rounded, table
 from tessera.plans.consensus_queries import SCORES
@@ -18,7 +19,7 @@ QUERIES: dict = {}
 ORACLE: dict = {}
 
 #: Replicates of the nulls and draws of the weights. The least p is 1 / (TIMES + 1).
-TIMES, DRAWS = 200, 1000
+TIMES, DRAWS = 10_000, 1000
 
 
 # classification
@@ -67,7 +68,7 @@ def difference_classes(spark, d):
 # texts
 
 def dates_found(spark, d):
-    o = table(spark, d, "orders").filter("o_orderkey % 7 = 0")
+    o = table(spark, d, "orders")
     text = F.concat(F.lit("made "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("; due "), F.date_format(F.date_add("o_orderdate", 90), "yyyy-MM-dd"), F.lit(", never 2001-13-45, again "), F.date_format("o_orderdate", "yyyy-MM-dd"))
     each = o.select(F.explode(X.dates_in(F.regexp_replace(text, "(?<=[ ])19", "20"))).alias("day"))
     days = F.datediff(F.lit("2099-01-01").cast("date"), F.col("day"))
@@ -166,8 +167,8 @@ def series_coverage(spark, d):
 # tests and nulls
 
 def rank_test_p(spark, d):
-    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").filter("doc_id % 3 = 0")
-    return T.mann_whitney(rows, "n_chars", "quality", 1).select("n1", "n2", F.round("p", 5).alias("p"), V.p_text(F.lit(0.0004)).alias("small"), V.p_text(F.lit(0.0443)).alias("usual"))
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return T.mann_whitney(rows, "n_chars", "quality", 1).select("n1", "n2", F.round("z", 5).alias("z"), F.round("p", 5).alias("p"), V.p_text(F.col("p")).alias("p_text"))
 
 
 def kruskal_p(spark, d):
@@ -175,7 +176,7 @@ def kruskal_p(spark, d):
 
 
 def spearman_p(spark, d):
-    return T.spearman(table(spark, d, "part").filter("p_partkey % 20 = 0"), "p_size", "p_retailprice").select("n", F.round("p", 6).alias("p"))
+    return T.spearman(table(spark, d, "part"), "p_size", "p_retailprice").select("n", F.round("p", 6).alias("p"))
 
 
 def _nodes(spark, d):
@@ -183,19 +184,19 @@ def _nodes(spark, d):
 
 
 def _null(df):
-    return rounded(T.empirical(df), "observed", "mean", "sd", "z", "fold", "p", "p_low")
+    return rounded(U.empirical(df), "observed", "mean", "sd", "z", "fold", "p", "p_low")
 
 
 def permutation_null(spark, d):
-    return _null(T.permutation_null(_nodes(spark, d), vector_pairs(spark, d), 4.0, TIMES))
+    return _null(U.permutation_null(_nodes(spark, d), vector_pairs(spark, d), 4.0, TIMES))
 
 
 def constrained_null(spark, d):
-    return _null(T.permutation_null(_nodes(spark, d), vector_pairs(spark, d), 2.0, TIMES, "half"))
+    return _null(U.permutation_null(_nodes(spark, d), vector_pairs(spark, d), 2.0, TIMES, "half"))
 
 
 def hub_share_null(spark, d):
-    return _null(T.hub_null(_nodes(spark, d), vector_pairs(spark, d), 4.0, TIMES))
+    return _null(U.hub_null(_nodes(spark, d), vector_pairs(spark, d), 4.0, TIMES))
 
 
 def _kinds(spark, d):
@@ -234,11 +235,21 @@ q AS (SELECT a, b, max(common / (total - common)) FILTER (WHERE s = 0) AS s0, ma
 SELECT a, b, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2, least(s0, s1, s2) >= 0.2 AS robust FROM q"""
 
 
+def _once(rows: str, place: str) -> str:
+    """The network's place of column ``place`` as ``spot``, by nested selections."""
+    sql = f"SELECT *, {place} % wide AS l, {place} // wide AS r FROM ({rows})"
+    for k in range(1, U.ROUNDS + 1):
+        sql = f"SELECT * EXCLUDE (l, r, y), r AS l, (l + y) % {'wide' if k % 2 else 'tall'} AS r FROM (SELECT * EXCLUDE y, (y * y + {U.M_TWO} * y) % {U.PRIME} AS y FROM (SELECT * EXCLUDE y, (y * y + {U.M_ONE} * y) % {U.PRIME} AS y FROM (SELECT *, (r * {U.M_PLACE} + key + {k * U.M_ROUND}) % {U.PRIME} AS y FROM ({sql}))))"
+    return f"SELECT rep, id, off, n, wide, tall, key, wide * r + l AS spot FROM ({sql})"
+
+
 def _dealt(group: str) -> str:
-    by = f"rep, {group}" if group else "rep"
-    return f"""y AS (SELECT vec_id AS id, label::double AS value, label < 5 AS half FROM embeddings), g AS (SELECT y.*, rep FROM y, range(0, {TIMES + 1}) t(rep)),
-w AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY id) AS slot, row_number() OVER (PARTITION BY {by} ORDER BY CASE WHEN rep > 0 THEN md5(id || ':' || rep || ':42') ELSE '' END, id) AS lot FROM g),
-z AS (SELECT a.rep, a.id, b.value FROM w a JOIN w b ON a.rep = b.rep AND a.slot = b.lot {'AND a.half = b.half' if group else ''}),
+    by = f"PARTITION BY {group}" if group else ""
+    start = f"SELECT rep, id, off, n, wide, (n + wide - 1) // wide AS tall, rep % {U.PRIME} * {U.M_DRAW} + off % {U.PRIME} * {U.M_OFFSET} + 42 AS key, i FROM (SELECT *, ceil(sqrt(n))::bigint AS wide FROM y, range(1, {TIMES + 1}) r(rep))"
+    return f"""y0 AS (SELECT vec_id AS id, label::double AS value, label < 5 AS half FROM embeddings),
+y AS (SELECT *, row_number() OVER ({by} ORDER BY id) - 1 AS i, count(*) OVER ({by}) AS n, {f'(SELECT count(*) FROM y0 o WHERE o.{group} < y0.{group})' if group else '0::bigint'} AS off FROM y0),
+w AS ({_once(start, 'i')} UNION ALL {_once('SELECT * FROM w WHERE spot >= n', 'spot')}),
+z AS (SELECT w.rep, w.id, y.value FROM w JOIN y ON y.i + y.off = w.spot + w.off WHERE w.spot < w.n UNION ALL SELECT 0, id, value FROM y),
 ed AS (SELECT c.rep, t.a, t.b, abs(c.value - f.value) AS delta FROM t JOIN z c ON c.id = t.a JOIN z f ON f.id = t.b AND f.rep = c.rep)"""
 
 
@@ -248,7 +259,7 @@ ORACLE |= {
     "id_classes": "SELECT CASE WHEN s_suppkey IN (1, 2, 3) THEN 'FAMILY' WHEN s_suppkey = 4 THEN 'AMBIGUOUS' ELSE 'EXPLICIT' END AS kind, count(*) AS n FROM supplier GROUP BY 1",
     "organisms": "SELECT CASE c_custkey % 9 WHEN 0 THEN 'homo_sapiens' WHEN 1 THEN 'mus_musculus' WHEN 2 THEN 'rattus_norvegicus' WHEN 3 THEN 'recombinant' WHEN 4 THEN 'recombinant' WHEN 7 THEN 'non_human_other' ELSE 'unknown' END AS organism, count(*) AS n FROM customer GROUP BY 1",
     "difference_classes": "WITH p AS (SELECT p_partkey AS k, list_distinct(string_split(replace(upper(p_name), ' ', ''), '')) AS s FROM part), x AS (SELECT a.k, list_filter(a.s, lambda c: NOT list_contains(b.s, c)) AS u, list_filter(b.s, lambda c: NOT list_contains(a.s, c)) AS v FROM p a JOIN p b ON b.k + 1 = a.k), q AS (SELECT k, list_concat(u, v) AS s, len(u) > 3 AS aromatic FROM x), t AS (SELECT len(s) AS size, unnest(list_filter([CASE WHEN list_has_any(s, ['F', 'Cl', 'Br', 'I']) THEN 'halogen_change' END, CASE WHEN list_has_any(s, ['N', 'O', 'S']) THEN 'heteroatom_change' END, CASE WHEN aromatic THEN 'aromatic_change' END, CASE WHEN k % 5 = 0 THEN 'ring_modification' END, CASE WHEN len(s) <= 1 THEN 'single_atom' WHEN len(s) <= 4 THEN 'small_substituent' WHEN len(s) <= 8 THEN 'medium_substituent' ELSE 'large_substituent' END, CASE WHEN s = ['C'] THEN 'carbon_only' END], lambda y: y IS NOT NULL)) AS tag FROM q) SELECT tag, count(*) AS n, sum(size)::bigint AS total FROM t GROUP BY tag",
-    "dates_found": "WITH o AS (SELECT o_orderdate::date AS a, (o_orderdate::date + 90) AS b FROM orders WHERE o_orderkey % 7 = 0), t AS (SELECT list_distinct([try_cast(replace(' ' || a, ' 19', ' 20') AS date), try_cast(replace(' ' || b, ' 19', ' 20') AS date)]) AS ds FROM o), e AS (SELECT unnest(ds) AS day FROM t), x AS (SELECT date_diff('day', day, DATE '2099-01-01') AS days FROM e WHERE day IS NOT NULL) SELECT CASE WHEN days - 200 > 180 THEN 'over 6 months' WHEN days - 200 < 30 THEN 'recent' ELSE 'ok' END AS band, count(*) AS n, min(days)::integer AS least, max(days // 30) AS months FROM x GROUP BY 1",
+    "dates_found": "WITH o AS (SELECT o_orderdate::date AS a, (o_orderdate::date + 90) AS b FROM orders), t AS (SELECT list_distinct([try_cast(replace(' ' || a, ' 19', ' 20') AS date), try_cast(replace(' ' || b, ' 19', ' 20') AS date)]) AS ds FROM o), e AS (SELECT unnest(ds) AS day FROM t), x AS (SELECT date_diff('day', day, DATE '2099-01-01') AS days FROM e WHERE day IS NOT NULL) SELECT CASE WHEN days - 200 > 180 THEN 'over 6 months' WHEN days - 200 < 30 THEN 'recent' ELSE 'ok' END AS band, count(*) AS n, min(days)::integer AS least, max(days // 30) AS months FROM x GROUP BY 1",
     "key_shapes": "SELECT CASE p_partkey % 3 WHEN 0 THEN NOT contains((p_name || 'XXXXXXXXXX')[1:10], ' ') WHEN 1 THEN true ELSE false END AS shaped, count(*) AS n FROM part GROUP BY 1",
     "relabelled_sources": CONSENSUS + " SELECT array_to_string(list_transform(list_filter(string_split(source_list, '|'), lambda x: x IN ('A', 'R')), lambda x: CASE x WHEN 'A' THEN 'alpha' ELSE 'rho' END), '+') AS sources, count(*) AS n FROM ent GROUP BY 1",
     "fallback_lookup": "WITH r AS (SELECT l_partkey, max(l_extendedprice) AS price, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY 1), s AS (SELECT l_partkey, max(l_extendedprice) AS price, count(*) AS n FROM lineitem WHERE l_quantity > 30 GROUP BY 1) SELECT CASE WHEN r.l_partkey IS NOT NULL THEN 'returned' WHEN s.l_partkey IS NOT NULL THEN 'sold' ELSE 'computed' END AS found_in, count(*) AS parts, round(sum(coalesce(r.price, s.price, p_retailprice)), 2) AS price, sum(coalesce(r.n, s.n, 0))::bigint AS n FROM part LEFT JOIN r ON r.l_partkey = p_partkey LEFT JOIN s ON s.l_partkey = p_partkey GROUP BY 1",
@@ -263,11 +274,11 @@ ORACLE |= {
     "fingerprint_sensitivity": FINGERPRINTS_SQL,
     "series_ruggedness": f"WITH {VEC}, mm AS (SELECT vec_id AS id, label % 7 AS series, label * 1.0::double AS value FROM embeddings), zz AS (SELECT series, count(*) AS n, avg(value) AS mean, median(value) AS median, max(value) - min(value) AS spread, stddev_samp(value) AS sd FROM mm GROUP BY 1 HAVING count(*) >= 2), ii AS (SELECT x.series, t.tier, CASE WHEN t.inter < t.size_a + t.size_b - t.inter THEN t.delta / (1 - t.inter / (t.size_a + t.size_b - t.inter)) END AS sali FROM t JOIN mm x ON x.id = t.a JOIN mm y ON y.id = t.b AND y.series = x.series), ff AS (SELECT series, count(*) FILTER (WHERE tier = 'severe') AS severe, avg(sali) AS mean_sali, max(sali) AS max_sali FROM ii GROUP BY 1) SELECT zz.series, n, round(mean, 6) AS mean, round(median, 6) AS median, round(spread, 6) AS spread, round(sd, 6) AS sd, n * (n - 1) // 2 AS possible, coalesce(severe, 0) AS severe, round(coalesce(mean_sali, 0), 6) AS mean_sali, round(coalesce(max_sali, 0), 6) AS max_sali, round(coalesce(severe, 0) / (n * (n - 1) // 2), 6) AS density, round(1 - coalesce(severe, 0) / (n * (n - 1) // 2), 6) AS smoothness, row_number() OVER (ORDER BY n DESC, zz.series) AS rank FROM zz LEFT JOIN ff USING (series)",
     "series_coverage": "WITH g AS (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey) SELECT count(*) FILTER (WHERE n >= 2) AS series, round(sum(n) FILTER (WHERE n >= 2) / sum(n), 6) AS in_series FROM g",
-    "rank_test_p": f"WITH x AS (SELECT n_chars AS v, quality AS g FROM documents JOIN labels USING (doc_id) WHERE doc_id % 3 = 0), {_RANKS}, s AS (SELECT count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g <> 1) AS n2, sum(k) FILTER (WHERE g = 1) AS r1, sum(t * t - 1)::double AS t FROM r), u AS (SELECT *, abs((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12.0::double * ((n1 + n2 + 1) - t / ((n1 + n2)::double * (n1 + n2 - 1))))) / sqrt(2) AS x FROM s) SELECT n1, n2, round({_ERFC}, 5) AS p, '< 0.001' AS small, '0.044' AS usual FROM u",
+    "rank_test_p": f"WITH x AS (SELECT n_chars AS v, quality AS g FROM documents JOIN labels USING (doc_id)), {_RANKS}, s AS (SELECT count(*) FILTER (WHERE g = 1) AS n1, count(*) FILTER (WHERE g <> 1) AS n2, sum(k) FILTER (WHERE g = 1) AS r1, sum(t * t - 1)::double AS t FROM r), u AS (SELECT *, abs((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2) / sqrt(n1 * n2 / 12.0::double * ((n1 + n2 + 1) - t / ((n1 + n2)::double * (n1 + n2 - 1))))) / sqrt(2) AS x FROM s), p AS (SELECT n1, n2, round(CASE WHEN r1 * 2 < n1 * (n1 + n2 + 1) THEN -1 ELSE 1 END * x * sqrt(2), 5) AS z, {_ERFC} AS p FROM u) SELECT n1, n2, z, round(p, 5) AS p, CASE WHEN p < 0.001 THEN '< 0.001' ELSE printf('%.3f', p) END AS p_text FROM p",
     "kruskal_p": f"WITH x AS (SELECT n_chars AS v, lang AS g FROM documents), {_RANKS}, s AS (SELECT g, count(*) AS n, sum(k) AS r FROM r GROUP BY g), a AS (SELECT count(*) AS groups, sum(n)::bigint AS n, sum(r * r / n) AS q FROM s), t AS (SELECT sum(t * t - 1)::double AS t FROM r), h AS (SELECT groups, n, (groups - 1) / 2.0::double AS a, (12 / (n::double * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n::double * n * n - n)) / 2 AS x FROM a, t) SELECT groups, n, round(greatest(0.0, 1 - list_sum(list_transform(range(0, 400), lambda i: exp((a + i) * ln(x) - x - lgamma(a + i + 1))))), 5) AS p FROM h",
-    "spearman_p": "WITH x AS (SELECT * FROM part WHERE p_partkey % 20 = 0), r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::double AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0::double AS b FROM x), s AS (SELECT count(*) AS n, count(*) - 2.0::double AS v, corr(a, b) AS rho FROM r), t AS (SELECT n, v, abs(rho) * sqrt(v / (1 - rho * rho)) AS t FROM s) SELECT n, round(1 - 2 * t / 6000 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 2000, 2) / v, -(v + 1) / 2))), 6) AS p FROM t",
-    "permutation_null": f"WITH {VEC}, {_dealt('')}, q AS (SELECT rep, count(*) FILTER (WHERE delta >= 4) AS n FROM ed GROUP BY rep), {_SUMMARY}",
-    "constrained_null": f"WITH {VEC}, {_dealt('half')}, q AS (SELECT rep, count(*) FILTER (WHERE delta >= 2) AS n FROM ed GROUP BY rep), {_SUMMARY}",
-    "hub_share_null": f"WITH {VEC}, {_dealt('')}, far AS (SELECT rep, a, b, row_number() OVER (PARTITION BY rep ORDER BY CASE WHEN rep > 0 THEN md5(a || ':' || b || ':' || rep || ':42') ELSE '' END, a, b) AS i, count(*) OVER (PARTITION BY rep) AS all_ FROM ed WHERE delta >= 4), k AS (SELECT * FROM far WHERE i <= (SELECT count(*) FROM far WHERE rep = 0) AND all_ >= (SELECT count(*) FROM far WHERE rep = 0)), j AS (SELECT rep, unnest([a, b]) AS node FROM k), dg AS (SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY count(*) DESC, node) AS i FROM j GROUP BY rep, node), hb AS (SELECT rep, list(node) AS hubs FROM dg WHERE i <= 4 GROUP BY rep), q AS (SELECT rep, count(*) FILTER (WHERE list_contains(hubs, a) OR list_contains(hubs, b)) / count(*) AS n FROM k JOIN hb USING (rep) GROUP BY rep), {_SUMMARY}",
+    "spearman_p": "WITH x AS (SELECT * FROM part), r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::double AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0::double AS b FROM x), s AS (SELECT count(*) AS n, count(*) - 2.0::double AS v, corr(a, b) AS rho FROM r), t AS (SELECT n, v, abs(rho) * sqrt(v / (1 - rho * rho)) AS t FROM s) SELECT n, round(1 - 2 * t / 6000 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(v * pi()) * list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(t * i / 2000, 2) / v, -(v + 1) / 2))), 6) AS p FROM t",
+    "permutation_null": f"WITH RECURSIVE {VEC}, {_dealt('')}, q AS (SELECT rep, count(*) FILTER (WHERE delta >= 4) AS n FROM ed GROUP BY rep), {_SUMMARY}",
+    "constrained_null": f"WITH RECURSIVE {VEC}, {_dealt('half')}, q AS (SELECT rep, count(*) FILTER (WHERE delta >= 2) AS n FROM ed GROUP BY rep), {_SUMMARY}",
+    "hub_share_null": f"WITH RECURSIVE {VEC}, {_dealt('')}, far AS (SELECT rep, a, b, row_number() OVER (PARTITION BY rep ORDER BY lot, a, b) AS i, count(*) OVER (PARTITION BY rep) AS all_ FROM (SELECT *, CASE WHEN rep > 0 THEN (l1 * l1 + {U.M_TWO} * l1) % {U.PRIME} ELSE 0 END AS lot FROM (SELECT *, (l0 * l0 + {U.M_ONE} * l0) % {U.PRIME} AS l1 FROM (SELECT rep, a, b, (c.i * {U.M_PLACE} + f.i * {U.M_DRAW} + rep * {U.M_ROUND} + 42) % {U.PRIME} AS l0 FROM ed JOIN y c ON c.id = a JOIN y f ON f.id = b WHERE delta >= 4)))), k AS (SELECT * FROM far WHERE i <= (SELECT count(*) FROM far WHERE rep = 0) AND all_ >= (SELECT count(*) FROM far WHERE rep = 0)), j AS (SELECT rep, unnest([a, b]) AS node FROM k), dg AS (SELECT rep, node, row_number() OVER (PARTITION BY rep ORDER BY count(*) DESC, node) AS i FROM j GROUP BY rep, node), hb AS (SELECT rep, list(node) AS hubs FROM dg WHERE i <= 4 GROUP BY rep), q AS (SELECT rep, count(*) FILTER (WHERE list_contains(hubs, a) OR list_contains(hubs, b)) / count(*) AS n FROM k JOIN hb USING (rep) GROUP BY rep), {_SUMMARY}",
     "independence_robustness": CONSENSUS + f", ic AS (SELECT source_list AS kind, count(*) AS k, any_value(CASE WHEN source_list NOT LIKE '%|%' THEN 1.0 WHEN source_list = 'A|N|R' THEN 0.3 WHEN source_list = 'A|R' THEN 0.5 WHEN source_list = 'A|N' THEN 0.6 ELSE 0.7 END::double) AS own FROM ent GROUP BY 1), ig AS (SELECT *, CASE WHEN kind LIKE '%|%' THEN own * (0.8::double + 0.4::double * (('0x' || md5(kind || ':' || draw || ':42')[1:8])::bigint / 4294967296.0::double)) ELSE own END AS score FROM ic, range(1, {DRAWS + 1}) t(draw)), ir AS (SELECT *, sum(k) OVER (PARTITION BY draw ORDER BY own) - sum(k) OVER (PARTITION BY draw, own) + (sum(k) OVER (PARTITION BY draw, own) + 1) / 2 AS x, sum(k) OVER (PARTITION BY draw ORDER BY score) - sum(k) OVER (PARTITION BY draw, score) + (sum(k) OVER (PARTITION BY draw, score) + 1) / 2 AS y FROM ig), im AS (SELECT draw, sum(k * x) / sum(k) AS mx, sum(k * y) / sum(k) AS my FROM ir GROUP BY draw), ib AS (SELECT draw, sum(k * (x - mx) * (y - my)) / sqrt(sum(k * (x - mx) * (x - mx)) * sum(k * (y - my) * (y - my))) AS rho, sum(CASE WHEN score >= 0.6 THEN k ELSE 0 END)::bigint AS n, sum(CASE WHEN own >= 0.6 THEN k ELSE 0 END)::bigint AS o FROM ir JOIN im USING (draw) GROUP BY draw) SELECT round(avg(rho), 6) AS rho_mean, round(min(rho), 6) AS rho_least, round(avg(n), 6) AS count_mean, min(n) AS count_least, max(n) AS count_most, max(o) AS unmoved, count(*) AS draws FROM ib",
 }
