@@ -6,6 +6,7 @@ Ranks are taken over distinct values with their counts, by a scan over ranges of
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -32,25 +33,29 @@ def percentiles(df: DataFrame, value: str, points: list[float], group: list[str]
     keys = group or []
     names = [f"g{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    near = 2.0 / accuracy
+    near, m = 2.0 / accuracy, len(points)
     sides = [max(q - near, 0.0) for q in points] + [min(q + near, 1.0) for q in points]
     sketch = rows.groupBy(*names).agg(F.count("*").alias("n"), F.percentile_approx("v", sides, accuracy).alias("s")).filter("n > 0")
-    few = F.col("n") <= 2 * accuracy
-
-    def point(i: int, q: float) -> Column:
-        low, high = F.when(~few, F.col("s")[i]), F.when(~few, F.col("s")[len(points) + i])
-        at = F.lit(q) * (F.col("n") - 1)
-        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"), F.floor(at).alias("down"), F.ceil(at).alias("up"), (at - F.floor(at)).alias("part"))
-
-    wanted = settled(sketch.select(*names, F.array(*(point(i, q) for i, q in enumerate(points))).alias("points")))
-    met = on_keys(rows, wanted, names).select(*names, "v", F.explode(F.filter("points", lambda p: p["high"].isNull() | (F.col("v") <= p["high"]))).alias("p"))
-    inside = F.when(F.col("p.low").isNull() | (F.col("v") >= F.col("p.low")), F.col("v"))  # null: below the bracket
-    by = met.groupBy(*names, "p", inside.alias("v")).agg(F.count("*").alias("k"))
-    first = F.coalesce(F.sum("k").over(Window.partitionBy(*names, "p").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("first", first).filter("v IS NOT NULL")
-    of = lambda i, side: F.max(F.when((F.col("p.i") == i) & (F.col(f"p.{side}") >= F.col("first")) & (F.col(f"p.{side}") < F.col("first") + F.col("k")), F.col("v")))
-    part = lambda i: F.max(F.when(F.col("p.i") == i, F.col("p.part")))
-    made = by.groupBy(*names).agg(*((of(i, "down") + (of(i, "up") - of(i, "down")) * part(i)).alias(f"q{i}") for i in range(len(points))))
+    wanted = settled(sketch)
+    met, few = on_keys(rows, wanted, names), F.col("n") <= 2 * accuracy
+    inside = lambda i: (F.col("v") >= F.col("s")[i]) & (F.col("v") <= F.col("s")[m + i])
+    below = met.filter(~few).groupBy(*names).agg(*(F.count_if(F.col("v") < F.col("s")[i]).alias(f"b{i}") for i in range(m)))
+    some = few
+    for i in range(m):
+        some = some | inside(i)
+    brackets = F.when(few, F.array(F.lit(-1))).otherwise(F.array_compact(F.array(*(F.when(inside(i), F.lit(i)) for i in range(m)))))  # -1: the whole group
+    held = met.filter(some).select(*names, "n", "v", F.explode(brackets).alias("i")).groupBy(*names, "n", "i", "v").agg(F.count("*").alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy(*names, "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = on_keys(held.withColumn("before", before), below, names, "left") if names else held.withColumn("before", before).crossJoin(F.broadcast(below))  # without groups: one row
+
+    def value(i: int, q: float, up: Callable) -> Column:
+        first = F.col("before") + F.when(F.col("i") < 0, F.lit(0)).otherwise(F.col(f"b{i}"))
+        rank = up(F.lit(q) * (F.col("n") - 1))
+        return F.max(F.when(F.col("i").isin(i, -1) & (rank >= first) & (rank < first + F.col("k")), F.col("v")))
+
+    made = at.groupBy(*names, "n").agg(*(f.alias(f"{k}{i}") for i, q in enumerate(points) for k, f in (("d", value(i, q, F.floor)), ("u", value(i, q, F.ceil)))))
+    rest = lambda q: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1))
+    made = made.select(*names, *((F.col(f"d{i}") + (F.col(f"u{i}") - F.col(f"d{i}")) * rest(q)).alias(f"q{i}") for i, q in enumerate(points)))
     return made.withColumnsRenamed(dict(zip(names, keys)))
 
 

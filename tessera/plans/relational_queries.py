@@ -261,7 +261,7 @@ def fisher_enrichment(spark, d):
     by = p.groupBy("p_type").agg(F.count_if(hit).alias("a"), F.count_if(~hit).alias("b")).join(F.broadcast(total)).withColumns({"c": F.col("h") - F.col("a"), "d": F.col("n") - F.col("h") - F.col("b")})  # one row broadcast
     made = T.fisher(by.select("p_type", "a", "b", "c", "d"))
     made = made.withColumns({"pct_class": V.share(F.col("a"), F.col("a") + F.col("b"), 100.0), "p_text": V.p_text(F.round("p", 6))})
-    return rounded(made, "odds", "phi", "p", "log10_p", "pct_class")
+    return rounded(made, "odds", "phi", "p", "log10_p", "pct_class").withColumn("log10_p", F.col("log10_p") + 0.0)
 
 
 def mann_whitney(spark, d):
@@ -342,5 +342,5 @@ ORACLE |= {
     "spearman": "WITH r AS (SELECT rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2.0::double AS a, rank() OVER (ORDER BY p_retailprice) + (count(*) OVER (PARTITION BY p_retailprice) - 1) / 2.0::double AS b FROM part) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r",
     "bh_fdr": "WITH t AS (SELECT p_brand, round(least(1.0::double, abs(avg(p_size) - 25.5::double) / 10 + 0.001::double), 9) AS p FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY p, p_brand) AS i, count(*) OVER () AS m FROM t) SELECT p_brand, p, round(least(1.0::double, min(p * m / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)), 6) AS q FROM r",
     "kde_grid": "WITH x AS (SELECT log10(n_chars) AS v FROM documents), g AS (SELECT i::integer AS i, i * 0.1::double AS x FROM range(0, 61) t(i)) SELECT i, round(x, 6) AS x, round(avg(exp(-pow((x - v) / 0.2::double, 2) / 2) / (0.2::double * sqrt(2 * pi()))), 6) AS density FROM x, g GROUP BY i, x",
-    "fisher_enrichment": "WITH RECURSIVE n AS (SELECT count(*) FILTER (WHERE p_size > 40) AS h, count(*) AS n FROM part), y AS (SELECT p_type, count(*) FILTER (WHERE p_size > 40) AS a, count(*) FILTER (WHERE p_size <= 40) AS b FROM part GROUP BY 1), q AS (SELECT p_type, a, b, h - a AS c, n - h - b AS d FROM y, n), k AS (SELECT q.*, x, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS l FROM q, range(0, 100000) t(x) WHERE x >= greatest(0, a - d) AND x <= least(a + b, a + c)), z AS (SELECT p_type, a, b, c, d, sum(exp(l)) FILTER (WHERE l <= o + 1e-7) AS p FROM (SELECT *, max(CASE WHEN x = a THEN l END) OVER (PARTITION BY p_type) AS o FROM k) GROUP BY ALL) SELECT p_type, a, b, c, d, round(a * d / (b * c), 6) AS odds, round((a * d - b * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d)), 6) AS phi, round(least(1.0::double, p), 6) AS p, round(least(0.0::double, log10(p)), 6) AS log10_p, CASE WHEN round(least(1.0::double, p), 6) < 0.001 THEN '< 0.001' ELSE printf('%.3f', round(least(1.0::double, p), 6)) END AS p_text, round(a / (a + b) * 100, 6) AS pct_class FROM z",
+    "fisher_enrichment": "WITH RECURSIVE n AS (SELECT count(*) FILTER (WHERE p_size > 40) AS h, count(*) AS n FROM part), y AS (SELECT p_type, count(*) FILTER (WHERE p_size > 40) AS a, count(*) FILTER (WHERE p_size <= 40) AS b FROM part GROUP BY 1), q AS (SELECT p_type, a, b, h - a AS c, n - h - b AS d FROM y, n), k AS (SELECT q.*, x, lgamma(a + b + 1) + lgamma(c + d + 1) + lgamma(a + c + 1) + lgamma(b + d + 1) - lgamma(a + b + c + d + 1) - lgamma(x + 1) - lgamma(a + b - x + 1) - lgamma(a + c - x + 1) - lgamma(d - a + x + 1) AS l FROM q, range(0, 100000) t(x) WHERE x >= greatest(0, a - d) AND x <= least(a + b, a + c)), z AS (SELECT p_type, a, b, c, d, sum(exp(l)) FILTER (WHERE l <= o + 1e-7) AS p FROM (SELECT *, max(CASE WHEN x = a THEN l END) OVER (PARTITION BY p_type) AS o FROM k) GROUP BY ALL) SELECT p_type, a, b, c, d, round(a * d / (b * c), 6) AS odds, round((a * d - b * c) / sqrt((a + b)::double * (c + d) * (a + c) * (b + d)), 6) AS phi, round(least(1.0::double, p), 6) AS p, round(least(0.0::double, log10(p)), 6) + 0.0::double AS log10_p, CASE WHEN round(least(1.0::double, p), 6) < 0.001 THEN '< 0.001' ELSE printf('%.3f', round(least(1.0::double, p), 6)) END AS p_text, round(a / (a + b) * 100, 6) AS pct_class FROM z",
 }
