@@ -124,3 +124,25 @@ def common_part(a: Column, b: Column) -> Column:
         return pd.DataFrame(made, columns=["n", "only_a", "only_b"])
 
     return part(a, b)
+
+
+def connected_subset(subset: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, n_nodes, connected): whether the nodes of ``subset`` (graph, node) hang together by edges among themselves.
+
+    The smallest node spreads along the edges until nothing changes, so there are as many
+    rounds as the longest shortest way; each is a written table.
+    """
+    spark = subset.sparkSession
+    folder, k = scratch(spark, "connected"), 0
+    ends = directed(edges).select("graph", "node", "other")
+    ends = ends.join(subset, ["graph", "node"], "left_semi").join(subset.select("graph", F.col("node").alias("other")), ["graph", "other"], "left_semi")
+    labels = subset.distinct().withColumn("least", F.col("node"))
+    while True:
+        told = ends.join(labels.select("graph", F.col("node").alias("other"), "least"), ["graph", "other"]).groupBy("graph", "node").agg(F.min("least").alias("told"))
+        seen = Observation()
+        made = labels.join(told, ["graph", "node"], "left").withColumn("told", F.least("least", "told"))
+        made = made.observe(seen, F.count_if(F.col("told") < F.col("least")).alias("moved")).select("graph", "node", F.col("told").alias("least"))
+        made.write.parquet(f"{folder}/{k}")
+        labels, k = spark.read.schema(made.schema).parquet(f"{folder}/{k}"), k + 1
+        if not seen.get["moved"]:
+            return labels.groupBy("graph").agg(F.count("*").alias("n_nodes"), (F.min("least") == F.max("least")).alias("connected"))

@@ -250,7 +250,7 @@ def binned_density(df: DataFrame, value: str, low: float, high: float, steps: in
     bins = shares.groupBy("s.b").agg(F.sum("s.w").alias("w"))
     at = F.col("b") * bin_width  # from low
     first, last = F.greatest(F.lit(0), F.ceil((at - reach * width) / step)), F.least(F.lit(steps), F.floor((at + reach * width) / step))
-    spread = bins.filter(first <= last).select("b", "w", F.explode(F.sequence(first, last)).cast("int").alias("i"))
+    spread = bins.filter(first <= last).select("b", "w", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("i"))
     kernel = F.exp(-F.pow((F.col("i") * step - at) / width, F.lit(2)) / 2) / (width * (2 * math.pi) ** 0.5)
     sums = spread.groupBy("i").agg(F.sum(kernel * F.col("w")).alias("s"))
     made = on_keys(grid, rows.agg(F.count("*").alias("n")), []).join(sums, "i", "left")

@@ -14,6 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.records import join_broken_lines
+
 #: The header stands within so many lines.
 HEADER_LINES = 10
 
@@ -43,14 +45,14 @@ def preamble_csv(spark: SparkSession, paths: str | list[str], sentinel: str = "P
     file; rows are those after it whose sentinel column is an integer. Columns are the
     union over all headers, as strings (null where a file lacks one), with _path and
     _line (a number that orders a file's lines). Bytes that are no UTF-8 are replaced.
-    Records span no lines.
+    Line breaks within quoted fields are left out, and do not end the record.
     """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
     top = lines.filter("_block = 0")
     begin = top.groupBy("_path").agg(F.min("_line").alias("_first"))
-    heads = top.filter(F.col("value").contains(sentinel)).join(F.broadcast(begin), "_path").filter(F.col("_line") - F.col("_first") < HEADER_LINES)
+    heads = top.filter(F.col("value").contains(sentinel)).join(begin, "_path").filter(F.col("_line") - F.col("_first") < HEADER_LINES)
     heads = heads.groupBy("_path").agg(F.min(F.struct("_line", "value")).alias("h")).select("_path", F.col("h._line").alias("_at"), F.col("h.value").alias("_head"))  # a row for each file
-    rows = lines.join(F.broadcast(heads), "_path").filter((F.col("_line") > F.col("_at")) | (F.col("_block") > 0))
+    rows = join_broken_lines(lines.join(heads, "_path").filter((F.col("_line") > F.col("_at")) | (F.col("_block") > 0)))
     made = []
     for (head,) in heads.select("_head").distinct().collect():  # layouts, not files
         names = [n.strip().strip('"').lstrip("﻿") for n in head.split(",")]
