@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.scan import numbered, scan
 
-#: Rounds of the network, and the modulus and multipliers of its rounds (products stay below 2^63).
-ROUNDS, PRIME, M_PLACE, M_DRAW, M_ROUND, M_OFFSET, M_ONE, M_TWO = 4, 2147483647, 1103515245, 69069, 1597334677, 40503, 48271, 69621
+#: Rounds of the network (that many for permutations of a few nodes too), and the modulus and multipliers of its rounds (products stay below 2^63).
+ROUNDS, PRIME, M_PLACE, M_DRAW, M_ROUND, M_OFFSET, M_ONE, M_TWO = 12, 2147483647, 1103515245, 69069, 1597334677, 40503, 48271, 69621
 #: Values that every task may hold (8 bytes each).
 MOST_VALUES = 1 << 20
 #: Numbers of one step in a task.
@@ -42,7 +42,7 @@ def bijection(i: np.ndarray, n: np.ndarray, offset: np.ndarray, draw: np.ndarray
             left, right = right, (left + y) % (wide if r % 2 else tall)
         return wide * right + left
 
-    at = once(i, wide, tall, key)
+    at = np.array(once(i, wide, tall, key))
     while (out := at >= n).any():
         at[out] = once(at[out], wide[out], tall[out], key[out])
     return at
@@ -90,16 +90,16 @@ def _values(nodes: DataFrame):
 
 
 def _dealt(nodes: DataFrame, met: DataFrame, times: int, seed: int, wanted: np.ndarray | None = None) -> DataFrame:
-    """(rep, a, b, delta) by joining places with values, for tables of any size."""
+    """(rep, a, b, at_a, at_b, delta) by joining places with values, for tables of any size."""
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for edges, draws, (one, two) in _batches(batches, times, seed, wanted):
-            yield pd.DataFrame({"rep": np.repeat(draws, len(edges)), "a": np.tile(edges["a"], len(draws)), "b": np.tile(edges["b"], len(draws)), "pa": one.ravel(), "pb": two.ravel()})
+            yield pd.DataFrame({"rep": np.repeat(draws, len(edges)), "a": np.tile(edges["a"], len(draws)), "b": np.tile(edges["b"], len(draws)), "pa": one.ravel(), "pb": two.ravel(), **{f"at_{k}": np.tile(edges[f"i_{k}"] + edges[f"offset_{k}"], len(draws)) for k in "ab"}})
 
     kinds = dict(met.dtypes)
-    rows = met.mapInPandas(places, f"rep int, a {kinds['a']}, b {kinds['b']}, pa long, pb long")
+    rows = met.mapInPandas(places, f"rep int, a {kinds['a']}, b {kinds['b']}, pa long, pb long, at_a long, at_b long")
     one, two = (nodes.select((F.col("i") + F.col("offset")).alias(f"p{k}"), F.col("value").alias(f"v_{k}")) for k in "ab")
-    return rows.join(one, "pa").join(two, "pb").select("rep", "a", "b", F.abs(F.col("v_a") - F.col("v_b")).alias("delta"))
+    return rows.join(one, "pa").join(two, "pb").select("rep", "a", "b", "at_a", "at_b", F.abs(F.col("v_a") - F.col("v_b")).alias("delta"))
 
 
 def permutation_null(nodes: DataFrame, edges: DataFrame, least: float, times: int, group: str | None = None, seed: int = 42) -> DataFrame:
@@ -137,8 +137,7 @@ def far_edges(nodes: DataFrame, edges: DataFrame, least: float, times: int, grou
 
     if table is None:
         rows = _dealt(nodes, met, times, seed, wanted).filter(F.col("delta") >= least)
-        mark = lots(F.col("rep").cast("long"), F.col("i_a") + F.col("offset_a"), F.col("i_b") + F.col("offset_b"))
-        rows = rows.join(met.select("a", "b", *(f"{c}_{k}" for k in "ab" for c in ("i", "offset"))), ["a", "b"])
+        mark = lots(F.col("rep").cast("long"), F.col("at_a"), F.col("at_b"))
         return rows.select("rep", "a", "b", F.when(F.col("rep") > 0, mark).otherwise(0).alias("lot"))
 
     def far(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

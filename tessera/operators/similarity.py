@@ -55,53 +55,63 @@ def sign_bits(vector: Column, size: int = 64) -> Column:
 
 
 #: Rows of a block where all blocks meet; what a shuffled row costs in compared pairs; neighbours of a chunk's value at most.
-BLOCK_ROWS, ROW_COST, MOST_NEIGHBOURS = 4096, 20, 4096
+BLOCK_ROWS, ROW_COST, MOST_NEIGHBOURS = 4096, 10, 4096
 
 
-def chunk_plan(size: int, most_set: int, rows: int, num: int, den: int) -> tuple[int, int] | None:
-    """Chunks and radius at which sets of at most ``most_set`` of ``size`` bits meet most cheaply; None where all blocks meeting is cheaper.
+def chunk_plan(size: int, sizes: dict[int, int], num: int, den: int) -> int | None:
+    """The number of chunks at which sets of ``size`` bits (``sizes``: set bits -> sets) meet most cheaply; None where all blocks meeting is cheaper.
 
-    Sets that reach the threshold differ in at most d bits, so of m chunks one differs in at
-    most d // m (the pigeonhole rule). More chunks: fewer neighbours, larger buckets.
+    A set of n bits differs from one that is no larger and reaches the threshold in at most
+    d(n) bits, so of m chunks one differs in at most d(n) // m (the pigeonhole rule). Fewer
+    chunks: more neighbours of each, smaller buckets.
     """
-    differ = (den - num) * 2 * most_set // (den + num)
+    rows = sum(sizes.values())
     best, least = None, rows * rows / 2 + rows * ROW_COST * (rows / BLOCK_ROWS + 1)
     for m in range(1, size + 1):
-        width, radius = size // m, differ // m
-        near = sum(math.comb(-(-size // m), k) for k in range(min(radius, width) + 1))
-        if radius >= width or near > MOST_NEIGHBOURS:
+        width = -(-size // m)
+        near = {n: sum(math.comb(width, k) for k in range(min(differ(n, num, den) // m, width) + 1)) for n in sizes}
+        if max(near.values(), default=1) > MOST_NEIGHBOURS or any(differ(n, num, den) // m >= size // m for n in sizes):
             continue
-        cost = rows * m * (1 + near) * ROW_COST + rows * rows * m * near / 2 ** (width + 1)
+        probes = sum(k * near[n] for n, k in sizes.items())
+        cost = m * (rows + probes) * ROW_COST + m * rows * probes / 2 ** (size // m + 1)
         if cost < least:
-            best, least = (m, radius), cost
+            best, least = m, cost
     return best
 
 
+def differ(n, num: int, den: int):
+    """Bits by which a set of n differs at most from one no larger that reaches the threshold; for numbers and columns."""
+    return (den - num) * 2 * n // (den + num) if isinstance(n, int) else F.floor(n * ((den - num) * 2) / (den + num)).cast("int")
+
+
 def bit_class_pairs(classes: DataFrame, num: int, den: int, size: int = 64, compared: Observation | None = None) -> DataFrame:
-    """Pairs x < y of distinct sets (column bits) with intersection / union >= num / den: x, y, inter, size_x, size_y. Exact.
+    """Pairs of distinct sets (column bits; x the larger, each pair once) with intersection / union >= num / den: x, y, inter, size_x, size_y. Exact.
 
-    Sets meet on chunks of their bits, one side with all values within the radius, and a pair
+    Sets meet on chunks of their bits, the larger with all values within its radius, and a pair
     counts at its first chunk; where the threshold is so low that this saves nothing, blocks
     of rows meet, each two once. ``compared`` observes the pairs that are compared (as n).
     """
     rows = classes.select("bits", F.bit_count("bits").alias("n"))
-    total, most = rows.agg(F.count("*"), F.max("n")).first()
-    plan = chunk_plan(size, most or 0, total, num, den)
+    sizes = {r["n"]: r["k"] for r in rows.groupBy("n").agg(F.count("*").alias("k")).collect()}  # at most as many as bits
+    total, m = sum(sizes.values()), chunk_plan(size, sizes, num, den)
     x, y = (rows.select(F.col("bits").alias(k), F.col("n").alias(f"size_{k}")) for k in "xy")
-    if plan:
-        m, radius = plan
+    if m:
+        radius = max(differ(n, num, den) // m for n in sizes)
         low = [size * j // m for j in range(m + 1)]
-        mask = lambda j: (1 << (low[j + 1] - low[j])) - 1
+        signed = lambda x: x - (1 << 64) if x >> 63 else x
+        mask = lambda j: signed((1 << (low[j + 1] - low[j])) - 1)
         cut = lambda c, j: F.shiftrightunsigned(c, low[j]).bitwiseAND(F.lit(mask(j)).cast("long"))
-        flips = [[sum(1 << b for b in on) for k in range(radius + 1) for on in itertools.combinations(range(low[j + 1] - low[j]), k)] for j in range(m)]
-        near = lambda j: F.transform(F.from_json(F.lit(json.dumps(flips[j])), "array<bigint>"), lambda f: F.struct(F.lit(j).alias("j"), cut(F.col("x"), j).bitwiseXOR(f).alias("v")))
-        one = x.select("*", F.explode(F.flatten(F.array(*(near(j) for j in range(m))))).alias("c")).select("x", "size_x", "c.*")
+        flips = [[signed(sum(1 << b for b in on)) for k in range(radius + 1) for on in itertools.combinations(range(low[j + 1] - low[j]), k)] for j in range(m)]
+        own = lambda j: F.filter(F.from_json(F.lit(json.dumps(flips[j])), "array<bigint>"), lambda f: F.bit_count(f) <= F.col("radius"))
+        near = lambda j: F.transform(own(j), lambda f: F.struct(F.lit(j).alias("j"), cut(F.col("x"), j).bitwiseXOR(f).alias("v")))
+        one = x.withColumn("radius", F.floor(differ(F.col("size_x"), num, den) / m).cast("int")).select("*", F.explode(F.flatten(F.array(*(near(j) for j in range(m))))).alias("c")).select("x", "size_x", "radius", "c.*")
         two = y.select("*", F.explode(F.array(*(F.struct(F.lit(j).alias("j"), cut(F.col("y"), j).alias("v")) for j in range(m)))).alias("c")).select("y", "size_y", "c.*")
-        met = one.join(two, ["j", "v"]).filter((F.col("x") < F.col("y")) & (F.least("size_x", "size_y") * den >= F.greatest("size_x", "size_y") * num))
+        larger = (F.col("size_x") > F.col("size_y")) | ((F.col("size_x") == F.col("size_y")) & (F.col("x") < F.col("y")))
+        met = one.join(two, ["j", "v"]).filter(larger & (F.col("size_y") * den >= F.col("size_x") * num))
         other = F.col("x").bitwiseXOR(F.col("y"))
         first = F.lit(True)
         for j in range(m - 1):
-            first = first & ((F.col("j") <= j) | (F.bit_count(cut(other, j)) > radius))
+            first = first & ((F.col("j") <= j) | (F.bit_count(cut(other, j)) > F.col("radius")))
         met = met.filter(first)
     else:
         blocks = max(8, -(-total // BLOCK_ROWS))

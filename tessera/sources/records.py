@@ -13,7 +13,7 @@ _CLOSED = rf'(?:"{_INSIDE}"[^,]*+|[^",][^,]*+|)'
 def _ends_inside(value: Column, inside: bool) -> Column:
     """Whether a line ends within a quoted field, if it begins ``inside`` one or not."""
     if inside:
-        return value.rlike(rf'^{_INSIDE}(?:"[^,]*+(?:,{_CLOSED})*+,"{_INSIDE})?$')
+        return value.rlike(rf'^{_INSIDE}(?:"[^,]*+(?:,{_CLOSED}(?=,))*+,"{_INSIDE})?$')
     return value.rlike(rf'^(?:{_CLOSED},)*+"{_INSIDE}$')
 
 
