@@ -32,7 +32,7 @@ def folder_label(path: Column, prefix: str = "pubchem_") -> Column:
 
 
 def fields(line: Column, names: list[str]) -> Column:
-    """Struct of a CSV line's fields as strings, trimmed; an empty field is empty, a missing one null."""
+    """Struct of a CSV line's fields as strings, trimmed; an empty field is null as a missing one is, a quoted empty one is empty."""
     schema = ", ".join(f"`{n}` string" for n in names)
     options = {"quote": '"', "escape": '"', "nullValue": "\0", "emptyValue": "", "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
     return F.from_csv(line, F.lit(schema), options)
