@@ -34,7 +34,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import bounded_batches, counted, durable, free_names, if_small
@@ -263,23 +263,43 @@ def _small_pairs(side: DataFrame, percent: int) -> DataFrame:
     return met.select(F.col("node_a").alias("a"), F.col("node").alias("b"), F.lit(False).alias("large"), "label_a", "label").distinct()
 
 
-def _large_links(side: DataFrame, differences: DataFrame, percent: int) -> DataFrame:
-    """Links (label_a, label) between members of a large bucket in two components, by their differences from its pivot.
+def _large_links(side: DataFrame, differences: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links (label_a, label) between members of large buckets in two components, by their differences from the pivot they share.
 
-    For x and y with the same pivot the intersection has
-    n(pivot) - |lacks of x or y| + |adds of x and y| members, exactly.
+    x and y differ in |Dx| + |Dy| - 2 |Dx & Dy| shingles, D being a set's difference from the
+    pivot, and are linked if that is at most c (n + m), c = (100 - percent) / (100 + percent).
+    Pairs that need no common difference all meet in one member, the one of least |D| - c n.
+    The others share one of their rarest differences (prefix filter): a member that is not
+    in the pivot's component has |D| > c (n + base), which bounds from below what is shared,
+    so that members meet on few and rare ones only; they are then verified on all of D.
     """
-    largest = side.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("l"))
-    side = side.join(if_small(*counted(largest.select("bucket", F.col("l.label").alias("main")))), "bucket")
-    side = side.join(differences, ["pivot", "node"]).select("bucket", "node", "n", "label", "main", "base", "lacks", "adds")
-    few = side.filter(F.col("label") != F.col("main")).select("bucket", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "lacks", "adds")))
-    (n, m), (lacks, lacks_a), (adds, adds_a) = ((F.col(c), F.col(f"{c}_a")) for c in ("n", "lacks", "adds"))
-    either = F.size(lacks) + F.size(lacks_a)
-    most = F.col("base") - either + F.least(F.size(lacks), F.size(lacks_a)) + F.least(F.size(adds), F.size(adds_a))
-    both = F.col("base") - either + F.size(F.array_intersect(lacks, lacks_a)) + F.size(F.array_intersect(adds, adds_a))
-    once = (F.col("label") == F.col("main")) | (F.col("node_a") < F.col("node"))
-    met = few.join(side, "bucket").filter((F.col("label_a") != F.col("label")) & once & _reaches(most, n, m, percent) & _reaches(both, n, m, percent))
-    return met.select("label_a", "label").distinct()
+    r, q = 100 - percent, 100 + percent
+    main = labels.select(F.col("node").alias("pivot"), F.col("label").alias("main"))
+    rows = side.select("pivot", "node", "n", "label").distinct().join(differences, ["pivot", "node"]).join(main, "pivot", "left")
+    rows = rows.select("pivot", "node", "n", "label", F.coalesce("main", "pivot").alias("main"), "base", F.concat("lacks", "adds").alias("diff")).withColumn("d", F.size("diff").cast("long"))
+    rows = durable(rows)
+    d, n = F.col("d"), F.col("n")
+
+    spare = q * d - r * n
+    stars = rows.groupBy("pivot").agg(F.min(F.struct(spare.alias("spare"), "label")).alias("own"), F.min(F.struct((-r * F.col("base")).alias("spare"), F.col("main").alias("label"))).alias("at"))
+    stars = stars.select("pivot", F.least("own", "at").alias("star"))
+    near = rows.join(if_small(*counted(stars)), "pivot").filter((F.col("star.spare") + spare <= 0) & (F.col("star.label") != F.col("label"))).select(F.col("star.label").alias("label_a"), "label")
+
+    each = rows.select("pivot", "node", "n", "label", "main", "base", "d", F.explode("diff").alias("e"))
+    shared = each.groupBy("pivot", "e").agg(F.count("*").alias("k")).filter("k > 1")
+    alone = F.ceil(d - r * n / percent)  # what is shared at least, whatever the other one
+    with_other = F.ceil((q * d + r * (F.col("base") - n)) / (2 * q))  # ... if the other one is not in the pivot's component
+    own = Window.partitionBy("pivot", "node")
+    ranked = each.join(shared, ["pivot", "e"])
+    ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("k", "e")) + d - F.count("*").over(own))  # after those that none shares
+    ranked = durable(ranked.filter(F.col("place") <= d - F.greatest(F.lit(1), alone) + 1))
+    probes = ranked.filter("label <> main").select("pivot", "e", F.col("node").alias("node_a"), F.col("label").alias("label_a"))
+    held = ranked.filter(F.col("place") <= d - F.greatest(F.lit(1), alone, with_other) + 1).select("pivot", "e", "node", "label")
+    met = probes.join(held, ["pivot", "e"]).filter("label_a <> label").select("pivot", "node_a", "node").distinct()
+    other = rows.select("pivot", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "d", "diff")))
+    both = met.join(other, ["pivot", "node_a"]).join(rows.select("pivot", "node", "n", "label", "d", "diff"), ["pivot", "node"])
+    linked = both.filter(2 * q * F.size(F.array_intersect("diff", "diff_a")) >= q * (d + F.col("d_a")) - r * (n + F.col("n_a"))).select("label_a", "label")
+    return near.union(linked).distinct()
 
 
 def _identity(key: Column, text: Column) -> list[Column]:
@@ -334,7 +354,7 @@ def _labels(df: DataFrame, text: Column, key: Column, classes: DataFrame, width:
         found = _met(_small_pairs(side.filter(~F.col("large")), percent), sets)
         found = found.filter(_reaches(F.col("both"), F.col("n_a"), F.col("n_b"), percent)).select("label_a", "label")
         differences = met.filter("large").select(F.col("a").alias("pivot"), F.col("b").alias("node"), F.col("n_a").alias("base"), "lacks", "adds")
-        found = found.union(_large_links(side.filter("large"), differences, percent))
+        found = found.union(_large_links(side.filter("large"), differences, labels, percent))
         merged, k = counted(components(found.toDF("a", "b")).toDF("label", "new"))
         if k:  # classes that only the second round linked are labels of their own
             old = labels.join(if_small(merged, k), "label", "left").select("node", F.coalesce("new", "label").alias("label"))

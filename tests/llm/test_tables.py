@@ -376,3 +376,42 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert {"doc_id", "n_tokens", "ids"} <= set(docs.columns) and len(before) > 20
     ran = corpus_pipeline.run(spark, sf_dir)
     assert {r["doc_id"]: r["n_tokens"] for r in ran.collect()} == {r["doc_id"]: r["n_tokens"] for r in docs.collect()}
+
+
+def boilerplate(n, rnd, words=750, common=600):
+    """``n`` documents of mostly the same words, every second one a near copy of the one before."""
+    shared, out = [f"c{i}" for i in range(common)], []
+    while len(out) < n:
+        own = [f"w{rnd.randrange(10**9)}" for _ in range(words - common)]
+        out.append(" ".join(shared + own))
+        for k in rnd.sample(range(words - common), 3):
+            own[k] = f"v{rnd.randrange(10**9)}"
+        out.append(" ".join(shared + own))
+    return out[:n]
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_large_buckets_of_common_text_equal_brute_force(spark, monkeypatch, percent):
+    """Shares of common text around the threshold, in buckets that count as large."""
+    monkeypatch.setattr(minhash, "LARGE", 3)
+    rnd = random.Random(percent)
+    texts = []
+    for common in (60, 85, 90, 93):
+        shared = [f"c{i}" for i in range(common)]
+        for _ in range(14):
+            own = [f"w{rnd.randrange(10**9)}" for _ in range(100 - common)]
+            texts.append(" ".join(shared + own + [f"t{rnd.randrange(6)}"] * rnd.randint(0, 9)))
+            if rnd.random() < 0.4:
+                cut = rnd.randint(0, 30)
+                texts.append(" ".join((shared + own)[cut:]))
+    rnd.shuffle(texts)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.duplicate_classes(frame(spark, texts).select("doc_id", "text"), width=3, percent=percent).collect()}
+    sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both * 100 >= (len(sets[i]) + len(sets[j]) - both) * percent:
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    assert got == dict(enumerate(label))
