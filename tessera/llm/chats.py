@@ -75,10 +75,11 @@ def collapse(turns: DataFrame, segment_turns: int | None = SEGMENT) -> DataFrame
     last = last.groupBy("place", "s1", "s2").agg(F.min("conv").alias("conv"), F.count("*").alias("copies"))
     before = rows.filter("place > 1").select((F.col("place") - 1).alias("place"), F.col("b1").alias("s1"), F.col("b2").alias("s2")).distinct()
     kept = last.join(before, ["place", "s1", "s2"], "left_anti").select("conv", "copies", F.col("place").alias("n_turns"))
-    made = rows.select("conv", "place", render(F.col("role"), F.col("text")).alias("line")).join(kept, "conv")
-    segment = F.floor((F.col("place") - 1) / segment_turns).cast("int") if segment_turns else F.lit(0)
-    made = made.withColumn("segment", segment)
-    made = made.groupBy("conv", "segment", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    segment = lambda place: F.floor((place - 1) / segment_turns).cast("int") if segment_turns else F.lit(0)
+    made = rows.select("conv", "place", render(F.col("role"), F.col("text")).alias("line")).withColumn("segment", segment(F.col("place")))
+    # a row for each segment of a kept conversation, so that turns meet by segment and never by conversation
+    kept = kept.select("*", F.explode(F.sequence(F.lit(0), segment(F.col("n_turns")))).alias("segment"))
+    made = made.join(kept, ["conv", "segment"]).groupBy("conv", "segment", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
     text = F.array_join(F.col("lines.line"), "")
     return made.select("conv.conv_id", "segment", F.col("n_turns").cast("long").alias("n_turns"), "copies", text.alias("text"))
 

@@ -146,6 +146,22 @@ def test_long_conversations_are_ordered_in_parts(spark, monkeypatch):
     assert {r["conv_id"]: r["text"] for r in got} == {1: "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for _, t in turns), 9: "<|im_start|>user\nother<|im_end|>\n"}
 
 
+def test_a_long_conversation_meets_by_segment(spark):
+    """No exchange of texts is by conversation alone, so that one of most turns spreads over its segments."""
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(2000)] + [(c, i, "user", f"{c} {i}") for c in range(2, 12) for i in range(2)]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        made = chats.collapse(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert "hashpartitioning(conv#" in plan and all(", segment#" in part[:60] for part in plan.split("hashpartitioning(conv#")[1:] if "line#" in part.split("Exchange")[0])
+        got = {(r["conv_id"], r["segment"]): r for r in made.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(k[1] for k in got if k[0] == 1) == [0, 1, 2, 3]
+    text = "".join(got[1, s]["text"] for s in range(4))
+    assert text == "".join(f"<|im_start|>{r}\n{t}<|im_end|>\n" for _, _, r, t in rows[:2000]) and len(got) == 14
+
+
 def test_chats_edges(spark):
     schema = "conv_id long, turn int, role string, text string, place int"
     rows = [(None, 1, "user", "a", 0), (None, None, None, None, 0), (1, 1, "user", "a", 0), (2, 1, None, "a", 0), (3, 1, "", "a", 0)]

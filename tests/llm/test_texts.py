@@ -407,3 +407,33 @@ def test_decontamination_cases(spark):
     kept = D.drop_leaks(docs, bench)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 6]
     assert D.leaks(docs, bench.limit(0)).count() == 0 and D.leaks(docs.limit(0), bench).count() == 0
+
+
+def test_license_scan_equals_all_rules_without_prefilter():
+    """Labels, spans, tiers and score against every rule's regex on the whole text and a quadratic resolver."""
+    rnd = random.Random(21)
+    rules = license_rules.RULES
+    plain = [r.pattern for r in rules if not re.search(r"[()\[\]?.{}|\\]", r.pattern)]
+    names = ["apache license version 2 0", "gnu general public license version 3", "mit", "bsd 3 clause", "mozilla public license 2 0", "creative commons attribution 4 0", "isc", "eclipse public license"]
+    frames = ["licensed under the terms of the {} license", "spdx license identifier mit", "see the {} license", "{} licensed", "released under {}", "under the {} licence"]
+    assert len(plain) > 100
+    for turn in range(250):
+        parts = []
+        for _ in range(rnd.randint(0, 6)):
+            part = rnd.choice([rnd.choice(plain), rnd.choice(frames).format(rnd.choice(names)), " ".join(rnd.choice(["the", "software", "code", "x9", "permission", "license"]) for _ in range(rnd.randint(1, 9)))])
+            words = part.split()
+            parts.append(" ".join(words[rnd.randint(0, 1) :] if rnd.random() < 0.3 else words))
+        text = rnd.choice([" ", "\n", ", ", " -- "]).join(parts)
+        joined = "".join(f" {w}" for w in text.lower().replace("\n", " ").replace(",", " ").replace("-", " ").split()) + " "
+        spots = [(m.start(), m.end(), i) for i, r in enumerate(rules) for m in license_rules.compiled(r).finditer(joined)]
+        kept = []
+        for s, e, i in sorted(spots, key=lambda x: (rules[x[2]].tier, x[0], -x[1], x[2])):
+            if not any(a <= s and e <= b for a, b, _ in kept):
+                kept.append((s, e, i))
+        got = licenses.scan(text)
+        base = {rules[i].label for _, _, i in spots if rules[i].base}
+        assert got[1] == sum(rules[i].base for _, _, i in spots) and got[4] == ",".join(sorted(base))
+        assert got[5] == ",".join(sorted(base | {rules[i].label for _, _, i in kept}))
+        assert got[6] == max((rules[i].confidence for _, _, i in kept), default=0.0)
+        place = lambda p: joined[:p].count(" ") - 1  # noqa: E731, B023
+        assert sorted(got[7]) == sorted((rules[i].label, place(s), place(e) + 1, rules[i].confidence, rules[i].tier) for s, e, i in kept)
