@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import free_names
+
 
 def claim(metric: str, claimed: Column, actual: Column, tolerance: float | None = 0.0) -> Column:
     """Struct metric, claimed, actual, status: PASS within the tolerance, FAIL beyond, INFO without one."""
@@ -38,7 +40,10 @@ def offenders(df: DataFrame, key: str, value: str, k: int = 10) -> DataFrame:
     pairs = df.filter(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("k"))
     made = pairs.groupBy(key).agg(F.count("*").alias("n_values"), F.sum("k").alias("n_rows")).filter("n_values > 1")
     top = made.orderBy(F.desc("n_values"), key).limit(k)
-    values = pairs.join(F.broadcast(top.select(key)), key, "left_semi").groupBy(key).agg(F.slice(F.sort_array(F.collect_set(value)), 1, 5).alias("examples"))  # k keys
+    (place,) = free_names(pairs, 1)
+    values = pairs.join(F.broadcast(top.select(key)), key, "left_semi")  # k keys
+    values = values.withColumn(place, F.row_number().over(Window.partitionBy(key).orderBy(value))).filter(F.col(place) <= 5)  # tasks keep five each before the shuffle
+    values = values.groupBy(key).agg(F.sort_array(F.collect_list(value)).alias("examples"))
     return top.join(F.broadcast(values), key)
 
 

@@ -7,11 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import free_names
+
 
 def pick(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row of each key, the first in the order; the order must tell all rows apart."""
     w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    (n,) = free_names(df, 1)
+    return df.withColumn(n, F.row_number().over(w)).filter(F.col(n) == 1).drop(n)
 
 
 def first_wins(df: DataFrame, keys: list[str], value: str, order: list[str]) -> DataFrame:
@@ -26,8 +29,9 @@ def last_wins(df: DataFrame, keys: list[str], value: str, order: list[str]) -> D
 
 def mark(df: DataFrame, other: DataFrame, key: str, name: str) -> DataFrame:
     """``df`` with whether its key is in ``other``."""
-    there = other.select(key).distinct().withColumn("_in", F.lit(True))
-    return df.join(there, key, "left").withColumn(name, F.col("_in").isNotNull()).drop("_in")
+    (held,) = free_names(df, 1, name)
+    there = other.select(key).distinct().withColumn(held, F.lit(True))
+    return df.join(there, key, "left").withColumn(name, F.col(held).isNotNull()).drop(held)
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str, value: str) -> DataFrame:
@@ -63,23 +67,23 @@ def pair_key(a: Column, b: Column) -> Column:
 
 def first_found(df: DataFrame, keys: list[str], tables: list[tuple[str, DataFrame]], computed: dict[str, Column]) -> DataFrame:
     """``df`` with the columns of ``computed`` from the first of ``tables`` (name, rows unique by ``keys``) that has the key, else as computed; and ``found_in``."""
-    made, marks = df, []
-    for i, (name, rows) in enumerate(tables):
-        made = made.join(rows.select(*keys, F.struct(*computed).alias(f"_{i}")), keys, "left")
-        marks.append((F.col(f"_{i}").isNotNull(), name))
+    made, marks, own_names = df, [], free_names(df, len(tables), "found_in", *computed)
+    for at, (name, rows) in zip(own_names, tables):
+        made = made.join(rows.select(*keys, F.struct(*computed).alias(at)), keys, "left")
+        marks.append((F.col(at).isNotNull(), name))
     found = F.coalesce(*(F.when(there, F.lit(name)) for there, name in marks), F.lit("computed"))
     values = {}
     for c, own in computed.items():
         picked = own
-        for i in reversed(range(len(tables))):
-            picked = F.when(F.col(f"_{i}").isNotNull(), F.col(f"_{i}.{c}")).otherwise(picked)
+        for at in reversed(own_names):
+            picked = F.when(F.col(at).isNotNull(), F.col(f"{at}.{c}")).otherwise(picked)
         values[c] = picked
     return made.select(*df.columns, *(v.alias(c) for c, v in values.items()), found.alias("found_in"))
 
 
 def shares_any(pairs: DataFrame, members: DataFrame, key: str, item: str) -> DataFrame:
-    """Pairs (a, b) with ``shared``: whether their sets of items overlap. Sets are of one key each."""
-    sets = members.groupBy(key).agg(F.collect_set(item).alias("items"))
-    for k in "ab":
-        pairs = pairs.join(sets.select(F.col(key).alias(k), F.col("items").alias(f"items_{k}")), k, "left")
-    return pairs.withColumn("shared", F.coalesce(F.arrays_overlap("items_a", "items_b"), F.lit(False))).drop("items_a", "items_b")
+    """Pairs (a, b) with ``shared``: whether their sets of items overlap. Items of one end are looked up at the other, so that no set is gathered."""
+    own = members.select(F.col(key).alias("k"), F.col(item).alias("i")).filter("k IS NOT NULL AND i IS NOT NULL").distinct()
+    met = pairs.select("a", "b").distinct().join(own.withColumnRenamed("k", "a"), "a").join(own.withColumnRenamed("k", "b"), ["b", "i"], "left_semi")
+    (held,) = free_names(pairs, 1, "shared")
+    return pairs.join(met.select("a", "b").distinct().withColumn(held, F.lit(True)), ["a", "b"], "left").withColumn("shared", F.col(held).isNotNull()).drop(held)

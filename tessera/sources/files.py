@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.joins import free_names
 from tessera.sources.records import join_broken_lines
 
 #: The header stands within so many lines.
@@ -85,7 +86,8 @@ def with_registry(rows: DataFrame, registry: DataFrame) -> DataFrame:
 def cap_by_source(df: DataFrame, source: str, order: list[str], n: int) -> DataFrame:
     """Dry run: the first ``n`` rows of each source."""
     w = Window.partitionBy(source).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= n).drop("_n")
+    (place,) = free_names(df, 1)
+    return df.withColumn(place, F.row_number().over(w)).filter(F.col(place) <= n).drop(place)
 
 
 def inventory(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:

@@ -311,3 +311,19 @@ def test_versions_survive_a_writer_that_is_killed(spark, tmp_path):
     gone = t.expire(keep=1)
     assert lost in gone and t.versions() == [2] and t.read().count() == 2
     assert versions.VersionedTable(spark, path).read().count() == 2
+
+
+def test_names_of_the_caller_stay(spark):
+    """Operators keep columns named like their own helpers."""
+    from tessera.operators import lookup
+
+    df = spark.createDataFrame([(1, 5, "x", 9), (1, 4, "y", 8), (2, 3, "z", 7)], "k int, v int, __t0 string, _n int")
+    assert sorted(map(tuple, lookup.pick(df, ["k"], [F.col("v")]).collect())) == [(1, 4, "y", 8), (2, 3, "z", 7)]
+    marked = lookup.mark(df, spark.createDataFrame([(2, "q")], "k int, _in string"), "k", "there")
+    assert sorted((r["__t0"], r["there"]) for r in marked.collect()) == [("x", False), ("y", False), ("z", True)]
+    made = lookup.first_found(df, ["k"], [("one", spark.createDataFrame([(1, 50)], "k int, w int"))], {"w": F.col("v")})
+    assert sorted((r["__t0"], r["w"], r["found_in"]) for r in made.collect()) == [("x", 50, "one"), ("y", 50, "one"), ("z", 3, "computed")]
+    assert files.cap_by_source(df, "k", ["v"], 1).columns == df.columns
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (1, 2)], "a int, b int")
+    items = spark.createDataFrame([(1, "i"), (1, "j"), (2, "j"), (3, "k"), (4, None)], "k int, i string")
+    assert sorted(map(tuple, lookup.shares_any(pairs, items, "k", "i").collect())) == [(1, 2, True), (1, 2, True), (1, 3, False), (4, 1, False)]
