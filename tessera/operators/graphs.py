@@ -126,17 +126,17 @@ def common_part(a: Column, b: Column) -> Column:
     return part(a, b)
 
 
-def connected_subset(subset: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, n_nodes, connected): whether the nodes of ``subset`` (graph, node) hang together by edges among themselves.
+def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, node, least): the smallest node that each of ``nodes`` (graph, node) hangs together with, by edges among them.
 
     The smallest node spreads along the edges until nothing changes, so there are as many
     rounds as the longest shortest way; each is a written table.
     """
-    spark = subset.sparkSession
+    spark, nodes = nodes.sparkSession, nodes.select("graph", "node").distinct()
     folder, k = scratch(spark, "connected"), 0
     ends = directed(edges).select("graph", "node", "other")
-    ends = ends.join(subset, ["graph", "node"], "left_semi").join(subset.select("graph", F.col("node").alias("other")), ["graph", "other"], "left_semi")
-    labels = subset.distinct().withColumn("least", F.col("node"))
+    ends = ends.join(nodes, ["graph", "node"], "left_semi").join(nodes.select("graph", F.col("node").alias("other")), ["graph", "other"], "left_semi")
+    labels = nodes.withColumn("least", F.col("node"))
     while True:
         told = ends.join(labels.select("graph", F.col("node").alias("other"), "least"), ["graph", "other"]).groupBy("graph", "node").agg(F.min("least").alias("told"))
         seen = Observation()
@@ -145,4 +145,83 @@ def connected_subset(subset: DataFrame, edges: DataFrame) -> DataFrame:
         made.write.parquet(f"{folder}/{k}")
         labels, k = spark.read.schema(made.schema).parquet(f"{folder}/{k}"), k + 1
         if not seen.get["moved"]:
-            return labels.groupBy("graph").agg(F.count("*").alias("n_nodes"), (F.min("least") == F.max("least")).alias("connected"))
+            return labels
+
+
+def connected_subset(subset: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, n_nodes, connected): whether the nodes of ``subset`` (graph, node) hang together by edges among themselves."""
+    return component_labels(subset, edges).groupBy("graph").agg(F.count("*").alias("n_nodes"), (F.min("least") == F.max("least")).alias("connected"))
+
+
+def holding(nodes: DataFrame, edges: DataFrame, labels: list[str | None], bonds: list[tuple[int, int, str | None]]) -> DataFrame:
+    """(graph): graphs that hold a pattern of nodes ``labels`` (None: any) and ``bonds`` (i, j, label or None), each on a node of its own.
+
+    Bonds are joined in turn; each must have an end among the nodes that are placed before it.
+    """
+    ends = directed(edges)
+    own = nodes.select("graph", F.col("node").alias("v0"), F.col("label").alias("l0"))
+    rows, placed = (own.filter(F.col("l0") == labels[0]) if labels[0] else own).drop("l0"), {0}
+    for i, j, bond in bonds:
+        i, j = (i, j) if i in placed else (j, i)
+        step = ends.filter(F.col("bond") == bond) if bond else ends
+        step = step.select("graph", F.col("node").alias(f"v{i}"), F.col("other").alias(f"v{j}"))
+        if j in placed:
+            rows = rows.join(step, ["graph", f"v{i}", f"v{j}"], "left_semi")
+            continue
+        rows = rows.join(step, ["graph", f"v{i}"])
+        for k in placed - {i}:
+            rows = rows.filter(F.col(f"v{k}") != F.col(f"v{j}"))
+        if labels[j]:
+            rows = rows.join(nodes.filter(F.col("label") == labels[j]).select("graph", F.col("node").alias(f"v{j}")), ["graph", f"v{j}"], "left_semi")
+        placed.add(j)
+    return rows.select("graph").distinct()
+
+
+def first_held(nodes: DataFrame, edges: DataFrame, patterns: list[tuple[str, list, list]], otherwise: str = "other") -> DataFrame:
+    """(graph, pattern): the name of the first pattern (name, labels, bonds) that a graph holds."""
+    every = nodes.select("graph").distinct().withColumns({"rank": F.lit(len(patterns)), "pattern": F.lit(otherwise)})
+    for i, (name, labels, bonds) in enumerate(patterns):
+        every = every.unionByName(holding(nodes, edges, labels, bonds).withColumns({"rank": F.lit(i), "pattern": F.lit(name)}))
+    return every.groupBy("graph").agg(F.min_by("pattern", "rank").alias("pattern"))
+
+
+def single_cuts(nodes: DataFrame, edges: DataFrame, radius: int = 2) -> DataFrame:
+    """(graph, a, b, core, rest, n_core, n_rest): both parts of a graph for each edge that holds it together.
+
+    The core is the part with more nodes (ties: the one of the smallest node); ``core`` and
+    ``rest`` are digests of the parts, with the place of the cut marked. Each edge's cut is a
+    copy of its graph without it, so this is for small graphs.
+    """
+    cuts = edges.select("graph", "a", "b").withColumn("cut", F.struct("graph", "a", "b"))
+    of = cuts.select("graph", "cut")
+    left = of.join(edges, "graph").filter((F.col("a") != F.col("cut.a")) | (F.col("b") != F.col("cut.b"))).select(F.col("cut").alias("graph"), "a", "b", "label")
+    own = of.join(nodes, "graph").select(F.col("cut").alias("graph"), "node", F.concat("label", F.when(F.col("node").isin(F.col("cut.a"), F.col("cut.b")), "*").otherwise("")).alias("label"))
+    whole = component_labels(nodes, edges).select("graph", "node", F.col("least").alias("before"))
+    parts = component_labels(own, left).select(F.col("graph").alias("cut"), "node", "least").withColumn("graph", F.col("cut.graph")).join(whole, ["graph", "node"])
+    # of the component that had the edge, the part of each end
+    ends = parts.filter(F.col("node").isin(F.col("cut.a"), F.col("cut.b"))).groupBy("cut").agg(F.min("least").alias("one"), F.max("least").alias("two")).filter("one < two")
+    held = parts.join(ends, "cut").filter(F.col("least").isin(F.col("one"), F.col("two")))
+    sizes = held.groupBy("cut", "least").agg(F.count("*").alias("n"))
+    codes = environments(own, left, radius).select(F.col("graph").alias("cut"), "node", f"code{radius}")
+    keys = held.join(codes, ["cut", "node"]).groupBy("cut", "least").agg(F.md5(F.array_join(F.sort_array(F.collect_list(f"code{radius}")), "|")).alias("key"))
+    made = sizes.join(keys, ["cut", "least"]).groupBy("cut").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("less"), "least", "key"))).alias("p"))
+    return made.select("cut.*", F.col("p")[0]["key"].alias("core"), F.col("p")[1]["key"].alias("rest"), (-F.col("p")[0]["less"]).alias("n_core"), (-F.col("p")[1]["less"]).alias("n_rest"))
+
+
+def descriptors(nodes: DataFrame, edges: DataFrame, masses: dict[str, float], hetero: list[str]) -> DataFrame:
+    """(graph, mass, n_nodes, n_bonds, parts, rings, core_nodes, hetero, ends, plain_share): numbers of each graph.
+
+    rings: bonds - nodes + parts; core_nodes: those in rings or between them; ends: nodes of
+    one bond or none; plain_share: of the carbon nodes those with bonds "-" only.
+    """
+    weight = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for pair in masses.items() for x in pair)), F.col("label")), F.lit(0.0))
+    bonds = directed(edges).groupBy("graph", "node").agg(F.count("*").alias("k"), F.bool_and(F.col("bond") == "-").alias("plain"))
+    core = directed(two_core(edges)).select("graph", "node", F.lit(1).alias("core")).distinct()
+    rows = nodes.join(bonds, ["graph", "node"], "left").join(core, ["graph", "node"], "left").join(component_labels(nodes, edges), ["graph", "node"])
+    carbon, plain = F.col("label") == "C", F.coalesce("plain", F.lit(True))
+    made = rows.groupBy("graph").agg(
+        F.sum(weight).alias("mass"), F.count("*").alias("n_nodes"), (F.coalesce(F.sum("k"), F.lit(0)) / 2).cast("long").alias("n_bonds"), F.count_if(F.col("node") == F.col("least")).alias("parts"),
+        F.count("core").alias("core_nodes"), F.count_if(F.col("label").isin(*hetero)).alias("hetero"), F.count_if(F.coalesce("k", F.lit(0)) < 2).alias("ends"),
+        F.try_divide(F.count_if(carbon & plain), F.count_if(carbon)).alias("plain_share"),
+    )
+    return made.withColumn("rings", F.col("n_bonds") - F.col("n_nodes") + F.col("parts"))

@@ -72,7 +72,34 @@ def graph_differences(spark, d):
     return made.select(F.explode(classify.difference_tags(symbols, aromatic, ring)).alias("tag"), F.size("out").alias("n_out")).groupBy("tag").agg(F.count("*").alias("n"), F.sum("n_out").alias("total"))
 
 
-for _f in (graph_fingerprints, graph_similarity, graph_scaffolds, common_parts, graph_differences):
+#: The first that an order's graph holds.
+PATTERNS = [
+    ("chloro_amine", ["Cl", "N"], [(0, 1, "=")]),
+    ("ring_of_three", ["C", None, None], [(0, 1, None), (1, 2, None), (0, 2, None)]),
+    ("dioxy", ["O", "C", "O"], [(0, 1, "-"), (1, 2, "-")]),
+    ("branched", ["C", None, None, None], [(0, 1, None), (0, 2, None), (0, 3, None)]),
+]
+MASSES = {"C": 12.011, "N": 14.007, "O": 15.999, "Cl": 35.45}
+
+
+def graph_patterns(spark, d):
+    nodes, edges = order_graphs(spark, d)
+    return G.first_held(nodes, edges, PATTERNS).groupBy("pattern").agg(F.count("*").alias("n"), F.min("graph").alias("first"))
+
+
+def graph_cuts(spark, d):
+    """Cores that orders share after one cut, with how many different rests they carry."""
+    nodes, edges = order_graphs(spark, d)
+    made = G.single_cuts(nodes, edges, RADIUS)
+    return made.groupBy("core").agg(F.count("*").alias("n"), F.count_distinct("graph").alias("graphs"), F.count_distinct("rest").alias("rests"), F.max("n_core").alias("n_core"))
+
+
+def graph_descriptors(spark, d):
+    nodes, edges = order_graphs(spark, d)
+    return rounded(G.descriptors(nodes, edges, MASSES, ["N", "O"]), "mass", "plain_share")
+
+
+for _f in (graph_fingerprints, graph_similarity, graph_scaffolds, common_parts, graph_differences, graph_patterns, graph_cuts, graph_descriptors):
     QUERIES[_f.__name__] = _f
 
 _GRAPHS = f"""gn AS (SELECT l_orderkey AS graph, l_linenumber AS node, {list(ELEMENTS)}[min(l_suppkey) % {len(ELEMENTS)} + 1] AS label, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2),
@@ -122,4 +149,26 @@ SELECT key, generic, count(*) AS n, min(g.graph) AS first FROM (SELECT DISTINCT
 t AS (SELECT len(out) AS n_out, unnest([CASE WHEN list_has_any(s, ['F', 'Cl', 'Br', 'I']) THEN 'halogen_change' END, CASE WHEN list_has_any(s, ['N', 'O', 'S']) THEN 'heteroatom_change' END, CASE WHEN aromatic THEN 'aromatic_change' END,
   CASE WHEN ring THEN 'ring_modification' END, CASE WHEN len(s) <= 1 THEN 'single_atom' WHEN len(s) <= 4 THEN 'small_substituent' WHEN len(s) <= 8 THEN 'medium_substituent' ELSE 'large_substituent' END, CASE WHEN len(s) > 0 AND len(list_filter(s, lambda x: x <> 'C')) = 0 THEN 'carbon_only' END]) AS tag FROM y)
 SELECT tag, count(*) AS n, sum(n_out)::bigint AS total FROM t WHERE tag IS NOT NULL GROUP BY tag""",
+    "graph_patterns": f"""WITH {_GRAPHS}, e AS (SELECT graph, a AS x, b AS y, label FROM ge UNION ALL SELECT graph, b, a, label FROM ge), w AS (SELECT e.*, x.label AS lx, y.label AS ly FROM e JOIN gn x ON x.graph = e.graph AND x.node = e.x JOIN gn y ON y.graph = e.graph AND y.node = e.y),
+h AS (SELECT graph, 0 AS k FROM w WHERE lx = 'Cl' AND ly = 'N' AND label = '='
+  UNION ALL SELECT p.graph, 1 FROM w p JOIN w q ON q.graph = p.graph AND q.x = p.y JOIN w r ON r.graph = p.graph AND r.x = q.y AND r.y = p.x WHERE p.lx = 'C'
+  UNION ALL SELECT p.graph, 2 FROM w p JOIN w q ON q.graph = p.graph AND q.x = p.y WHERE p.lx = 'O' AND p.ly = 'C' AND q.ly = 'O' AND p.label = '-' AND q.label = '-' AND q.y <> p.x
+  UNION ALL SELECT graph, 3 FROM w WHERE lx = 'C' GROUP BY graph, x HAVING count(*) >= 3
+  UNION ALL SELECT graph, 4 FROM gn), f AS (SELECT graph, min(k) AS k FROM h GROUP BY graph)
+SELECT ['chloro_amine', 'ring_of_three', 'dioxy', 'branched', 'other'][k + 1] AS pattern, count(*) AS n, min(graph) AS first FROM f GROUP BY k""",
+    "graph_cuts": f"""WITH RECURSIVE {_GRAPHS}, c AS (SELECT row_number() OVER (ORDER BY graph, a, b) AS id, graph AS g, a, b FROM ge),
+l AS (SELECT c.id AS graph, e.a, e.b, e.label FROM c JOIN ge e ON e.graph = c.g WHERE e.a <> c.a OR e.b <> c.b), w AS (SELECT graph, a AS x, b AS y FROM l UNION ALL SELECT graph, b, a FROM l),
+r AS (SELECT id AS graph, 0 AS side, a AS node FROM c UNION SELECT id, 1, b FROM c UNION SELECT r.graph, r.side, w.y FROM r JOIN w ON w.graph = r.graph AND w.x = r.node),
+k AS (SELECT id FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.graph = id AND side = 0 AND r.node = c.b)),
+o AS (SELECT r.graph, r.node, n.label || CASE WHEN r.node IN (c.a, c.b) THEN '*' ELSE '' END AS label, r.side FROM r JOIN k ON k.id = r.graph JOIN c ON c.id = r.graph JOIN gn n ON n.graph = c.g AND n.node = r.node),
+lk AS (SELECT l.* FROM l JOIN k ON k.id = l.graph WHERE EXISTS (SELECT 1 FROM o WHERE o.graph = l.graph AND o.node = l.a)), {_rounds('o', 'lk', 'u')},
+p AS (SELECT o.graph, side, count(*) AS n, min(o.node) AS least, md5(string_agg(code, '|' ORDER BY code)) AS key FROM o JOIN u{RADIUS} u ON u.graph = o.graph AND u.node = o.node GROUP BY ALL),
+s AS (SELECT graph, arg_min(key, (-n, least)) AS core, arg_max(key, (-n, least)) AS rest, max(n) AS n_core FROM p GROUP BY graph)
+SELECT core, count(*) AS n, count(DISTINCT g) AS graphs, count(DISTINCT rest) AS rests, max(n_core) AS n_core FROM s JOIN c ON c.id = s.graph GROUP BY core""",
+    "graph_descriptors": f"""WITH RECURSIVE {_GRAPHS}, {_CORE}, w AS (SELECT graph, a AS x, b AS y, label FROM ge UNION ALL SELECT graph, b, a, label FROM ge), r AS (SELECT graph, node, node AS least FROM gn UNION SELECT w.graph, w.y, r.least FROM r JOIN w ON w.graph = r.graph AND w.x = r.node),
+m AS (SELECT graph, node, min(least) AS least FROM r GROUP BY ALL), b AS (SELECT graph, x AS node, count(*) AS k, bool_and(label = '-') AS plain FROM w GROUP BY ALL),
+d AS (SELECT gn.*, coalesce(k, 0) AS k, coalesce(plain, true) AS plain, m.least, cn.node IS NOT NULL AS core FROM gn JOIN m USING (graph, node) LEFT JOIN b USING (graph, node) LEFT JOIN cn ON cn.graph = gn.graph AND cn.node = gn.node)
+SELECT graph, round(sum(CASE label WHEN 'C' THEN 12.011 WHEN 'N' THEN 14.007 WHEN 'O' THEN 15.999 ELSE 35.45 END::double), 6) AS mass, count(*) AS n_nodes, (sum(k) // 2)::bigint AS n_bonds, count(*) FILTER (WHERE node = least) AS parts,
+  ((sum(k) // 2) - count(*) + count(*) FILTER (WHERE node = least))::bigint AS rings, count(*) FILTER (WHERE core) AS core_nodes, count(*) FILTER (WHERE label IN ('N', 'O')) AS hetero, count(*) FILTER (WHERE k < 2) AS ends,
+  round(count(*) FILTER (WHERE label = 'C' AND plain) / nullif(count(*) FILTER (WHERE label = 'C'), 0), 6) AS plain_share FROM d GROUP BY graph""",
 }
