@@ -327,3 +327,33 @@ def test_names_of_the_caller_stay(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 1), (1, 2)], "a int, b int")
     items = spark.createDataFrame([(1, "i"), (1, "j"), (2, "j"), (3, "k"), (4, None)], "k int, i string")
     assert sorted(map(tuple, lookup.shares_any(pairs, items, "k", "i").collect())) == [(1, 2, True), (1, 2, True), (1, 3, False), (4, 1, False)]
+
+
+def test_patterns_cuts_and_descriptors(spark):
+    nodes, edges = random_graphs(random.Random(12), 35)
+    n, e = spark.createDataFrame(nodes, "graph int, node int, label string"), spark.createDataFrame(edges, "graph int, a int, b int, label string")
+    label = {(g, v): x for g, v, x in nodes}
+    bond = {(g, *p): x for g, a, b, x in edges for p in ((a, b), (b, a))}
+    size = {g: sum(1 for h, _, _ in nodes if h == g) for g in range(35)}
+    for labels, bonds in ((["C", None, "N"], [(0, 1, "-"), (1, 2, None)]), ([None, "C", None], [(0, 1, None), (1, 2, None), (2, 0, "=")]), (["O"], []), (["C", "C", "C", None], [(1, 0, None), (2, 1, None), (1, 3, "=")])):
+        expected = {
+            g for g in range(35) for vs in itertools.permutations(range(size[g]), len(labels))
+            if all(x is None or label[g, v] == x for x, v in zip(labels, vs)) and all((g, vs[i], vs[j]) in bond and x in (None, bond[g, vs[i], vs[j]]) for i, j, x in bonds)
+        }
+        assert {r["graph"] for r in graphs.holding(n, e, labels, bonds).collect()} == expected
+
+    def part(g, begin, without):
+        reached = {begin}
+        while more := {y for (h, x, y) in bond if h == g and x in reached and {x, y} != without} - reached:
+            reached |= more
+        return reached
+
+    cuts = {(r["graph"], r["a"], r["b"]): (r["n_core"], r["n_rest"]) for r in graphs.single_cuts(n, e).collect()}
+    expected = {(g, a, b): (max(len(x), len(y)), min(len(x), len(y))) for g, a, b, _ in edges for x, y in [(part(g, a, {a, b}), part(g, b, {a, b}))] if b not in x}
+    assert cuts == expected
+    for r in graphs.descriptors(n, e, {"C": 2.0, "N": 3.0}, ["N"]).collect():
+        g = r["graph"]
+        parts = len({frozenset(part(g, v, set())) for v in range(size[g])})
+        own = sum(1 for h, *_ in edges if h == g)
+        assert (r["n_nodes"], r["n_bonds"], r["parts"], r["rings"]) == (size[g], own, parts, own - size[g] + parts)
+        assert r["mass"] == sum({"C": 2.0, "N": 3.0}.get(label[g, v], 0.0) for v in range(size[g])) and r["hetero"] == sum(label[g, v] == "N" for v in range(size[g]))
