@@ -30,9 +30,10 @@ def set_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs a < b of rows (id, features) with intersection / union >= num / den: a, b, inter, size_a, size_b.
 
     Prefix filter: with features in one global order, the rarest first, two sets that
-    reach the threshold share one of their first n - ceil(t n) + 1 features. Candidates
-    come from an equi-join on those, are cut by size, and are verified on the full sets.
-    The comparison is of integers.
+    reach the threshold t share, of the larger, one of the first n - ceil(t n) + 1 features
+    and, of the smaller, one of the first n - ceil(2 t n / (1 + t)) + 1. Candidates come from
+    an equi-join on those and are cut by size and by what can still follow the first
+    feature they share; then they are verified on the full sets. The comparison is of integers.
     """
     sets = sets.select("id", "features", F.size("features").alias("n")).filter("n > 0")
     rows = sets.select("id", "n", F.explode("features").alias("f"))
@@ -40,9 +41,13 @@ def set_pairs(sets: DataFrame, num: int, den: int) -> DataFrame:
     order = Window.partitionBy("id").orderBy("df", "f")
     need = F.ceil(F.col("n") * num / F.lit(den) - 1e-9)
     prefix = rows.join(seen, "f").withColumn("r", F.row_number().over(order)).filter((F.col("r") <= F.col("n") - need + 1) & (F.col("df") > 1))
-    left, right = (prefix.select("f", F.col("id").alias(k), F.col("n").alias(f"size_{k}")) for k in "ab")
-    sized = F.least("size_a", "size_b") * den >= F.greatest("size_a", "size_b") * num
-    found = left.join(right, "f").filter((F.col("a") < F.col("b")) & sized).select("a", "b").distinct()
+    smaller = prefix.filter(F.col("r") <= F.col("n") - F.ceil(F.col("n") * (2 * num) / F.lit(num + den) - 1e-9) + 1)
+    one, two = (df.select("f", F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("r").alias(f"r_{k}")) for df, k in ((smaller, "x"), (prefix, "y")))
+    n, m = F.col("n_x"), F.col("n_y")
+    met = one.join(two, "f").filter(((n < m) | ((n == m) & (F.col("x") < F.col("y")))) & (n * den >= m * num))
+    first = met.groupBy("x", "y", "n_x", "n_y").agg(F.min("r_x").alias("r_x"), F.min("r_y").alias("r_y"))
+    most = 1 + F.least(n - F.col("r_x"), m - F.col("r_y"))
+    found = first.filter(most * den >= (n + m - most) * num).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     for k in "ab":
         found = found.join(sets.select(F.col("id").alias(k), F.col("features").alias(f"f_{k}"), F.col("n").alias(f"size_{k}")), k)
     found = found.withColumn("inter", F.size(F.array_intersect("f_a", "f_b")))

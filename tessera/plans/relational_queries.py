@@ -10,6 +10,7 @@ from tessera.operators import checks as C
 from tessera.operators import landscape as L
 from tessera.operators import lookup as K
 from tessera.operators import statistics as T
+from tessera.operators.scan import numbered
 from tessera.plans.bindings import M, measurements, rounded, table
 from tessera.plans.landscape_queries import vector_pairs, vectors
 
@@ -149,7 +150,7 @@ def concat_columns(spark, d):
 
 def ranked_groups(spark, d):
     by = table(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum("p_retailprice").alias("total"))
-    return rounded(by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "p_brand"))), "total", digits=2)
+    return rounded(numbered(by, [-F.col("n"), F.col("p_brand")], "rank").withColumn("rank", (F.col("rank") + 1).cast("int")), "total", digits=2)
 
 
 def first_row_per_key(spark, d):
