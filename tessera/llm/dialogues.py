@@ -23,6 +23,7 @@ and never held together. Only conv_id, turn, role and text are used.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -170,11 +171,11 @@ def _parsed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Serie
 
 
 def _composed(entries: pd.Series) -> pd.Series:
-    """For each conversation the begin and end of each segment on the cheapest way; entries: by segment a list of begin, end, cost, audit."""
+    """For each conversation the begin and end of each segment on the cheapest way; entries: in order of segments, part, sub, begin, end, cost, audit."""
     out = []
-    for segments in entries:
+    for of in entries:
         best = {"NONE": (0, "", None)}
-        for own in segments:
+        for _, own in itertools.groupby(of, key=lambda e: (e["part"], e["sub"])):
             reached: dict[str, tuple] = {}
             for e in own:
                 if e["begin"] in best:
@@ -279,10 +280,10 @@ def repair(turns: DataFrame) -> DataFrame:
         return F.translate(F.array_join(steps, ""), "kduaUA", "KDRRII")
 
     several = segments.filter(~F.col("whole"))
-    brief = F.transform("entries", lambda e: F.struct(e["begin"].alias("begin"), e["end"].alias("end"), e["cost"].alias("cost"), audit(e["steps"]).alias("audit")))
+    brief = F.transform("entries", lambda e: F.struct(F.col("part"), F.col("sub"), e["begin"].alias("begin"), e["end"].alias("end"), e["cost"].alias("cost"), audit(e["steps"]).alias("audit")))
     several = several.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("part", "sub", brief.alias("entries")))).alias("all"))
     composed = F.pandas_udf("array<struct<begin:string,end:string>>")(_composed)
-    ways = several.withColumn("way", composed(F.col("all.entries"))).select("conv", F.explode(F.arrays_zip("all.part", "all.sub", "way.begin", "way.end")).alias("w"))
+    ways = several.withColumn("way", composed(F.flatten("all.entries"))).select("conv", F.explode(F.arrays_zip("all.part", "all.sub", "way.begin", "way.end")).alias("w"))
     ways = ways.select("conv", "w.*")
     chosen = F.filter("entries", lambda e: F.col("whole") | ((e["begin"] == F.col("begin")) & (e["end"] == F.col("end"))))
     edits = segments.join(ways, segment, "left").withColumn("entry", F.get(chosen, F.lit(0))).drop("entries", "begin", "end")
