@@ -293,9 +293,12 @@ def _large_links(side: DataFrame, differences: DataFrame, labels: DataFrame, per
     ranked = each.join(shared, ["pivot", "e"])
     ranked = ranked.withColumn("place", F.row_number().over(own.orderBy("k", "e")) + d - F.count("*").over(own))  # after those that none shares
     ranked = durable(ranked.filter(F.col("place") <= d - F.greatest(F.lit(1), alone) + 1))
-    probes = ranked.filter("label <> main").select("pivot", "e", F.col("node").alias("node_a"), F.col("label").alias("label_a"))
-    held = ranked.filter(F.col("place") <= d - F.greatest(F.lit(1), alone, with_other) + 1).select("pivot", "e", "node", "label")
-    met = probes.join(held, ["pivot", "e"]).filter("label_a <> label").select("pivot", "node_a", "node").distinct()
+    probes = ranked.filter("label <> main").select("pivot", "e", F.col("node").alias("node_a"), *(F.col(c).alias(f"{c}_a") for c in ("label", "n", "d", "place")))
+    held = ranked.filter(F.col("place") <= d - F.greatest(F.lit(1), alone, with_other) + 1).select("pivot", "e", "node", "label", "n", "d", "place")
+    # at the first difference that two share, no more can follow than either has left; later ones may fall to this, the first does not
+    most = 1 + F.least(d - F.col("place"), F.col("d_a") - F.col("place_a"))
+    room = (F.least(n, F.col("n_a")) * 100 >= F.greatest(n, F.col("n_a")) * percent) & (2 * q * most >= q * (d + F.col("d_a")) - r * (n + F.col("n_a")))
+    met = probes.join(held, ["pivot", "e"]).filter((F.col("label_a") != F.col("label")) & room).select("pivot", "node_a", "node").distinct()
     other = rows.select("pivot", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "label", "d", "diff")))
     both = met.join(other, ["pivot", "node_a"]).join(rows.select("pivot", "node", "n", "label", "d", "diff"), ["pivot", "node"])
     linked = both.filter(2 * q * F.size(F.array_intersect("diff", "diff_a")) >= q * (d + F.col("d_a")) - r * (n + F.col("n_a"))).select("label_a", "label")
