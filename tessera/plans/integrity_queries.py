@@ -25,11 +25,9 @@ def quoted_line_breaks(spark, d):
     base, o = files.scratch(spark, "broken"), table(spark, d, "orders")
     text = F.concat(F.lit('"made\n'), "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 0, F.lit(', ""x""\n\nend"')).otherwise('"'))
     line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat((F.col("o_custkey") % 50).cast("string"), F.lit('" wide')), text, F.round("o_totalprice", 0).cast("long").cast("string"))
-    head = spark.createDataFrame([(-2, "notes"), (-1, "PUBCHEM_SID,SIZE,COMMENT,IC50")], "i long, value string")
     for status in ("F", "O", "P"):
-        rows = head.union(o.filter(F.col("o_orderstatus") == status).select("o_orderkey", line))
-        rows.coalesce(1).sortWithinPartitions("i").select("value").write.text(f"{base}/AID_{ord(status)}_datatable_all.csv")
-    rows = files.preamble_csv(spark, [f"{base}/AID_{ord(s)}_datatable_all.csv" for s in ("F", "O", "P")])
+        files.write_lines(o.filter(F.col("o_orderstatus") == status).select(line), ["notes", "PUBCHEM_SID,SIZE,COMMENT,IC50"], f"{base}/AID_{ord(status)}_datatable_all.csv")
+    rows = files.preamble_csv(spark, [f"{base}/AID_{ord(s)}_datatable_all.csv" for s in ("F", "O", "P")], in_parts=True)
     return rows.groupBy(files.file_id(F.col("_path")).alias("aid"), "COMMENT").agg(F.count("*").alias("n"), F.sum(F.col("PUBCHEM_SID").cast("long")).alias("sids"), F.sum(F.col("IC50").cast("long")).alias("ic50"), F.max("SIZE").alias("size"))
 
 

@@ -22,21 +22,20 @@ def _registry(spark):
 
 
 def _assay_files(spark, d) -> list[str]:
-    """A file for each layout: two lines of notes, the header, a line of types, and the orders of its status."""
+    """A file (in parts) for each layout: two lines of notes, the header, a line of types, and the orders of its status."""
     base, o = files.scratch(spark, "assays"), table(spark, d, "orders")
     made = []
     for aid, status, column in LAYOUTS:
-        head = spark.createDataFrame([(-4, "exported table"), (-3, "notes, with commas"), (-2, f"PUBCHEM_SID,{column},COMMENT"), (-1, "RESULT_TYPE,FLOAT,STRING")], "i long, value string")
+        head = ["exported table", "notes, with commas", f"PUBCHEM_SID,{column},COMMENT", "RESULT_TYPE,FLOAT,STRING"]
         value = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.round("o_totalprice", 0).cast("long").cast("string"), F.concat(F.lit('"'), "o_orderpriority", F.lit(', ""x"""')))
-        rows = head.union(o.filter(F.col("o_orderstatus") == status).select("o_orderkey", value))
         path = f"{base}/Data Set/AID_{aid}_datatable_all.csv"
-        rows.coalesce(1).sortWithinPartitions("i").select("value").write.text(path)  # one file, as it would come
+        files.write_lines(o.filter(F.col("o_orderstatus") == status).select(value), head, path)
         made.append(path)
     return made
 
 
 def preamble_csv_scan(spark, d):
-    rows = files.preamble_csv(spark, _assay_files(spark, d))
+    rows = files.preamble_csv(spark, _assay_files(spark, d), in_parts=True)
     return rows.groupBy(files.file_id(F.col("_path")).alias("aid")).agg(
         F.count("*").alias("n"), F.sum(F.col("PUBCHEM_SID").cast("long")).alias("sids"), F.sum(F.col("IC50").cast("long")).alias("ic50"),
         F.sum(F.col("Inhibition").cast("long")).alias("inhibition"), F.max("COMMENT").alias("comment"),
@@ -44,7 +43,7 @@ def preamble_csv_scan(spark, d):
 
 
 def registry_union(spark, d):
-    rows = files.with_registry(files.preamble_csv(spark, _assay_files(spark, d)), _registry(spark))
+    rows = files.with_registry(files.preamble_csv(spark, _assay_files(spark, d), in_parts=True), _registry(spark))
     return rows.groupBy("source", "layer").agg(F.count("*").alias("n"), F.count_distinct("aid").alias("files"))
 
 
@@ -52,7 +51,7 @@ def layout_extraction(spark, d):
     """Each layout's rows through its own strategy, then together."""
     made = None
     for path in _assay_files(spark, d):
-        rows = files.with_registry(files.preamble_csv(spark, path), _registry(spark))
+        rows = files.with_registry(files.preamble_csv(spark, path, in_parts=True), _registry(spark))
         own = activities.extract(rows).select("aid", "endpoint", "unit", "status", "value_nm", "potency", "usable")
         made = own if made is None else made.unionByName(own)
     made = made.groupBy("aid", "endpoint", "unit", "status").agg(F.count("*").alias("n"), F.count_if("usable").alias("n_usable"), F.sum("value_nm").alias("nm"), F.avg("potency").alias("potency"))
@@ -61,8 +60,8 @@ def layout_extraction(spark, d):
 
 def file_inventory(spark, d):
     paths = _assay_files(spark, d)
-    found = files.inventory(spark, paths[0].rsplit("/", 2)[0], "part-*")
-    rows = files.preamble_csv(spark, paths)
+    found = files.whole_files(files.inventory(spark, paths[0].rsplit("/", 2)[0], "part-*"))
+    rows = files.preamble_csv(spark, paths, in_parts=True)
     checked = files.check_files(rows, found, ["PUBCHEM_SID", "IC50"], 200)
     checked = checked.select(files.file_id(F.col("path")).alias("aid"), F.col("rows"), F.array_join("missing", "|").alias("missing"), F.col("status").alias("content"))
     listed = files.check_inventory(found, _registry(spark), 10).select("aid", "files", "status")
@@ -70,7 +69,7 @@ def file_inventory(spark, d):
 
 
 def unregistered_files(spark, d):
-    found = files.inventory(spark, _assay_files(spark, d)[0].rsplit("/", 2)[0], "part-*")
+    found = files.whole_files(files.inventory(spark, _assay_files(spark, d)[0].rsplit("/", 2)[0], "part-*"))
     excluded = spark.createDataFrame([("102",), ("999",)], "aid string")
     return files.unregistered(found, _registry(spark), excluded).select("aid", "status")
 
